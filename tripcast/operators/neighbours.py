@@ -1,44 +1,50 @@
 """Nearest-neighbour predictors (O-12 ... O-14, O-26 ... O-28b, O-38).
 
-Every predictor is one lazy plan: the past trips of a person are joined to
-that person's trips to predict, a pair metric is computed as a built-in
-expression, and the neighbours are chosen with ranking windows over the trip
-to predict, which Spark turns into a partial + final ``WindowGroupLimit`` so
-only the k best rows per trip leave each task.
+Past trips are first grouped into entries: rows of one bucket ``(person,
+hour, day type)`` with identical values of everything a metric and a class
+depend on, with their count ``cnt``. Candidates are (trip to predict, entry)
+rows; every selection below counts an entry ``cnt`` times, which is exactly
+the result on the raw rows.
+
+Candidates come from one of two exact sources, chosen per person:
+
+* ``pairs``: the person's trips to predict joined with all of the person's
+  entries. Used only for persons whose ``trips x entries`` product is below
+  ``pair_cap`` (checked from per-person counts), so no unbounded group is
+  ever expanded into pairs.
+* ``walk``: the bounded neighbour walk of :mod:`tripcast.operators.walk` for
+  every other person.
+
+Rankings are windows over the trip to predict; Spark plans ``rank() <= k``
+and ``row_number() <= k`` as a partial + final ``WindowGroupLimit``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripcast.functions.geo import ellipsoid_m, meridian_gap_m, with_geohash_center, with_geohash_corner
 from tripcast.functions.metrics import pair_metric_l2, pair_metric_log, pair_metric_root
 from tripcast.operators.features import drop_invalid
+from tripcast.operators.walk import BUCKET, index_positions, walk_candidates
 
 GAP_DIGITS = 3
 WEIGHT_DIGITS = 6
-
-
-# --------------------------------------------------------------------------
-# candidates and truth
-
-def candidate_pairs(test_f: DataFrame, train_f: DataFrame, broadcast_train: bool = False) -> DataFrame:
-    """Each trip to predict with every past trip of the same person (O-12).
-
-    An inner equi-join on the person; persons without history drop out.
-    ``broadcast_train`` (O-13) hints a broadcast of the past-trip side and
-    should only be set when that side is known to be small.
-    """
-    right = F.broadcast(train_f) if broadcast_train else train_f
-    return test_f.join(right, test_f["out_id2"] == right["out_id"], "inner")
-
-
+L2_DIGITS = 9
+# A person is expanded into pairs only below this many (trip x entry) pairs.
+PAIR_CAP = 250_000
 # Per-person tables above this many rows are never broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
 
+TEST_COLS = ["r_key", "out_id2", "hour2", "type_of_day2", "start_lat2", "start_lon2", "end_lat2", "end_lon2"]
+
+
+# --------------------------------------------------------------------------
+# candidate sources
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after the row count is checked (one cheap job on
@@ -46,13 +52,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "never") -> DataFrame:
-    """Number of candidate past trips of each trip to predict, computed from
-    per-person counts, not by listing the pairs (O-12 / O-13 summary).
+def candidate_pairs(test_f: DataFrame, train_f: DataFrame, broadcast_train: bool = False) -> DataFrame:
+    """Each trip to predict with every past row of the same person (O-12).
 
-    ``broadcast='auto'`` broadcasts the per-person count table when its
-    checked size allows it (O-13 without a driver-side collect).
+    Brute force; meant for small inputs and tests. The predictors use
+    :func:`candidates`, which never expands an unbounded person.
     """
+    right = broadcast_if_small(train_f) if broadcast_train else train_f
+    return test_f.join(right, test_f["out_id2"] == right["out_id"], "inner")
+
+
+def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "never") -> DataFrame:
+    """Number of candidate past trips of each trip to predict, from
+    per-person counts instead of listed pairs (O-12 / O-13 summary).
+    ``broadcast='auto'`` broadcasts the per-person table after checking its
+    size (O-13 without the reference's driver-side collect)."""
     per_person = train_f.groupBy("out_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     if broadcast == "auto":
         per_person = broadcast_if_small(per_person)
@@ -62,18 +76,133 @@ def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "ne
         "r_key", "out_id", "n_candidates")
 
 
+@dataclass(frozen=True)
+class Form:
+    """How one predictor scores and orders (trip, entry) rows."""
+    entry_cols: tuple[str, ...]       # entry identity besides the bucket (first one is the walk key)
+    carry: tuple[str, ...]            # values constant per entry, carried along
+    ties: tuple[str, ...]             # order of entries with equal walk key
+    score: Callable[[DataFrame], DataFrame]
+    order: tuple[str, ...]            # full ranking order of candidate rows
+    monotone: tuple[str, ...]         # order prefix that never decreases along a walk
+    beyond: Callable                  # walk stop rule (see walk.walk_candidates)
+    core: Callable | None             # rows inside the non-monotone core
+    wrap: bool                        # circular longitude
+
+
+def make_entries(train_f: DataFrame, form: Form) -> DataFrame:
+    aggs = [F.count(F.lit(1)).alias("cnt")] + [F.first(c).alias(c) for c in form.carry]
+    return train_f.groupBy(*BUCKET, *form.entry_cols).agg(*aggs)
+
+
+def candidates(train_f: DataFrame, test_f: DataFrame, k: int, form: Form, strategy: str = "auto",
+               pair_cap: int = PAIR_CAP) -> DataFrame:
+    """Scored candidate rows holding each trip's first k rows (with ties)."""
+    entries = make_entries(train_f, form)
+    test = test_f.select(*TEST_COLS)
+    entry_cols = [*form.entry_cols, *form.carry]
+    if strategy == "pairs":
+        return form.score(test.join(entries, test["out_id2"] == entries["out_id"]))
+    if strategy not in ("auto", "walk"):
+        raise ValueError("strategy must be 'auto', 'pairs' or 'walk'")
+    if strategy == "auto":
+        n_test = test.groupBy(F.col("out_id2").alias("out_id")).agg(F.count(F.lit(1)).alias("__nt"))
+        n_entries = entries.groupBy("out_id").agg(F.count(F.lit(1)).alias("__ne"))
+        small = n_test.join(n_entries, "out_id").filter(F.col("__nt") * F.col("__ne") <= pair_cap).select("out_id")
+        test_small = test.join(small.withColumnRenamed("out_id", "out_id2"), "out_id2", "left_semi")
+        test_big = test.join(small.withColumnRenamed("out_id", "out_id2"), "out_id2", "left_anti")
+        direct = form.score(test_small.join(entries, test_small["out_id2"] == entries["out_id"]))
+        if test_big.isEmpty():
+            return direct
+        test = test_big
+    buckets = entries.select(*BUCKET).distinct()
+    probes = test.join(buckets, test["out_id2"] == buckets["out_id"])
+    probe_cols = [*TEST_COLS, *BUCKET]
+    idx_e, idx_p = index_positions(entries, probes.select(*probe_cols), form.entry_cols[0], "start_lon2",
+                                   list(form.ties))
+    walked = walk_candidates(idx_e, idx_p, k, form.score, list(form.order), list(form.monotone),
+                             form.beyond, form.core, form.wrap, probe_cols, entry_cols)
+    cols = [c for c in walked.columns
+            if c not in ("side", "off", "pos", "ins", "n_b", "lo", "hi", "__walk", "__core", "bound")]
+    walked = walked.select(*cols)
+    return walked if strategy == "walk" else direct.select(*cols).unionByName(walked)
+
+
+def _walk_extras(df: DataFrame, core: Column) -> DataFrame:
+    """Walk distance in degrees along the row's side, and the core flag."""
+    if "side" not in df.columns:
+        return df
+    d = F.when(F.col("side") == 1, F.pmod(F.col("start_lon") - F.col("start_lon2"), F.lit(360.0))) \
+        .otherwise(F.pmod(F.col("start_lon2") - F.col("start_lon"), F.lit(360.0)))
+    return df.withColumn("__walk", d).withColumn("__core", core)
+
+
+# --------------------------------------------------------------------------
+# the three forms
+
+def _root_score(clamp: bool):
+    def score(df: DataFrame) -> DataFrame:
+        df = df.withColumn("metric", pair_metric_root("hour", "hour2", "type_of_day", "type_of_day2",
+                                                      "start_lon", "start_lon2", clamp=clamp))
+        return _walk_extras(df, F.isnan("metric"))
+    return score
+
+
+def root_form(clamp: bool = False) -> Form:
+    """SQL form: root metric, rank with ties, nearest wins (O-21a, O-26)."""
+    return Form(entry_cols=("start_lon", "class"), carry=("lat", "lon"), ties=("class",),
+                score=_root_score(clamp), order=("metric",), monotone=("metric",),
+                beyond=lambda L, T: L("metric") > T("metric"), core=lambda L: L("__core"), wrap=True)
+
+
+def _log_score(df: DataFrame) -> DataFrame:
+    df = df.withColumn("metric", pair_metric_log("hour2", "hour", "type_of_day2", "type_of_day",
+                                                 "start_lon2", "start_lon"))
+    df = df.withColumn("gap", F.round(meridian_gap_m("start_lon2", "start_lon"), GAP_DIGITS))
+    return _walk_extras(df, F.isnan("metric"))
+
+
+def log_form() -> Form:
+    """Queue form: log metric, then gap, then destination (O-21b, O-27)."""
+    return Form(entry_cols=("start_lon", "end_lat", "end_lon"), carry=(), ties=("end_lat", "end_lon"),
+                score=_log_score, order=("metric", "gap", "end_lat", "end_lon"), monotone=("metric", "gap"),
+                beyond=lambda L, T: (L("metric") > T("metric")) | ((L("metric") == T("metric")) & (L("gap") > T("gap"))),
+                core=lambda L: L("__core"), wrap=True)
+
+
+def _l2_score(df: DataFrame) -> DataFrame:
+    df = df.withColumn("metric", pair_metric_l2("start_lat2", "start_lat", "start_lon2", "start_lon",
+                                                "hour2", "hour", "type_of_day2", "type_of_day"))
+    if "side" in df.columns:
+        dlo = F.col("start_lon2") - F.col("start_lon")
+        dh = (F.col("hour2") - F.col("hour")).cast("double")
+        dd = (F.col("type_of_day2") - F.col("type_of_day")).cast("double")
+        df = df.withColumn("bound", F.round(F.sqrt(dlo * dlo + dh * dh + dd * dd), L2_DIGITS))
+        df = df.withColumn("__walk", F.lit(0.0)).withColumn("__core", F.lit(False))
+    return df
+
+
+def l2_form() -> Form:
+    """Distance-weighted form: plain Euclidean metric (O-21c, O-28); the
+    longitude-and-time part of the distance bounds the walk."""
+    return Form(entry_cols=("start_lon", "start_lat", "class"), carry=("end_lat_pre", "end_lon_pre"),
+                ties=("start_lat", "class"), score=_l2_score, order=("metric", "class"), monotone=("bound", "metric"),
+                beyond=lambda L, T: L("bound") > T("metric"), core=None, wrap=False)
+
+
+# --------------------------------------------------------------------------
+# truth and result rows
+
 def attach_truth(pred: DataFrame, test: DataFrame) -> DataFrame:
     """Join the true end point of each trip to its prediction (O-14).
-
-    A repeated ``r_key`` keeps one truth: the smallest ``(end_lat, end_lon)``.
-    """
+    A repeated ``r_key`` keeps one truth: the smallest ``(end_lat, end_lon)``."""
     truth = test.groupBy("r_key").agg(
         F.min(F.struct(F.col("end_lat").alias("a"), F.col("end_lon").alias("o"))).alias("__t"))
     return pred.join(truth, "r_key", "inner").select(
         *pred.columns, F.col("__t.a").alias("end_lat"), F.col("__t.o").alias("end_lon"))
 
 
-def _result_distance(lat: str, lon: str, lat_t: str, lon_t: str, distance: str):
+def _result_distance(lat: str, lon: str, lat_t: str, lon_t: str, distance: str) -> Column:
     if distance == "meridian":
         return meridian_gap_m(lon, lon_t, lat, lat_t)
     if distance == "ellipsoid":
@@ -93,47 +222,49 @@ def _results(df: DataFrame, k: int, type_: str | None, distance: str) -> DataFra
 # --------------------------------------------------------------------------
 # SQL form: k nearest with ties, votes, nearest wins (O-26)
 
-def rank_neighbours(pairs: DataFrame, metric: str, k: int, ties: str = "rank") -> DataFrame:
-    """Keep the k nearest rows per trip (O-26a); ``rank`` keeps ties."""
-    order = Window.partitionBy("r_key").orderBy(F.col(metric).asc())
-    if ties == "rank":
-        pos = F.rank().over(order)
-    elif ties == "row":
-        pos = F.row_number().over(Window.partitionBy("r_key").orderBy(F.col(metric).asc(), "class", "nb_key"))
-    else:
-        raise ValueError("ties must be 'rank' or 'row'")
-    return pairs.withColumn("pos", pos).filter(F.col("pos") <= k)
+def rank_neighbours(cands: DataFrame, metric: str, k: int) -> DataFrame:
+    """Keep rows of rank <= k (ties kept), ``pos`` = rank (O-26a); an entry
+    counts as ``cnt`` equal rows."""
+    upto = Window.partitionBy("r_key").orderBy(F.col(metric).asc()).rangeBetween(Window.unboundedPreceding, 0)
+    peers = Window.partitionBy("r_key", metric)
+    less = F.sum("cnt").over(upto) - F.sum("cnt").over(peers)
+    return cands.withColumn("pos", (less + 1).cast("int")).filter(F.col("pos") <= k)
 
 
 def with_votes(ranked: DataFrame) -> DataFrame:
-    """Votes of each class among the kept neighbours (O-26b)."""
-    return ranked.withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy("r_key", "class")))
+    """Votes of each class among the kept rows (O-26b)."""
+    return ranked.withColumn("votes", F.sum("cnt").over(Window.partitionBy("r_key", "class")))
 
 
 def nearest_winner(voted: DataFrame, metric: str) -> DataFrame:
-    """Class of the nearest neighbour; votes, then class, break ties (O-26c)."""
+    """Class of the nearest row; votes, then class, break ties (O-26c)."""
     w = Window.partitionBy("r_key").orderBy(F.col(metric).asc(), F.col("votes").desc(), F.col("class").asc())
     return voted.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
 
 
-def root_pairs(train_f: DataFrame, test_f: DataFrame, clamp: bool = False,
-               carry: Sequence[str] = ()) -> DataFrame:
-    """Candidate pairs with the SQL form's root metric."""
-    return candidate_pairs(test_f, train_f).select(
-        "r_key", "class", "nb_key", "end_lat2", "end_lon2", *carry,
-        pair_metric_root("hour", "hour2", "type_of_day", "type_of_day2",
-                         "start_lon", "start_lon2", clamp=clamp).alias("metric"))
+def _decoded(train_f: DataFrame, lat_range: int) -> DataFrame:
+    # Cells are decoded on the past-trip side, before any join: a filter on
+    # the decoded point above the windows would otherwise be pushed down and
+    # inline the whole bit decoding into one expression.
+    return with_geohash_corner(train_f, "class", "lat", "lon", lat_range)
+
 
+def kept_neighbours(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False, lat_range: int = 90,
+                    strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
+    """Entry rows of rank <= k under the root metric, with ``votes``."""
+    c = candidates(_decoded(train_f, lat_range), test_f, k, root_form(clamp), strategy, pair_cap)
+    return with_votes(rank_neighbours(c, "metric", k))
 
-def nearest_vote_winners(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False,
-                         ties: str = "rank", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per trip: the winning class with the trip's truth columns."""
-    pairs = root_pairs(train_f, test_f, clamp, carry)
-    return nearest_winner(with_votes(rank_neighbours(pairs, "metric", k, ties)), "metric")
+
+def nearest_vote_winners(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False, lat_range: int = 90,
+                         strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
+    """One row per trip: the winning class, its decoded cell and the truth."""
+    return nearest_winner(kept_neighbours(train_f, test_f, k, clamp, lat_range, strategy, pair_cap), "metric")
 
 
 def knn_nearest_vote(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
-                     clamp: bool = False, ties: str = "rank", lat_range: int = 90) -> DataFrame:
+                     clamp: bool = False, lat_range: int = 90, strategy: str = "auto",
+                     pair_cap: int = PAIR_CAP) -> DataFrame:
     """The SQL-form predictor, scan to result rows (O-26).
 
     ``train_f`` / ``test_f`` come from ``train_features`` (12-character
@@ -141,106 +272,92 @@ def knn_nearest_vote(train_f: DataFrame, test_f: DataFrame, k: int, distance: st
     (null), k``; a NaN distance (exact longitude hit) is dropped as in the
     reference.
     """
-    # Cells are decoded on the past-trip side, before the join: a filter on
-    # the decoded point above the windows would otherwise be pushed down and
-    # inline the whole bit decoding into one expression.
-    train_d = with_geohash_corner(train_f, "class", "lat", "lon", lat_range)
-    win = nearest_vote_winners(train_d, test_f, k, clamp, ties, carry=("lat", "lon"))
+    win = nearest_vote_winners(train_f, test_f, k, clamp, lat_range, strategy, pair_cap)
     return _results(win.select("r_key", "lat", "lon", "end_lat2", "end_lon2"), k, None, distance)
 
 
 # --------------------------------------------------------------------------
 # queue form: k-th nearest (O-27) and voted destinations (O-27b)
 
-def _log_pairs(train_f: DataFrame, test_f: DataFrame) -> DataFrame:
-    return candidate_pairs(test_f, train_f).select(
-        "r_key", "end_lat2", "end_lon2",
-        F.col("end_lat").alias("dest_lat"), F.col("end_lon").alias("dest_lon"),
-        pair_metric_log("hour2", "hour", "type_of_day2", "type_of_day", "start_lon2", "start_lon").alias("metric"),
-        F.round(meridian_gap_m("start_lon2", "start_lon"), GAP_DIGITS).alias("gap"))
+def _row_spans(cands: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``prev`` rows before each entry in ``order`` and the trip's total."""
+    w = Window.partitionBy("r_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (cands.withColumn("prev", F.sum("cnt").over(w) - F.col("cnt"))
+            .withColumn("total", F.sum("cnt").over(Window.partitionBy("r_key"))))
 
 
-def _queue_order(k: int, pairs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("r_key").orderBy("metric", "gap", "dest_lat", "dest_lon")
-    return pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+def _queue_rows(train_f, test_f, k, strategy, pair_cap):
+    f = log_form()
+    c = candidates(train_f, test_f, k, f, strategy, pair_cap)
+    return _row_spans(c, [*f.order, "start_lon", *BUCKET]).filter(F.col("prev") < k)
 
 
-def knn_kth(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian") -> DataFrame:
+def knn_kth(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
+            strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
     """Destination of the k-th nearest past trip, or of the farthest when a
     person has fewer than k (O-27): what the reference's bounded queue
     returns. Order: log metric, then meridian gap, then destination."""
-    kept = _queue_order(k, _log_pairs(train_f, test_f))
-    last = kept.groupBy("r_key").agg(
-        F.max_by(F.struct("dest_lat", "dest_lon", "end_lat2", "end_lon2"), F.col("rn")).alias("__w"))
-    win = last.select(
-        "r_key", F.col("__w.dest_lat").alias("lat"), F.col("__w.dest_lon").alias("lon"),
-        F.col("__w.end_lat2").alias("end_lat2"), F.col("__w.end_lon2").alias("end_lon2"))
+    rows = _queue_rows(train_f, test_f, k, strategy, pair_cap)
+    target = F.least(F.lit(k), F.col("total"))
+    win = rows.filter((F.col("prev") < target) & (F.col("prev") + F.col("cnt") >= target)).select(
+        "r_key", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"), "end_lat2", "end_lon2")
     return _results(win, k, "queue", distance)
 
 
-def knn_voted(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian") -> DataFrame:
+def knn_voted(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
+              strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
     """Most frequent destination among the k nearest past trips; the one
     reached first in nearest order wins a tie (O-27b: the queue's intent)."""
-    kept = _queue_order(k, _log_pairs(train_f, test_f))
-    per_dest = kept.groupBy("r_key", "dest_lat", "dest_lon").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("rn").alias("first_rn"),
+    rows = _queue_rows(train_f, test_f, k, strategy, pair_cap)
+    rows = rows.withColumn("inc", F.least(F.col("cnt"), F.lit(k) - F.col("prev")))
+    per_dest = rows.groupBy("r_key", "end_lat", "end_lon").agg(
+        F.sum("inc").alias("votes"), F.min(F.col("prev") + 1).alias("first_rn"),
         F.first("end_lat2").alias("end_lat2"), F.first("end_lon2").alias("end_lon2"))
     w = Window.partitionBy("r_key").orderBy(F.col("votes").desc(), F.col("first_rn").asc())
     win = per_dest.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).select(
-        "r_key", F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"), "end_lat2", "end_lon2")
+        "r_key", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"), "end_lat2", "end_lon2")
     return _results(win, k, "queue_voted", distance)
 
 
 # --------------------------------------------------------------------------
 # distance-weighted vote (O-28) and k sweep (O-28b)
 
-def _l2_ranked(train_f: DataFrame, test_f: DataFrame, max_k: int) -> DataFrame:
+def _weighted(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int], strategy: str, pair_cap: int) -> DataFrame:
+    ks = sorted(set(int(x) for x in ks))
+    f = l2_form()
     train_d = with_geohash_center(train_f, "class", "end_lat_pre", "end_lon_pre")
-    pairs = candidate_pairs(test_f, train_d).select(
-        "r_key", "class", "nb_key", "end_lat2", "end_lon2", "end_lat_pre", "end_lon_pre",
-        pair_metric_l2("start_lat2", "start_lat", "start_lon2", "start_lon",
-                       "hour2", "hour", "type_of_day2", "type_of_day").alias("metric"))
-    w = Window.partitionBy("r_key").orderBy("metric", "class", "nb_key")
-    return pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_k)
-
-
-def _weighted_vote(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weight 1/d per neighbour, or only the d = 0 neighbours when any; the
-    class with the largest weight sum wins, the smallest class on a tie."""
-    has_zero = F.max((F.col("metric") == 0).cast("int")).over(Window.partitionBy(*keys))
-    weighted = ranked.withColumn(
-        "w", F.when(has_zero == 1, F.when(F.col("metric") == 0, 1.0).otherwise(0.0))
-        .otherwise(F.lit(1.0) / F.col("metric")))
-    sums = weighted.groupBy(*keys, "class").agg(
+    c = candidates(train_d, test_f, max(ks), f, strategy, pair_cap)
+    rows = _row_spans(c, [*f.order, "start_lon", "start_lat", *BUCKET]).filter(F.col("prev") < max(ks))
+    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
+    rows = rows.withColumn("inc", F.least(F.col("cnt"), F.col("k") - F.col("prev"))).filter(F.col("inc") > 0)
+    has_zero = F.max((F.col("metric") == 0).cast("int")).over(Window.partitionBy("r_key", "k"))
+    w_one = F.when(has_zero == 1, F.when(F.col("metric") == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) / F.col("metric"))
+    rows = rows.withColumn("w", F.col("inc").cast("double") * w_one)
+    sums = rows.groupBy("r_key", "k", "class").agg(
         F.round(F.sum("w"), WEIGHT_DIGITS).alias("wsum"),
         F.first("end_lat2").alias("end_lat"), F.first("end_lon2").alias("end_lon"),
         F.first("end_lat_pre").alias("end_lat_pre"), F.first("end_lon_pre").alias("end_lon_pre"))
-    w = Window.partitionBy(*keys).orderBy(F.col("wsum").desc(), F.col("class").asc())
-    return sums.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r", "wsum")
-
-
-def _prediction_rows(win: DataFrame) -> DataFrame:
-    return win.select("r_key", "end_lat", "end_lon", "end_lat_pre", "end_lon_pre",
-                      F.col("k").cast("int").alias("k"))
+    w = Window.partitionBy("r_key", "k").orderBy(F.col("wsum").desc(), F.col("class").asc())
+    win = sums.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
+    return win.select("r_key", "end_lat", "end_lon", "end_lat_pre", "end_lon_pre", F.col("k").cast("int").alias("k"))
 
 
-def knn_weighted(train_f: DataFrame, test_f: DataFrame, k: int = 10) -> DataFrame:
+def knn_weighted(train_f: DataFrame, test_f: DataFrame, k: int = 10, strategy: str = "auto",
+                 pair_cap: int = PAIR_CAP) -> DataFrame:
     """Distance-weighted vote of the k nearest past trips by plain Euclidean
-    distance (O-28). ``train_f`` carries 8-character classes, ``test_f`` raw
-    starts. Fewer than k past trips use all of them. Output: the prediction
-    result ``r_key, end_lat, end_lon, end_lat_pre, end_lon_pre, k`` with the
-    cell centre as the predicted point."""
-    ranked = _l2_ranked(train_f, test_f, k).withColumn("k", F.lit(k))
-    return _prediction_rows(_weighted_vote(ranked, ["r_key", "k"]))
-
-
-def knn_sweep(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int] = (5, 10, 20, 30)) -> DataFrame:
-    """``knn_weighted`` for several k in one job (O-28b): neighbours are
-    ranked once up to max(k), then each k keeps its prefix."""
-    ks = sorted(set(int(x) for x in ks))
-    ranked = _l2_ranked(train_f, test_f, max(ks))
-    ranked = ranked.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))).filter(F.col("rn") <= F.col("k"))
-    return _prediction_rows(_weighted_vote(ranked, ["r_key", "k"]))
+    distance (O-28): weight 1/d, or only the d = 0 neighbours when any; the
+    largest weight sum wins, the smallest class on a tie. ``train_f``
+    carries 8-character classes, ``test_f`` raw starts; fewer than k past
+    trips use all of them. Output: ``r_key, end_lat, end_lon, end_lat_pre,
+    end_lon_pre, k`` with the cell centre as the predicted point."""
+    return _weighted(train_f, test_f, [k], strategy, pair_cap)
+
+
+def knn_sweep(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int] = (5, 10, 20, 30), strategy: str = "auto",
+              pair_cap: int = PAIR_CAP) -> DataFrame:
+    """``knn_weighted`` for several k in one job (O-28b): candidates are
+    found once for max(k), then each k keeps its prefix."""
+    return _weighted(train_f, test_f, ks, strategy, pair_cap)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key: str = "r_key") -> DataFrame:

@@ -1,0 +1,128 @@
+"""Exact nearest-neighbour candidates without listing all pairs of a person.
+
+Past trips are grouped into *entries* (identical feature values with a row
+count ``cnt``) inside *buckets* ``(person, hour, day type)``. Within a bucket
+each pair metric of the reference is a non-decreasing function of the
+longitude distance to the trip being predicted (the Euclidean metric is
+bounded below by one), apart from a NaN *core* right at the trip's own
+longitude. So a bucket's best entries are found by walking outwards from the
+trip's longitude in the bucket's longitude order; a walk stops as soon as
+nothing further on its side can rank at or before the trip's current k-th
+row. Each round fetches twice as many positions as the last, only for the
+walks still open.
+
+Longitude order is a global position per bucket, computed without putting a
+bucket into one task: rows are range-partitioned (a hot bucket spreads over
+many partitions), counted inside each (partition, bucket) piece and shifted
+by the sizes of the bucket's pieces in earlier partitions (a table with one
+row per piece). Positions and every round are checkpointed in the shared
+checkpoint folder, so a lost executor cannot renumber them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tripcast.session import ensure_checkpoint_dir
+
+BUCKET = ("out_id", "hour", "type_of_day")
+# (last row of a walk, trip's k-th row) -> nothing beyond can rank before it
+Beyond = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder (reliable, eager)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def index_positions(entries: DataFrame, probes: DataFrame, entry_key: str, probe_key: str,
+                    ties: Sequence[str], bucket: Sequence[str] = BUCKET,
+                    partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``pos`` of each entry in its bucket (0-based, by key then ``ties``) and
+    ``ins`` of each probe (entries with key <= the probe's), both with the
+    bucket size ``n_b``."""
+    spark = entries.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = entries.withColumn("__flag", F.lit(0)).withColumn("__k", F.col(entry_key))
+    p = probes.withColumn("__flag", F.lit(1)).withColumn("__k", F.col(probe_key))
+    order = [*bucket, "__k", "__flag", *ties]
+    u = e.unionByName(p, allowMissingColumns=True).repartitionByRange(parts, *order)
+    u = freeze(u.withColumn("__pid", F.spark_partition_id()))
+    piece = Window.partitionBy("__pid", *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("__ec", F.sum(F.lit(1) - F.col("__flag")).over(piece))
+    sizes = u.groupBy("__pid", *bucket).agg(F.sum(F.lit(1) - F.col("__flag")).alias("__cnt"))
+    earlier = Window.partitionBy(*bucket).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "__pid", *bucket,
+        F.coalesce(F.sum("__cnt").over(earlier), F.lit(0)).alias("__off"),
+        F.sum("__cnt").over(Window.partitionBy(*bucket)).alias("n_b"))
+    u = u.join(sizes, ["__pid", *bucket])
+    idx_e = u.filter(F.col("__flag") == 0).select(
+        *entries.columns, (F.col("__off") + F.col("__ec") - 1).cast("long").alias("pos"), "n_b")
+    idx_p = u.filter(F.col("__flag") == 1).select(
+        *probes.columns, (F.col("__off") + F.col("__ec")).cast("long").alias("ins"), "n_b")
+    return freeze(idx_e), freeze(idx_p)
+
+
+def kth_row(cands: DataFrame, k: int, order: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per trip, the values ``names`` of the row at rank k of ``order``
+    (entries counted ``cnt`` times); absent when fewer than k rows."""
+    w = Window.partitionBy("r_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cands.withColumn("__cum", F.sum("cnt").over(w))
+    return ranked.filter(F.col("__cum") >= k).groupBy("r_key").agg(
+        F.min_by(F.struct(*[F.col(n).alias(f"t_{n}") for n in names]), F.col("__cum")).alias("__t")
+    ).select("r_key", "__t.*")
+
+
+def walk_candidates(entries_idx: DataFrame, probes_idx: DataFrame, k: int,
+                    score: Callable[[DataFrame], DataFrame], order: Sequence[str], monotone: Sequence[str],
+                    beyond: Beyond, core: Callable[[Callable[[str], Column]], Column] | None,
+                    wrap: bool, probe_cols: Sequence[str], entry_cols: Sequence[str],
+                    bucket: Sequence[str] = BUCKET, max_rounds: int = 62) -> DataFrame:
+    """Candidate rows (probe x entry, scored) containing every entry the
+    trip's first k rows in ``order`` can come from, ties included.
+
+    ``score`` adds the metric columns; ``monotone`` are the columns compared
+    by ``beyond``; ``core`` marks rows inside the non-monotone core;
+    ``wrap`` makes longitude circular (each side walks at most half way).
+    """
+    keys = ["r_key", *bucket]
+    sides = F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
+    walks = probes_idx.select(*probe_cols, "ins", "n_b", sides).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(k))
+    ent = entries_idx.select(*bucket, "pos", *entry_cols, "cnt")
+    cands = None
+    for _ in range(max_rounds):
+        off = walks.withColumn("off", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+        raw = F.when(F.col("side") == 1, F.col("ins") + F.col("off")).otherwise(F.col("ins") - 1 - F.col("off"))
+        if wrap:
+            off = off.filter(F.col("off") < F.col("n_b")).withColumn("pos", F.pmod(raw, F.col("n_b")))
+        else:
+            off = off.withColumn("pos", raw).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("n_b")))
+        new = score(off.join(ent, [*bucket, "pos"]))
+        cands = new if cands is None else cands.unionByName(new)
+        cands = freeze(cands.dropDuplicates([*keys, "pos"]))
+        kth = kth_row(cands, k, [*order, *bucket, "pos"], monotone)
+        last = new.groupBy(*keys, "side").agg(
+            F.max_by(F.struct(*[F.col(n).alias(f"l_{n}") for n in [*monotone, "__walk", "__core"]]),
+                     F.col("off")).alias("__l")).select(*keys, "side", "__l.*")
+        status = walks.join(last, [*keys, "side"], "left").join(kth, "r_key", "left")
+        L = lambda n: F.col(f"l_{n}")
+        T = lambda n: F.col(f"t_{n}")
+        if wrap:
+            exhausted = F.col("hi") * 2 >= F.col("n_b")
+            past_half = L("__walk") > 180.0
+        else:
+            exhausted = F.when(F.col("side") == 1, F.col("ins") + F.col("hi") >= F.col("n_b")) \
+                .otherwise(F.col("ins") - F.col("hi") <= 0)
+            past_half = F.lit(False)
+        settled = T(monotone[0]).isNotNull() & ~L("__core") & beyond(L, T)
+        done = exhausted | L(monotone[0]).isNull() | past_half | settled
+        walks = freeze(status.filter(~F.coalesce(done, F.lit(False))).select(
+            *probe_cols, "ins", "n_b", "side", F.col("hi").alias("lo"), (F.col("hi") * 2).alias("hi")))
+        if walks.isEmpty():
+            return cands
+    raise RuntimeError("neighbour walk did not converge")

@@ -189,15 +189,19 @@ def q_attach_truth(spark, sf):
 
 
 def q_neighbours_ranked(spark, sf):
+    """Kept neighbours as past-trip rows: kept entries joined back to the
+    rows they stand for (output-sized)."""
     tr, te = inputs.sql_form_features(spark, sf)
-    ranked = neighbours.rank_neighbours(neighbours.root_pairs(tr, te), "metric", K)
-    return ranked.select("r_key", "nb_key", "class", "metric", "pos")
+    kept = neighbours.kept_neighbours(tr, te, K)
+    rows = tr.select("nb_key", "out_id", "hour", "type_of_day", "start_lon", "class")
+    return kept.join(rows, ["out_id", "hour", "type_of_day", "start_lon", "class"]).select(
+        "r_key", "nb_key", "class", "metric", "pos")
 
 
 def q_neighbour_votes(spark, sf):
     tr, te = inputs.sql_form_features(spark, sf)
-    ranked = neighbours.rank_neighbours(neighbours.root_pairs(tr, te), "metric", K)
-    return ranked.groupBy("r_key", "class").agg(F.count(F.lit(1)).alias("votes"))
+    kept = neighbours.kept_neighbours(tr, te, K)
+    return kept.groupBy("r_key", "class").agg(F.sum("cnt").alias("votes"))
 
 
 def q_knn_nearest_vote(spark, sf):
