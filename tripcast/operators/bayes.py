@@ -3,7 +3,8 @@
 
 The model is two aggregations: counts and feature sums per (person, class),
 then the per-person totals. Prediction joins each trip to the classes of its
-person and picks the class with the largest log posterior.
+person and picks the class with the largest log posterior; a person with
+many classes is scored in chunks (salted join), best per chunk first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tripcast.operators.neighbours import _results
 
 FEATURES = ("hour", "type_of_day", "start_lat", "start_lon")
 SCORE_DIGITS = 9
+# Classes of one person scored in one task (larger persons are split).
+CLASS_CHUNK = 256
 
 
 def nb_train_rows(train: DataFrame, round_end: bool = True) -> DataFrame:
@@ -41,19 +44,19 @@ def nb_fit(rows: DataFrame, smoothing: float = 1.0, key: str = "out_id",
     fails the job with a clear message instead of a silent wrong model.
     """
     feats = list(features)
-    neg = F.lit(False)
-    for f in feats:
-        neg = neg | (F.col(f) < 0)
-    checked = rows.withColumn(
-        "__ok", F.when(neg, F.raise_error(F.lit("naive Bayes features must be non-negative"))).otherwise(F.lit(True)))
+    # the check sits inside the summed values, so it cannot be pruned away
+    msg = F.lit("naive Bayes features must be non-negative")
+    checked = rows.select(key, "label_lat", "label_lon", *[
+        F.when(F.col(f) < 0, F.raise_error(msg)).otherwise(F.col(f)).alias(f) for f in feats])
     lam = F.lit(float(smoothing))
     agg = checked.groupBy(key, "label_lat", "label_lon").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(f).cast("double")).alias(f"s_{f}") for f in feats],
-        F.min("__ok").alias("__ok"))
-    per_key = Window.partitionBy(key)
-    total = F.sum("n").over(per_key)
-    n_classes = F.count(F.lit(1)).over(per_key)
+        *[F.sum(F.col(f).cast("double")).alias(f"s_{f}") for f in feats])
+    # per-person totals by a partial aggregation, not a window over a person
+    totals = agg.groupBy(key).agg(F.sum("n").alias("__total"), F.count(F.lit(1)).alias("__classes"))
+    agg = agg.join(totals, key)
+    total = F.col("__total")
+    n_classes = F.col("__classes")
     feat_total = None
     for f in feats:
         feat_total = F.col(f"s_{f}") if feat_total is None else feat_total + F.col(f"s_{f}")
@@ -64,23 +67,42 @@ def nb_fit(rows: DataFrame, smoothing: float = 1.0, key: str = "out_id",
         *[(F.log(F.col(f"s_{f}") + lam) - F.log(feat_total + d * lam)).alias(f"theta_{f}") for f in feats])
 
 
+def _salted(model: DataFrame, test_f: DataFrame, key: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Split the classes of each person into chunks of about ``chunk`` and
+    copy each trip once per chunk of its person, so no task scores a whole
+    hot person."""
+    chunks = model.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("__chunks"))
+    m = model.join(chunks, key).withColumn(
+        "__salt", F.pmod(F.xxhash64("label_lat", "label_lon"), F.col("__chunks")).cast("int"))
+    t = test_f.join(chunks.withColumnRenamed(key, "out_id2"), "out_id2").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    return m.drop("__chunks"), t.drop("__chunks")
+
+
 def nb_scores(model: DataFrame, test_f: DataFrame, key: str = "out_id",
-              features: Sequence[str] = FEATURES, test_features: Sequence[str] | None = None) -> DataFrame:
-    """Log posterior of every class of the trip's person."""
+              features: Sequence[str] = FEATURES, test_features: Sequence[str] | None = None,
+              chunk: int = CLASS_CHUNK) -> DataFrame:
+    """Log posterior of every class of the trip's person (one row per trip,
+    class), scored chunk by chunk of the person's classes."""
     tf = list(test_features or [f"{f}2" for f in features])
-    joined = test_f.join(model, test_f["out_id2"] == model[key], "inner")
+    m, t = _salted(model, test_f, key, chunk)
+    joined = t.join(m, (t["out_id2"] == m[key]) & (t["__salt"] == m["__salt"]), "inner").drop(m["__salt"])
     s = F.col("pi")
-    for f, t in zip(features, tf):
-        s = s + F.col(t).cast("double") * F.col(f"theta_{f}")
+    for f, c in zip(features, tf):
+        s = s + F.col(c).cast("double") * F.col(f"theta_{f}")
     return joined.withColumn("score", F.round(s, SCORE_DIGITS))
 
 
 def nb_predict(model: DataFrame, test_f: DataFrame, k: int = 10, distance: str = "meridian",
-               type_: str = "bayes_m") -> DataFrame:
+               type_: str = "bayes_m", chunk: int = CLASS_CHUNK) -> DataFrame:
     """Most probable class per trip, smallest label on a tie, written as
-    result rows with the distance to the true end point (O-30)."""
-    scored = nb_scores(model, test_f)
-    w = Window.partitionBy("r_key").orderBy(F.col("score").desc(), "label_lat", "label_lon")
-    win = scored.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).select(
+    result rows with the distance to the true end point (O-30): best class
+    per (trip, chunk) first, then the best of those few per trip."""
+    scored = nb_scores(model, test_f, chunk=chunk)
+    best = (F.col("score").desc(), F.col("label_lat").asc(), F.col("label_lon").asc())
+    w1 = Window.partitionBy("r_key", "__salt").orderBy(*best)
+    part = scored.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") == 1)
+    w2 = Window.partitionBy("r_key").orderBy(*best)
+    win = part.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") == 1).select(
         "r_key", F.col("label_lat").alias("lat"), F.col("label_lon").alias("lon"), "end_lat2", "end_lon2")
     return _results(win, k, type_, distance)

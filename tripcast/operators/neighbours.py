@@ -225,10 +225,14 @@ def _results(df: DataFrame, k: int, type_: str | None, distance: str) -> DataFra
 def rank_neighbours(cands: DataFrame, metric: str, k: int) -> DataFrame:
     """Keep rows of rank <= k (ties kept), ``pos`` = rank (O-26a); an entry
     counts as ``cnt`` equal rows."""
-    upto = Window.partitionBy("r_key").orderBy(F.col(metric).asc()).rangeBetween(Window.unboundedPreceding, 0)
+    by_metric = Window.partitionBy("r_key").orderBy(F.col(metric).asc())
+    # an entry's row rank is at least its entry rank, so this top-k (planned
+    # as a partial + final WindowGroupLimit) keeps every row of rank <= k
+    top = cands.withColumn("__er", F.rank().over(by_metric)).filter(F.col("__er") <= k).drop("__er")
+    upto = by_metric.rangeBetween(Window.unboundedPreceding, 0)
     peers = Window.partitionBy("r_key", metric)
     less = F.sum("cnt").over(upto) - F.sum("cnt").over(peers)
-    return cands.withColumn("pos", (less + 1).cast("int")).filter(F.col("pos") <= k)
+    return top.withColumn("pos", (less + 1).cast("int")).filter(F.col("pos") <= k)
 
 
 def with_votes(ranked: DataFrame) -> DataFrame:
@@ -279,17 +283,22 @@ def knn_nearest_vote(train_f: DataFrame, test_f: DataFrame, k: int, distance: st
 # --------------------------------------------------------------------------
 # queue form: k-th nearest (O-27) and voted destinations (O-27b)
 
-def _row_spans(cands: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``prev`` rows before each entry in ``order`` and the trip's total."""
-    w = Window.partitionBy("r_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (cands.withColumn("prev", F.sum("cnt").over(w) - F.col("cnt"))
+def _row_spans(cands: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+    """Entries holding the first k rows in ``order``, with ``prev`` (rows
+    before the entry) and ``total`` (rows of the first k entries)."""
+    by_order = Window.partitionBy("r_key").orderBy(*order)
+    # every entry holds at least one row: the first k rows lie in the first
+    # k entries (a partial + final WindowGroupLimit)
+    top = cands.withColumn("__en", F.row_number().over(by_order)).filter(F.col("__en") <= k).drop("__en")
+    w = by_order.rowsBetween(Window.unboundedPreceding, 0)
+    return (top.withColumn("prev", F.sum("cnt").over(w) - F.col("cnt"))
             .withColumn("total", F.sum("cnt").over(Window.partitionBy("r_key"))))
 
 
 def _queue_rows(train_f, test_f, k, strategy, pair_cap):
     f = log_form()
     c = candidates(train_f, test_f, k, f, strategy, pair_cap)
-    return _row_spans(c, [*f.order, "start_lon", *BUCKET]).filter(F.col("prev") < k)
+    return _row_spans(c, [*f.order, "start_lon", *BUCKET], k).filter(F.col("prev") < k)
 
 
 def knn_kth(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
@@ -327,7 +336,7 @@ def _weighted(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int], strategy
     f = l2_form()
     train_d = with_geohash_center(train_f, "class", "end_lat_pre", "end_lon_pre")
     c = candidates(train_d, test_f, max(ks), f, strategy, pair_cap)
-    rows = _row_spans(c, [*f.order, "start_lon", "start_lat", *BUCKET]).filter(F.col("prev") < max(ks))
+    rows = _row_spans(c, [*f.order, "start_lon", "start_lat", *BUCKET], max(ks)).filter(F.col("prev") < max(ks))
     rows = rows.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
     rows = rows.withColumn("inc", F.least(F.col("cnt"), F.col("k") - F.col("prev"))).filter(F.col("inc") > 0)
     has_zero = F.max((F.col("metric") == 0).cast("int")).over(Window.partitionBy("r_key", "k"))

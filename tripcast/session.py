@@ -32,30 +32,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def _configured_checkpoint_dir(spark: SparkSession) -> str | None:
-    opt = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if opt.isDefined():
-        return opt.get()
-    conf = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    return conf or spark.conf.get(CHECKPOINT_KEY, None)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only a local-mode session without one gets its own folder; on a cluster an
-    unset ``spark.checkpoint.dir`` is an error, because a machine-local folder
-    would not be visible to the other executors.
+    An active checkpoint folder is used as is; otherwise
+    ``spark.checkpoint.dir`` from the session is applied. Only a local-mode
+    session without either gets its own folder; on a cluster that is an
+    error, because a machine-local folder would not be visible to the other
+    executors.
     """
-    found = _configured_checkpoint_dir(spark)
-    if found:
-        spark.sparkContext.setCheckpointDir(found)
-        return found
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    active = sc._jsc.sc().getCheckpointDir()
+    if active.isDefined():
+        return active.get()
+    conf = sc.getConf().get(CHECKPOINT_KEY, None) or spark.conf.get(CHECKPOINT_KEY, None)
+    if conf:
+        sc.setCheckpointDir(conf)
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder for this cluster")
-    path = tempfile.mkdtemp(prefix="tripcast-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tripcast-ckpt-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
