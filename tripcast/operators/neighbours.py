@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tripcast.functions.geo import ellipsoid_m, meridian_gap_m, with_geohash_center, with_geohash_corner
 from tripcast.functions.metrics import pair_metric_l2, pair_metric_log, pair_metric_root
 from tripcast.operators.features import drop_invalid
-from tripcast.operators.walk import BUCKET, index_positions, walk_candidates
+from tripcast.operators.walk import BUCKET, freeze, index_positions, walk_candidates
 
 GAP_DIGITS = 3
 WEIGHT_DIGITS = 6
@@ -106,15 +106,19 @@ def candidates(train_f: DataFrame, test_f: DataFrame, k: int, form: Form, strate
     if strategy not in ("auto", "walk"):
         raise ValueError("strategy must be 'auto', 'pairs' or 'walk'")
     if strategy == "auto":
+        # both inputs feed the size check and the main job: freeze them once
+        entries, test = freeze(entries), freeze(test)
         n_test = test.groupBy(F.col("out_id2").alias("out_id")).agg(F.count(F.lit(1)).alias("__nt"))
         n_entries = entries.groupBy("out_id").agg(F.count(F.lit(1)).alias("__ne"))
-        small = n_test.join(n_entries, "out_id").filter(F.col("__nt") * F.col("__ne") <= pair_cap).select("out_id")
-        test_small = test.join(small.withColumnRenamed("out_id", "out_id2"), "out_id2", "left_semi")
-        test_big = test.join(small.withColumnRenamed("out_id", "out_id2"), "out_id2", "left_anti")
+        per_person = n_test.join(n_entries, "out_id").select(
+            "out_id", (F.col("__nt") * F.col("__ne")).alias("__pairs"))
+        biggest = per_person.agg(F.max("__pairs")).first()[0] or 0
+        if biggest <= pair_cap:
+            return form.score(test.join(entries, test["out_id2"] == entries["out_id"]))
+        small = per_person.filter(F.col("__pairs") <= pair_cap).select(F.col("out_id").alias("out_id2"))
+        test_small = test.join(small, "out_id2", "left_semi")
+        test = test.join(small, "out_id2", "left_anti")
         direct = form.score(test_small.join(entries, test_small["out_id2"] == entries["out_id"]))
-        if test_big.isEmpty():
-            return direct
-        test = test_big
     buckets = entries.select(*BUCKET).distinct()
     probes = test.join(buckets, test["out_id2"] == buckets["out_id"])
     probe_cols = [*TEST_COLS, *BUCKET]

@@ -47,9 +47,9 @@ def next_event(events: DataFrame, key: str, order: list[str], carry: list[str],
     large number of rows is spread over its blocks.
     """
     w = Window.partitionBy(key, block).orderBy(*order)
-    out = events
-    for c in carry:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
+    # one window pass: the next row's values and whether a next row exists
+    out = events.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
+                        F.lead(F.lit(1)).over(w).alias("__next_rank"))
     first = (
         events.groupBy(key, block)
         .agg(F.min_by(F.struct(*carry), F.struct(*order)).alias("__first"))
@@ -61,7 +61,6 @@ def next_event(events: DataFrame, key: str, order: list[str], carry: list[str],
     )
     out = out.join(bridge, [key, block], "left")
     is_last = F.col("__next_rank").isNull()
-    out = out.withColumn("__next_rank", F.lead(F.lit(1)).over(w))
     out = out.select(
         *[c for c in out.columns if not c.startswith("next_") and not c.startswith("__")],
         *[F.when(is_last, F.col(f"__bridge_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carry])
