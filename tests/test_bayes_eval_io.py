@@ -96,3 +96,23 @@ def test_split_roundtrip_keeps_rows(spark):
     back = trips_io.read_trips(spark, p_tr, "train", id_type=T.LongType()).collect()
     assert back[0].start_time == tr.first().start_time
     assert trips_io.read_trips(spark, p_te, "test", id_type=T.LongType()).count() == 1
+
+
+def test_stream_adapter_matches_batch(spark):
+    from pyspark.sql import types as T
+
+    from tripcast.operators import neighbours as N
+    from tripcast.operators.features import train_features
+    from tripcast.streaming import predict_stream, read_trip_stream
+    tr, te = inputs.split(spark, SF_SMALL)
+    trf = train_features(tr)
+    src = scratch_path(spark, "stream-src")
+    trips_io.write_trips(te, src)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    q = predict_stream(read_trip_stream(spark, src, T.LongType()), trf, lambda a, b: N.knn_nearest_vote(a, b, 10),
+                       out, ck)
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(out).drop("batch").toPandas().sort_values("r_key").reset_index(drop=True)
+    want = N.knn_nearest_vote(trf, make_test_features(te), 10).toPandas().sort_values("r_key").reset_index(drop=True)
+    assert got[want.columns].equals(want)
