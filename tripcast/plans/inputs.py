@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tripcast.functions.time import day_type, hour_of
 from tripcast.operators.features import split_by_time, test_features, train_features
+from tripcast.operators.walk import freeze
 from tripcast.sources.events import fixture_trips, next_event
 
 
@@ -16,24 +17,27 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split_by_time(trips(spark, sf_dir))
+    """Both sides of the split. The derived trips feed both branches of
+    every predictor, so they are materialised once in the shared
+    checkpoint folder instead of being derived twice."""
+    return split_by_time(freeze(trips(spark, sf_dir)))
 
 
-def sql_form_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sql_form_features(spark: SparkSession, sf_dir: str, parts=None) -> tuple[DataFrame, DataFrame]:
     """SQL form (and Bayes): test start rounded, 12-character classes."""
-    tr, te = split(spark, sf_dir)
+    tr, te = parts or split(spark, sf_dir)
     return train_features(tr, 12, round_start=False), test_features(te, round_start=True)
 
 
-def queue_form_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def queue_form_features(spark: SparkSession, sf_dir: str, parts=None) -> tuple[DataFrame, DataFrame]:
     """Queue form: past-trip start rounded, test start raw."""
-    tr, te = split(spark, sf_dir)
+    tr, te = parts or split(spark, sf_dir)
     return train_features(tr, 12, round_start=True), test_features(te, round_start=False)
 
 
-def weighted_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def weighted_features(spark: SparkSession, sf_dir: str, parts=None) -> tuple[DataFrame, DataFrame]:
     """Distance-weighted form: raw starts, 8-character classes."""
-    tr, te = split(spark, sf_dir)
+    tr, te = parts or split(spark, sf_dir)
     return train_features(tr, 8, round_start=False), test_features(te, round_start=False)
 
 

@@ -182,10 +182,10 @@ def q_candidate_pairs_broadcast(spark, sf):
 
 
 def q_attach_truth(spark, sf):
-    tr, te = inputs.sql_form_features(spark, sf)
+    parts = inputs.split(spark, sf)
+    tr, te = inputs.sql_form_features(spark, sf, parts)
     win = neighbours.nearest_vote_winners(tr, te, K).select("r_key", "class")
-    truth = inputs.split(spark, sf)[1]
-    return neighbours.attach_truth(win, truth)
+    return neighbours.attach_truth(win, parts[1])
 
 
 def q_neighbours_ranked(spark, sf):
@@ -235,8 +235,8 @@ def q_shuffled_trips(spark, sf):
 
 # ---------------------------------------------------------------- naive Bayes
 
-def _nb_model(spark, sf):
-    tr, _ = inputs.split(spark, sf)
+def _nb_model(spark, sf, parts=None):
+    tr, _ = parts or inputs.split(spark, sf)
     return bayes.nb_fit(bayes.nb_train_rows(tr), 1.0)
 
 
@@ -246,19 +246,21 @@ def q_nb_model(spark, sf):
 
 
 def q_nb_predict(spark, sf):
-    _, te = inputs.sql_form_features(spark, sf)
-    return _r(bayes.nb_predict(_nb_model(spark, sf), te, K), {"dis": 1})
+    parts = inputs.split(spark, sf)
+    _, te = inputs.sql_form_features(spark, sf, parts)
+    return _r(bayes.nb_predict(_nb_model(spark, sf, parts), te, K), {"dis": 1})
 
 
 # ---------------------------------------------------------------- evaluation
 
 def _all_results(spark, sf):
-    tr, te = inputs.sql_form_features(spark, sf)
-    qtr, qte = inputs.queue_form_features(spark, sf)
+    parts = inputs.split(spark, sf)
+    tr, te = inputs.sql_form_features(spark, sf, parts)
+    qtr, qte = inputs.queue_form_features(spark, sf, parts)
     return (neighbours.knn_nearest_vote(tr, te, K)
             .unionByName(neighbours.knn_kth(qtr, qte, K))
             .unionByName(neighbours.knn_voted(qtr, qte, K))
-            .unionByName(bayes.nb_predict(_nb_model(spark, sf), te, K)))
+            .unionByName(bayes.nb_predict(_nb_model(spark, sf, parts), te, K)))
 
 
 def q_evaluate_by_k(spark, sf):
