@@ -26,9 +26,14 @@ def test_predictor_plans(spark, name):
 
 
 def test_scan_prunes_columns(spark):
+    from tripcast.sources.events import read_events
+    plan = _plan(read_events(spark, SF_SMALL).select("event_id", "user_id", "ts").filter("user_id = 3"))
+    read_schema = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "props" not in read_schema and "value" not in read_schema
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan
+    # the derived trips carry only the columns the fixture needs
     plan = _plan(Q.QUERIES["hour_of_day"](spark, SF_SMALL))
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp" in plan or "ReadSchema" in plan
-    assert "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert "props" not in plan and "event_type" not in plan
 
 
 def test_entry_smoke(spark):

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tripcast.functions.geo import ellipsoid_m, meridian_gap_m, with_geohash_center, with_geohash_corner
 from tripcast.functions.metrics import pair_metric_l2, pair_metric_log, pair_metric_root
 from tripcast.operators.features import drop_invalid
-from tripcast.operators.walk import BUCKET, freeze, index_positions, walk_candidates
+from tripcast.operators.walk import BUCKET, index_positions, walk_candidates
+from tripcast.session import freeze
 
 GAP_DIGITS = 3
 WEIGHT_DIGITS = 6

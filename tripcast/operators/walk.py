@@ -26,19 +26,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripcast.session import ensure_checkpoint_dir
+from tripcast.session import freeze
 
 BUCKET = ("out_id", "hour", "type_of_day")
 # (last row of a walk, trip's k-th row) -> nothing beyond can rank before it
 Beyond = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder (reliable, eager)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def index_positions(entries: DataFrame, probes: DataFrame, entry_key: str, probe_key: str,
                     ties: Sequence[str], bucket: Sequence[str] = BUCKET,
                     partitions: int | None = None) -> tuple[DataFrame, DataFrame]:

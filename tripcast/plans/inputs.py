@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tripcast.functions.time import day_type, hour_of
 from tripcast.operators.features import split_by_time, test_features, train_features
-from tripcast.operators.walk import freeze
+from tripcast.session import freeze
 from tripcast.sources.events import fixture_trips, next_event
 
 
@@ -46,9 +46,8 @@ def consecutive_trip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a bounded pairing over the whole table for the pair-metric queries.
     Columns: ``r_key, next_r_key`` and hour, day type, start point of both."""
     t = trips(spark, sf_dir).select("r_key", "out_id", "start_time", "start_lat", "start_lon")
-    t = t.withColumn("__block", F.date_trunc("day", F.col("start_time")))
     carry = ["r_key", "start_time", "start_lat", "start_lon"]
-    nxt = next_event(t, "out_id", ["start_time", "r_key"], carry, "__block")
+    nxt = next_event(t, "out_id", ["start_time", "r_key"], carry)
     nxt = nxt.filter(F.col("next_r_key").isNotNull())
     return nxt.select(
         "r_key", "next_r_key", "start_lat", "start_lon", "next_start_lat", "next_start_lon",

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -60,3 +60,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tripcast-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder (reliable, eager):
+    used where a frame feeds several jobs or carries partition numbers that
+    must not change when a lost task is recomputed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -4,10 +4,8 @@ A trip joins two consecutive events of one person ordered by ``(ts,
 event_id)``; the last event of a person gives no trip. Coordinates come from
 integer arithmetic divided once by 1e5, so every engine gives the same bits.
 
-The "next event" is found without putting a whole person into one task:
-events are first ordered inside (person, hour) blocks, and only the last
-event of each block looks up the first event of the person's next block
-through a small per-block summary table.
+The "next event" is found without putting a whole person into one task
+(see :func:`next_event`).
 """
 
 from __future__ import annotations
@@ -15,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripcast.session import freeze
+
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture derivation (shared with the SQL oracle).
 EVENT_TYPE_CODES = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
@@ -38,33 +38,32 @@ def _type_code(c):
     return expr.cast("long")
 
 
-def next_event(events: DataFrame, key: str, order: list[str], carry: list[str], block: str) -> DataFrame:
+def next_event(events: DataFrame, key: str, order: list[str], carry: list[str],
+               partitions: int | None = None) -> DataFrame:
     """Attach ``next_<c>`` for each column in ``carry``: the values of the next
-    row of the same ``key`` in ``order``.
+    row of the same ``key`` in ``order`` (null for the key's last row).
 
-    Rows are ordered within (key, block) partitions; the boundary rows are
-    stitched through one summary row per (key, block), so a key with a very
-    large number of rows is spread over its blocks.
+    Rows are range-partitioned by ``(key, order)``, so a key with a very
+    large number of rows spreads over many partitions; the next row is found
+    inside each (partition, key) piece, and a piece's last row takes the
+    first row of the key's next piece from a table with one row per piece.
+    The partitioned rows are checkpointed, so piece numbers are stable.
     """
-    w = Window.partitionBy(key, block).orderBy(*order)
-    # one window pass: the next row's values and whether a next row exists
-    out = events.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
-                        F.lead(F.lit(1)).over(w).alias("__next_rank"))
-    first = (
-        events.groupBy(key, block)
-        .agg(F.min_by(F.struct(*carry), F.struct(*order)).alias("__first"))
-    )
-    wb = Window.partitionBy(key).orderBy(block)
+    spark = events.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    u = freeze(events.repartitionByRange(parts, key, *order).withColumn("__pid", F.spark_partition_id()))
+    w = Window.partitionBy("__pid", key).orderBy(*order)
+    out = u.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
+                   F.lead(F.lit(1)).over(w).alias("__has_next"))
+    first = u.groupBy("__pid", key).agg(F.min_by(F.struct(*carry), F.struct(*order)).alias("__first"))
+    wb = Window.partitionBy(key).orderBy("__pid")
     bridge = first.select(
-        key, block,
-        *[F.lead(F.col(f"__first.{c}")).over(wb).alias(f"__bridge_{c}") for c in carry],
-    )
-    out = out.join(bridge, [key, block], "left")
-    is_last = F.col("__next_rank").isNull()
-    out = out.select(
-        *[c for c in out.columns if not c.startswith("next_") and not c.startswith("__")],
+        "__pid", key, *[F.lead(F.col(f"__first.{c}")).over(wb).alias(f"__bridge_{c}") for c in carry])
+    out = out.join(bridge, ["__pid", key], "left")
+    is_last = F.col("__has_next").isNull()
+    return out.select(
+        *[c for c in events.columns],
         *[F.when(is_last, F.col(f"__bridge_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carry])
-    return out
 
 
 def trips_from_events(events: DataFrame) -> DataFrame:
@@ -75,8 +74,8 @@ def trips_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         _type_code(F.col("event_type")).alias("code"),
         F.floor(F.col("value") * F.lit(100.0)).cast("long").alias("m"),
-    ).withColumn("__block", F.date_trunc("hour", F.col("ts")))
-    ev = next_event(ev, "user_id", ["ts", "event_id"], ["ts", "code"], "__block")
+    )
+    ev = next_event(ev, "user_id", ["ts", "event_id"], ["ts", "code"])
     u, c, cn, m = F.col("user_id"), F.col("code"), F.col("next_code"), F.col("m")
     shift = F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(SHIFT_DAYS))
 
