@@ -67,4 +67,7 @@ def freeze(df: DataFrame) -> DataFrame:
     used where a frame feeds several jobs or carries partition numbers that
     must not change when a lost task is recomputed."""
     ensure_checkpoint_dir(df.sparkSession)
+    # Not persisted first: every frozen frame ends in a shuffle, so the file
+    # write after the eager job re-reads shuffle output instead of recomputing
+    # the plan, and an in-memory columnar cache costs more than it saves.
     return df.checkpoint(eager=True)

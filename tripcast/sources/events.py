@@ -26,6 +26,9 @@ LON_JITTER_MOD, LON_JITTER_OFF = 173, 86
 SCALE = 1e5
 # ---------------------------------------------------------------------------
 
+# Largest number of rows of one key ordered inside a single task.
+MAX_GROUP_ROWS = 1_000_000
+
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
@@ -39,16 +42,22 @@ def _type_code(c):
 
 
 def next_event(events: DataFrame, key: str, order: list[str], carry: list[str],
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
     """Attach ``next_<c>`` for each column in ``carry``: the values of the next
     row of the same ``key`` in ``order`` (null for the key's last row).
 
-    Rows are range-partitioned by ``(key, order)``, so a key with a very
-    large number of rows spreads over many partitions; the next row is found
-    inside each (partition, key) piece, and a piece's last row takes the
-    first row of the key's next piece from a table with one row per piece.
-    The partitioned rows are checkpointed, so piece numbers are stable.
+    When the largest key has at most ``max_group`` rows (one aggregation
+    checks it), a window per key does it. Otherwise rows are
+    range-partitioned by ``(key, order)``, so a key with very many rows
+    spreads over many partitions; the next row is found inside each
+    (partition, key) piece, and a piece's last row takes the first row of the
+    key's next piece from a table with one row per piece. The partitioned
+    rows are checkpointed, so piece numbers are stable.
     """
+    biggest = events.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_group:
+        w = Window.partitionBy(key).orderBy(*order)
+        return events.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
     spark = events.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     u = freeze(events.repartitionByRange(parts, key, *order).withColumn("__pid", F.spark_partition_id()))
