@@ -9,9 +9,11 @@ the result on the raw rows.
 Candidates come from one of two exact sources, chosen per person:
 
 * ``pairs``: the person's trips to predict joined with all of the person's
-  entries. Used only for persons whose ``trips x entries`` product is below
-  ``pair_cap`` (checked from per-person counts), so no unbounded group is
-  ever expanded into pairs.
+  entries (O-12). Under ``strategy='auto'`` only for persons whose
+  ``trips x entries`` product is below ``pair_cap`` (checked from
+  per-person counts), so no unbounded group is ever expanded into pairs;
+  ``strategy='pairs'`` forces it for every person and is meant for small
+  fixtures (the brute-force check in the tests).
 * ``walk``: the bounded neighbour walk of :mod:`tripcast.operators.walk` for
   every other person.
 
@@ -53,16 +55,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def candidate_pairs(test_f: DataFrame, train_f: DataFrame, broadcast_train: bool = False) -> DataFrame:
-    """Each trip to predict with every past row of the same person (O-12).
-
-    Brute force; meant for small inputs and tests. The predictors use
-    :func:`candidates`, which never expands an unbounded person.
-    """
-    right = broadcast_if_small(train_f) if broadcast_train else train_f
-    return test_f.join(right, test_f["out_id2"] == right["out_id"], "inner")
-
-
 def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "never") -> DataFrame:
     """Number of candidate past trips of each trip to predict, from
     per-person counts instead of listed pairs (O-12 / O-13 summary).
