@@ -99,8 +99,9 @@ def candidates(train_f: DataFrame, test_f: DataFrame, k: int, form: Form, strate
     if strategy not in ("auto", "walk"):
         raise ValueError("strategy must be 'auto', 'pairs' or 'walk'")
     if strategy == "auto":
-        # both inputs feed the size check and the main job: freeze them once
-        entries, test = freeze(entries), freeze(test)
+        # the entries feed the size check and the main job: freeze them once
+        # (the test side is a cheap projection of already frozen trips)
+        entries = freeze(entries)
         n_test = test.groupBy(F.col("out_id2").alias("out_id")).agg(F.count(F.lit(1)).alias("__nt"))
         n_entries = entries.groupBy("out_id").agg(F.count(F.lit(1)).alias("__ne"))
         per_person = n_test.join(n_entries, "out_id").select(
