@@ -110,3 +110,30 @@ def test_persons_with_short_history(spark, adv):
     keys = set(te.filter("out_id in (3, 4)").toPandas().r_key)
     assert keys <= set(res.r_key)
     assert not set(te.filter("out_id = 2").toPandas().r_key) & set(res.r_key)
+
+
+def test_index_positions_hot_bucket(spark):
+    """Dense positions per bucket and probe insertion points, with one bucket
+    holding most rows and spread over many range partitions."""
+    import bisect
+
+    from tripcast.operators.walk import index_positions
+    rnd = random.Random(3)
+    ent = [(1 if i % 8 else 2, 8, 0, round(rnd.uniform(100, 120), 3), f"c{i % 5}", 1) for i in range(4000)]
+    ent = list({(p, h, d, lon, c): None for p, h, d, lon, c, _ in ent})   # unique (bucket, lon, class)
+    probes = [(i, 1 if i % 3 else 2, 8, 0, round(rnd.uniform(99, 121), 3)) for i in range(300)]
+    e = spark.createDataFrame([(*k, 1) for k in ent],
+                              "out_id long, hour int, type_of_day int, start_lon double, class string, cnt long")
+    p = spark.createDataFrame(probes, "r_key long, out_id long, hour int, type_of_day int, start_lon2 double")
+    ie, ip = index_positions(e, p, "start_lon", "start_lon2", ["class"], partitions=16)
+    got_e = {(r.out_id, r.start_lon, r["class"]): (r.pos, r.n_b) for r in ie.collect()}
+    by_bucket = {}
+    for k in ent:
+        by_bucket.setdefault(k[0], []).append((k[3], k[4]))
+    for person, rows in by_bucket.items():
+        rows.sort()
+        for pos, (lon, cls) in enumerate(rows):
+            assert got_e[(person, lon, cls)] == (pos, len(rows))
+    for r in ip.collect():
+        lons = [lon for lon, _ in by_bucket[r.out_id]]
+        assert r.ins == bisect.bisect_right(lons, r.start_lon2)
