@@ -10,7 +10,7 @@ names), and an empty table gives an empty result with the same schema.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,3 +99,21 @@ def package_on_workers(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def with_results(docs: DataFrame, score: Callable[[list], dict[str, pa.Array]], results: str) -> DataFrame:
+    """Run ``score`` over the texts of Arrow batches; returns the input's
+    columns in a struct ``row`` (so no name can clash) and the result columns
+    named in the schema string ``results``."""
+    from pyspark.sql.types import StructField, StructType
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    schema = StructType([packed.schema["row"], *StructType.fromDDL(results).fields])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = score(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], ["row", *made])
+
+    return packed.mapInArrow(run, StructType([StructField("row", schema[0].dataType), *schema.fields[1:]]))

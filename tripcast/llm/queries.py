@@ -6,9 +6,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripcast.llm import materialise, packing
-from tripcast.llm.common import documents, package_on_workers
+from tripcast.llm import language, materialise, packing, toxicity
+from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    docs = id_and_text(documents(spark, sf_dir))
+    return toxicity.score_documents(docs, read_table(spark, sf_dir, "labels")).select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    docs = documents(spark, sf_dir)
+    return language.identify_documents(id_and_text(docs), docs).select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op3_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +38,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op4_language": op4_language,
     "op3_materialise": op3_materialise,
     "op9_packing": op9_packing,
 }
