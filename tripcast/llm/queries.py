@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import language, materialise, packing, toxicity
+from tripcast.llm import language, materialise, packing, quality, toxicity
 from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table
 
 
@@ -32,6 +32,10 @@ def op3_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(documents(spark, sf_dir))[1]
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     package_on_workers(spark)
     return packing.pack_documents(documents(spark, sf_dir))
@@ -41,7 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op3_materialise": op3_materialise,
+    "op6_quality": op6_quality,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality": quality.SQL}
