@@ -47,7 +47,7 @@ SUPPORT = 0.02  # least share of the sampled toxic documents that hold a witness
 IMPURE = 0.05  # most clean documents with a witness, against toxic ones
 WITNESSES = 240
 NEGATIVES, HARD = 3000, 30_000
-COST, BALANCE = 1.0, 8.0  # of a slack, and the most by which a rare class weighs more
+COST, BALANCE = 1.0, 3.0  # of a slack, and the most by which a rare class weighs more
 ALIKE = 0.9  # no two landmarks are nearer than this
 FLAT = 1e-2  # eigenvalues of the landmarks' kernel below this share are left out
 WINDOW, STEP = 24, 8  # longer terms are scored by overlapping windows
@@ -190,7 +190,7 @@ def _fit_terms(positive: list[str], negative: list[str], hard: list[str]) -> Mod
     landmarks = landmarks + _apart(negative[:4 * LANDMARKS], LANDMARKS - len(landmarks))
     # Padded spellings of the witnesses are witnesses too.
     padded = [t[:at] + c + t[at:] for t in _apart(positive, LANDMARKS) if len(t) > 3
-              for at, c in ((len(t) // 2, "x"), (len(t) // 3 + 1, "q"))]
+              for at, c in ((len(t) // 2, "x"),)]
     positive = positive + padded
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     keep = values > FLAT * values.max()
