@@ -98,7 +98,8 @@ def ratio_model(found: DataFrame, labels: DataFrame) -> DataFrame:
     spark = found.sparkSession
     trusted = (labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
                .withColumn("__trusted", F.lit(1)))
-    d = found.select("doc_id", "b").join(trusted, "doc_id", "left")
+    # The same join at every size: a broadcast of the labels has no bound.
+    d = found.select("doc_id", "b").join(trusted.hint("shuffle_merge"), "doc_id", "left")
     counts = (d.select("__trusted", F.explode(F.concat("b", pairs(F.col("b")))).alias("bucket"))
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target")))
     full = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
