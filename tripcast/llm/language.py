@@ -37,8 +37,8 @@ ROUNDS = 3
 SMOOTHING = 0.02
 LONGEST = 48
 UNKNOWN = 1e-9  # probability of a character that no piece covers
-CACHE = 300_000  # words a task remembers
-BLOCK = 20_000  # words that one pass over the lattice takes
+CACHE = 150_000  # words a task remembers
+BLOCK = 8_000  # words that one pass over the lattice takes
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -192,9 +192,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, model_file: str = VOCABULARY) -
     language, whatever the input."""
     known = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select(
         "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("__n"))
+    sizes = known.groupBy("lang").count().collect()  # a row for each language
+    if not sizes:
+        return [], np.zeros((1, 0))
+    size = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in r]), F.col("lang"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    picked = known.join(sizes, "lang").filter(share * F.col("__n") < F.lit(1_000_000 * sample))
+    picked = known.filter(share * size < F.lit(1_000_000 * sample))
     words = picked.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
