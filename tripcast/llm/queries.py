@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import language, materialise, packing, quality, toxicity
+from tripcast.llm import language, materialise, near_dedup, packing, quality, toxicity
 from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     package_on_workers(spark)
     docs = id_and_text(documents(spark, sf_dir))
@@ -42,6 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op3_materialise": op3_materialise,
