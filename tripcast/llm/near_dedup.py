@@ -11,10 +11,13 @@ matches) gives the chance that it still reaches the threshold, and below
 Buckets are not expanded into all pairs. In each round every node meets one
 node of each of its buckets (first the smallest id, then random ones of finer
 buckets, made of two bands) if the two are not in one component yet, and the
-verified links merge components. What is left after the rounds, pairs of one
-bucket in different components, is then compared in full, so no link that
-the bands find between two components is lost. A pair at the threshold shares
-no band with chance ``(1 - 0.85 ** ROWS) ** BANDS``, below 1e-6.
+verified links merge components. Nodes whose buckets still hold different
+components are then joined on the rare ends of their sets: with shingles in
+one fixed order, rare first, two sets can only reach the threshold if they
+share a shingle near their beginnings, and the places of the first shared one
+bound the overlap. That loses nothing and does not pair the members of a
+large group of loosely similar texts. A pair at the threshold shares no band
+with chance ``(1 - 0.85 ** ROWS) ** BANDS``, below 1e-6.
 
 Defined cases: an empty or null text has the empty set and is linked with
 nothing; fewer than five words are one shingle; rows that repeat an id are one
@@ -40,7 +43,8 @@ PERCENT = 85  # link when 100 * intersection >= PERCENT * union
 BANDS, ROWS = 24, 5
 BATCH = 24  # minimum hashes that one step of a comparison reads
 MISS = 1e-7  # chance at which a pair is given up
-ROUNDS = 3
+ROUNDS = 2
+RARE_BITS = 18  # shingles are counted in this many bits' buckets, to order them
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
@@ -191,6 +195,44 @@ def verify(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def rare_ends(left: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(key, place, id, size, label)``: the first shingles of each set of
+    ``(id, label, text)``, in the order of how often their bucket occurs and
+    then of their hash, as many as a partner must share one of."""
+    shift = np.uint64(64 - RARE_BITS)
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << RARE_BITS, np.int64)
+        for _, texts in text_slices(batches):
+            for s in shingles(texts):
+                np.add.at(n, (s >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+    rows = left.select("id", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()
+    counts = np.zeros(1 << RARE_BITS, np.int64)  # a fixed number of buckets
+    for bucket, n in rows:
+        counts[bucket] = n
+    table = left.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for node, label, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                s = shingles([text.encode()])[0]
+                s = s[np.lexsort((s, table.value[(s >> shift).astype(np.int64)]))]
+                n = len(s) - -(-percent * len(s) // 100) + 1
+                cols[0].append(s[:n].astype(np.int64))
+                cols[1].append(np.arange(n))
+                for c, v in zip(cols[2:], (node, len(s), label)):
+                    c.append(np.full(n, v, np.int64))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols],
+                                                 ["key", "place", "id", "size", "label"])
+
+    return left.select("id", "label", "text").mapInArrow(run, "key long, place long, id long, size long, label long")
+
+
 def _sized(n: Column, m: Column, percent: int) -> Column:
     """Can sets of these sizes reach the threshold at all?"""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -208,10 +250,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
     bands = sets.select("id", "size", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     # Only nodes that share a bucket go on: their buckets, signatures and texts.
-    met = written(bands.join(shared, "key").groupBy("id").agg(
+    met = written(bands.join(shared.hint("shuffle_merge"), "key").groupBy("id").agg(
         F.first("size").alias("size"), F.collect_set("key").alias("keys")), "met")  # at most BANDS keys
-    sigs = written(sets.join(met.select("id"), "id", "left_semi").select("id", "signature"), "signatures")
-    texts = written(id_and_text(docs).join(met.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sigs = written(sets.join(met.select("id").hint("shuffle_merge"), "id", "left_semi").select("id", "signature"), "signatures")
+    texts = written(id_and_text(docs).join(met.select(F.col("id").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi")
                     .groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), "texts")
     # Rows that repeat an id may have several sets: such ids are joined first.
     links = written(named.join(sets.select("digest", F.col("id").alias("b")), "digest")
@@ -223,11 +265,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
     def settle(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Compare, verify, and merge the components that are linked."""
         pairs = written(pairs.distinct(), "pairs")
-        with_sigs = (pairs.join(sigs.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")), "a")
-                     .join(sigs.select(F.col("id").alias("b"), F.col("signature").alias("sig_b")), "b"))
+        with_sigs = (pairs.join(sigs.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")).hint("shuffle_merge"), "a")
+                     .join(sigs.select(F.col("id").alias("b"), F.col("signature").alias("sig_b")).hint("shuffle_merge"), "b"))
         left = written(prune(with_sigs, percent), "survivors")
-        with_texts = (left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-                      .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
+        with_texts = (left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
+                      .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b"))
         known.append(written(verify(with_texts, percent), "links"))
         at = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
         bt = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
@@ -254,41 +296,26 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
             F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
         labels = settle(pairs, labels)
 
-    keyed = met.select("id", "size", F.explode("keys").alias("key")).join(labels, "id")
-    open_keys = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
+    keyed = met.select("id", F.explode("keys").alias("key")).join(labels, "id")
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
         "lo < hi").select("key")
-    keyed = written(keyed.join(open_keys, "key").join(sigs, "id").select(
-        "key", "id", "size", "label", *_sketch(F.col("signature"))), "open")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(4)), F.lit(0))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-                   & _sized(F.col("a.size"), F.col("b.size"), percent) & (near <= SKETCH_MISSES)).select(
+    left = written(keyed.join(mixed, "key").select("id", "label").distinct()
+                   .join(texts.hint("shuffle_merge"), "id"), "open")
+    ends = written(rare_ends(left, percent), "ends")
+    a, b = ends.alias("a"), ends.alias("b")
+    overlap = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))  # at most
+    pairs = a.join(b.hint("shuffle_merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
+                   & (overlap * (100 + percent) >= percent * (F.col("a.size") + F.col("b.size")))).select(
         F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
     labels = settle(pairs, labels)
 
     # Every set's component: the smallest id among its merged nodes.
-    out = found.join(sets.select("digest", "id"), "digest", "left").join(labels, "id", "left")
+    out = found.join(sets.select("digest", "id").hint("shuffle_merge"), "digest", "left").join(labels, "id", "left")
     component = F.coalesce("label", "id")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return out.select("doc_id", "n_shingles", F.when(linked, component).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-# A pair at the threshold differs in no more of the sketch's bits, but for a
-# chance under 1e-7 (0.075 of them on average).
-SKETCH_MISSES = 30
-
-
-def _sketch(signature: Column) -> list[Column]:
-    """One bit of each of the first 120 minimum hashes, in four numbers."""
-    h = F.hex(signature)  # eight digits a hash, the low byte first
-    parts = []
-    for k in range(4):
-        digits = F.concat(*[F.substring(h, 8 * i + 2, 1) for i in range(30 * k, 30 * k + 30)])
-        bits = F.translate(digits, "0123456789ABCDEF", "0101010101010101")
-        parts.append(F.conv(bits, 2, 10).cast("long").alias(f"s{k}"))
-    return parts
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = classes(docs, percent)
     kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
