@@ -1,24 +1,65 @@
-"""Stages of the corpus pipeline (see ``corpus_pipeline.py``)."""
+"""Stages of the corpus pipeline (see ``corpus_pipeline.py``).
+
+Every stage works on all rows that the stage before it kept and returns the
+columns of ``documents``, except the last, which returns packed pieces.
+
+- toxicity: documents that the operator predicts toxic go. It learns from
+  ``labels`` and the documents it is given.
+- language: documents without a language (``und``: no letter at all) go.
+- near duplicates: the document with the smallest id of each group stays;
+  rows with a null id stay.
+- repeated passages: the bytes that the operator removes go from the texts (a
+  character cut in two by a removed run goes whole); the count of characters
+  follows. A document that loses all of its text goes; one that was empty
+  before stays.
+- packing: the pieces of the texts that are left, with their places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripcast.llm import packing
-from tripcast.llm.common import documents, package_on_workers, written
+from tripcast.llm import language, near_dedup, packing, passages, toxicity
+from tripcast.llm.common import documents, package_on_workers, read_table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    scored = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"))
+    return scored.filter("predicted = 0").select("row.*")
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    return language.identify_documents(docs).filter("lang_pred <> 'und'").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    return passages.without_repeats(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: the packed pieces of what the others kept."""
     package_on_workers(spark)
     return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeats),
     ("best_fit_packing", pack_sequences),
 ]
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import language, materialise, near_dedup, packing, quality, toxicity
-from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table
+from tripcast.llm import fingerprints, language, materialise, near_dedup, packing, passages, quality, toxicity
+from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table, written
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,18 +41,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    return passages.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept", "spans")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     package_on_workers(spark)
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(fingerprints.fingerprints(documents(spark, sf_dir)), "fingerprints")
+    return fingerprints.search(found).select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op3_materialise": op3_materialise,
     "op6_quality": op6_quality,
+    "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_quality": quality.SQL}
