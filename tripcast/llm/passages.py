@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from tripcast.llm.common import id_and_text, text_slices, written
 from tripcast.llm.suffixes import equal_windows
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 24
 SPAN = WIDTH - GRAM + 1  # grams in a window
 CHUNK = 2 << 20
 RANGE_ROWS = 1 << 21  # anchors that one range holds, about
-FREQUENT = 512
+FREQUENT = 4096
 TOGETHER = 12  # distinct snippets in one text of the suffix array
 NO_ID = np.iinfo(np.int64).min  # stands for a null id
 
@@ -84,35 +84,22 @@ def anchors(text: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(lens)
     if not (lens >= WIDTH).any():
         return np.zeros(0, np.uint64), empty, empty, empty, empty
-    a = np.frombuffer(text, np.uint8)
-    h = _grams(a)
-    # Leftmost smallest gram of each window, by windows of doubled width.
-    low = h
-    width = 1
+    h = _grams(np.frombuffer(text, np.uint8))
+    # The high bits of a hash with its place below them: the smallest of a
+    # window's grams, the leftmost of equal ones, and its place in one number.
+    bits = np.uint64(max(1, len(h).bit_length()))
+    low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
+    width = 1  # smallest of ever wider windows
     while 2 * width <= SPAN:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[:len(low) - (SPAN - width)], low[SPAN - width:]) if SPAN > width else low
-    starts = np.arange(len(low))
-    doc = np.searchsorted(ends, starts, side="right")
-    whole = starts + WIDTH <= ends[doc]
-    # A gram is an anchor of the windows whose smallest hash it is; the place
-    # is found from the last place before the window's end with that hash.
-    where = np.full(len(low), -1, np.int64)
-    todo = np.flatnonzero(whole)
-    value = low
-    for k in range(SPAN):
-        if not len(todo):
-            break
-        hit = h[todo + k] == value[todo]
-        where[todo[hit]] = todo[hit] + k
-        todo = todo[~hit]
-    keep = np.flatnonzero(whole)
-    place = where[keep]
-    cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[keep][1:] != doc[keep][:-1]))))
-    first = keep[cut]
-    last = keep[np.append(cut[1:], len(keep)) - 1]
-    return h[place[cut]], doc[first], place[cut], first, last
+    if width < SPAN:
+        low = np.minimum(low[:-(SPAN - width)], low[SPAN - width:])
+    doc = np.repeat(np.arange(len(lens)), lens)[:len(low)]
+    keep = np.flatnonzero(np.arange(WIDTH, WIDTH + len(low)) <= ends[doc])
+    place, doc = (low[keep] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), doc[keep]
+    cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
+    return h[place[cut]], doc[cut], place[cut], keep[cut], keep[np.append(cut[1:], len(keep)) - 1]
 
 
 def store_chunks(docs: DataFrame) -> DataFrame:
@@ -208,21 +195,30 @@ def _rows(kind: int, h, snippet, chunk: int, doc, ids, first, d1, d2) -> pa.Reco
         pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], [c.split()[0] for c in SNIPPETS.split(", ")])
 
 
-def _class_windows(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Class numbers of all windows of distinct snippets of one anchor, by
-    texts of a few snippets; equal classes of two texts are then merged by
-    their bytes. Also each snippet's number of windows."""
-    windows = np.array([len(s) - WIDTH + 1 for s in snippets], np.int64)
-    owners = np.arange(len(snippets)) // TOGETHER
-    classes = equal_windows(snippets, owners, windows, WIDTH)
-    if owners[-1]:
-        _, at = np.unique(classes, return_index=True)
-        which = np.repeat(np.arange(len(snippets)), windows)[at]
-        offset = at - np.concatenate(([0], np.cumsum(windows)[:-1]))[which]
-        same: dict[bytes, int] = {}
-        merged = np.array([same.setdefault(snippets[s][o:o + WIDTH], k) for k, (s, o) in enumerate(zip(which, offset))])
-        classes = merged[np.searchsorted(classes[at], classes)]
-    return classes, windows
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0]-1, 0 .. n[1]-1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _merge(classes: np.ndarray, strings: list[bytes], windows: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Classes of the snippets ``some``, made one where their bytes agree."""
+    offsets = np.cumsum(windows) - windows
+    at = np.repeat(offsets[some], windows[some]) + _steps(windows[some])
+    which = np.repeat(some, windows[some])
+    _, once = np.unique(classes[at], return_index=True)
+    same: dict[bytes, int] = {}
+    to = np.arange(classes.max() + 1)
+    for w, o, c in zip(which[once].tolist(), (at[once] - offsets[which[once]]).tolist(), classes[at[once]].tolist()):
+        to[c] = same.setdefault(strings[w][o:o + WIDTH], c)
+    return to[classes]
+
+
+def _class_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all windows of one anchor's distinct snippets, and how many
+    windows each of them has."""
+    windows = np.array([len(s) - WIDTH + 1 for s in strings], np.int64)
+    classes = equal_windows(strings, np.arange(len(strings)) // TOGETHER, windows, WIDTH)
+    return (_merge(classes, strings, windows, np.arange(len(strings))) if len(strings) > TOGETHER else classes), windows
 
 
 def snippets(chunks: DataFrame, marks: DataFrame) -> DataFrame:
@@ -284,55 +280,46 @@ def _match(found: DataFrame) -> DataFrame:
     """Removed runs from the snippets of shared anchors, anchor by anchor."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # held: (snippet strings, chunk, doc, id, first) of whole anchors
-        texts, owners, lows, parts, at_group = [], [], [], [], 0
-        for own, chunk, doc, ids, first in held:
-            distinct: dict[bytes, int] = {}
-            of = np.array([distinct.setdefault(s, len(distinct)) for s in own])
-            low = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(low, of, ids)
-            parts.append((list(distinct), of, low, chunk, doc, ids, first))
-        # One suffix-array call for all anchors with few distinct snippets.
-        few = [p for p in parts if 1 < len(p[0]) <= TOGETHER]
-        if few:
-            texts = [s for p in few for s in p[0]]
-            owners = np.repeat(np.arange(len(few)), [len(p[0]) for p in few])
-            windows = np.array([len(s) - WIDTH + 1 for s in texts], np.int64)
-            classes = equal_windows(texts, owners, windows, WIDTH)
-            cut = np.cumsum([0, *(sum(len(s) - WIDTH + 1 for s in p[0]) for p in few)])
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        at_few = 0
-        for p in parts:
-            distinct, of, low, chunk, doc, ids, first = p
-            n = np.array([len(s) - WIDTH + 1 for s in distinct], np.int64)
-            if len(distinct) == 1:
-                least = np.full(n[0], low[0])
-            else:
-                if len(distinct) <= TOGETHER:
-                    c = classes[cut[at_few]:cut[at_few + 1]]
-                    at_few += 1
-                else:
-                    c, _ = _class_windows(distinct)
-                _, c = np.unique(c, return_inverse=True)
-                best = np.full(c.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(best, c, np.repeat(low, n))
-                least = best[c]
-            offsets = np.concatenate(([0], np.cumsum(n)))
-            m = n[of]
-            step = np.arange(m.sum()) - np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m)
-            gone = least[np.repeat(offsets[of], m) + step] < np.repeat(ids, m)
-            start = np.repeat(first, m) + step
-            who = np.repeat(np.arange(len(of)), m)
-            gone_at = np.flatnonzero(gone)
-            if len(gone_at):  # runs of neighbouring windows of one occurrence
-                new = np.concatenate(([True], (who[gone_at][1:] != who[gone_at][:-1]) | (start[gone_at][1:] != start[gone_at][:-1] + 1)))
-                a = gone_at[np.flatnonzero(new)]
-                b = gone_at[np.append(np.flatnonzero(new)[1:], len(gone_at)) - 1]
-                for c, v in zip(out, (chunk[who[a]], doc[who[a]], start[a], start[b] + WIDTH)):
-                    c.append(v)
-        if out[0]:
+        # held: snippets, chunk, doc, id and first start of whole anchors
+        own = [x for piece in held for x in piece[0]]
+        chunk, doc, ids, first = (np.concatenate([piece[c] for piece in held]) for c in range(1, 5))
+        anchor = np.repeat(np.arange(len(held)), [len(piece[0]) for piece in held])
+        # A snippet has its anchor inside, so equal ones belong to one anchor.
+        number: dict[bytes, int] = {}
+        of = np.fromiter((number.setdefault(x, len(number)) for x in own), np.int64, len(own))
+        distinct = list(number)
+        low = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(low, of, ids)
+        n = np.fromiter(map(len, distinct), np.int64, len(distinct)) - WIDTH + 1
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        least = np.repeat(low, n)  # of each window: the smallest document of its class
+        group = anchor[np.unique(of, return_index=True)[1]]  # ascending
+        several = np.bincount(group, minlength=len(held))
+        # Texts of a few snippets each, for anchors with several; classes of
+        # two texts of one anchor are merged by their bytes.
+        rank = np.arange(len(group)) - np.searchsorted(group, group)
+        multi = np.flatnonzero(several[group] > 1)
+        if len(multi):
+            owner = np.unique(group[multi] * (len(own) + 1) + rank[multi] // TOGETHER, return_inverse=True)[1]
+            strings = [distinct[k] for k in multi]
+            classes = equal_windows(strings, owner, n[multi], WIDTH)
+            where = np.repeat(offsets[multi], n[multi]) + _steps(n[multi])
+            large = several[group[multi]] > TOGETHER
+            if large.any():
+                classes = _merge(classes, strings, n[multi], np.flatnonzero(large))
+            best = np.full(classes.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(best, classes, least[where])
+            least[where] = best[classes]
+        m = n[of]
+        step = _steps(m)
+        gone = np.flatnonzero(least[np.repeat(offsets[of], m) + step] < np.repeat(ids, m))
+        if len(gone):  # runs of neighbouring windows of one occurrence
+            who, start = np.repeat(np.arange(len(of)), m)[gone], (np.repeat(first, m) + step)[gone]
+            new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1))))
+            a, b = who[new], np.append(new[1:], len(gone)) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, (np.int64, np.int32, np.int32, np.int32))],
+                [pa.array(x.astype(k)) for x, k in zip((chunk[a], doc[a], start[new], start[b] + WIDTH),
+                                                       (np.int64, np.int32, np.int32, np.int32))],
                 ["chunk", "doc", "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
