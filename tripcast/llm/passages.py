@@ -6,6 +6,8 @@ the ``GRAM``-byte strings in it; equal windows have equal anchors at equal
 places, and neighbouring windows mostly share theirs. So anchors, about one
 for every ten to twenty bytes, route the comparison:
 
+0. A document whose whole text a smaller document has is a copy, found by its
+   digest: it goes whole, and its anchors need no comparison.
 1. Texts are stored in chunks. Each chunk's distinct anchor hashes go, 32 bits
    each and sorted, to ranges of the hash space; a range says by one bit per
    anchor whether another document has it. Chunks get their bits back.
@@ -13,7 +15,7 @@ for every ten to twenty bytes, route the comparison:
    windows. Snippets meet by anchor; the distinct ones of an anchor form one
    text, whose suffix array (see ``suffixes``) lays equal windows side by
    side. A window is removed where its class has a smaller document.
-3. An anchor of more than ``FREQUENT`` documents is not gathered: its windows
+3. An anchor of more than ``FREQUENT`` occurrences is not gathered: its windows
    are classed within each chunk the same way, and the chunks' classes meet by
    a 128-bit digest of their bytes in a grouped minimum and a join.
 4. Chunks get their documents' removed runs and write the results.
@@ -45,7 +47,7 @@ WIDTH, GRAM = 50, 24
 SPAN = WIDTH - GRAM + 1  # grams in a window
 CHUNK = 2 << 20
 RANGE_ROWS = 1 << 21  # anchors that one range holds, about
-FREQUENT = 4096
+FREQUENT = 1 << 15  # occurrences of one anchor that a task gathers, some 2 MB
 TOGETHER = 12  # distinct snippets in one text of the suffix array
 NO_ID = np.iinfo(np.int64).min  # stands for a null id
 
@@ -221,7 +223,7 @@ def _class_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (_merge(classes, strings, windows, np.arange(len(strings))) if len(strings) > TOGETHER else classes), windows
 
 
-def snippets(chunks: DataFrame, marks: DataFrame) -> DataFrame:
+def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFrame:
     """Occurrences of shared anchors (kind 1) and windows of frequent ones
     (kind 2, one row for each class and document of the chunk)."""
 
@@ -234,6 +236,7 @@ def snippets(chunks: DataFrame, marks: DataFrame) -> DataFrame:
                 mark = np.concatenate([np.frombuffer(m["marks"], np.uint8) for m in row["marks"]])
                 _, back = np.unique(h, return_inverse=True)
                 mark = mark[back]
+                mark[np.isin(doc, np.array(row["copies"] or [], np.int64))] = 0
                 text, begin = row["text"], np.concatenate(([0], np.cumsum(np.frombuffer(row["lens"], np.int64))))
                 hot = np.flatnonzero(mark == 1)
                 for part in range(0, len(hot), 20_000):
@@ -241,7 +244,7 @@ def snippets(chunks: DataFrame, marks: DataFrame) -> DataFrame:
                     none = [None] * len(k)
                     # The offset of the anchor in the snippet goes into the key:
                     # equal windows lie alike around their anchor.
-                    yield _rows(1, h[k].astype(np.int64), [text[a:b + WIDTH] for a, b in zip(first[k], last[k])],
+                    yield _rows(1, h[k].astype(np.int64), [text[a:b] for a, b in zip(first[k].tolist(), (last[k] + WIDTH).tolist())],
                                 row["chunk"], doc[k], ids[doc[k]], first[k] - begin[doc[k]], none, none)
                 often = np.flatnonzero(mark == 2)
                 often = often[np.argsort(h[often], kind="stable")]
@@ -249,7 +252,7 @@ def snippets(chunks: DataFrame, marks: DataFrame) -> DataFrame:
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
                     yield from _frequent(row, text, often[lo:hi], doc, ids, first, last, begin)
 
-    joined = chunks.join(marks.hint("shuffle_merge"), "chunk")
+    joined = chunks.join(marks.join(copies.hint("shuffle_merge"), "chunk", "left").hint("shuffle_merge"), "chunk")
     return joined.mapInArrow(run, SNIPPETS)
 
 
@@ -279,11 +282,9 @@ RUNS = "chunk long, doc int, lo int, hi int"
 def _match(found: DataFrame) -> DataFrame:
     """Removed runs from the snippets of shared anchors, anchor by anchor."""
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        # held: snippets, chunk, doc, id and first start of whole anchors
-        own = [x for piece in held for x in piece[0]]
-        chunk, doc, ids, first = (np.concatenate([piece[c] for piece in held]) for c in range(1, 5))
-        anchor = np.repeat(np.arange(len(held)), [len(piece[0]) for piece in held])
+    def flush(h, own, chunk, doc, ids, first) -> Iterator[pa.RecordBatch]:
+        """Whole anchors: their occurrences' snippets, documents and places."""
+        anchor = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
         # A snippet has its anchor inside, so equal ones belong to one anchor.
         number: dict[bytes, int] = {}
         of = np.fromiter((number.setdefault(x, len(number)) for x in own), np.int64, len(own))
@@ -294,7 +295,7 @@ def _match(found: DataFrame) -> DataFrame:
         offsets = np.concatenate(([0], np.cumsum(n)))
         least = np.repeat(low, n)  # of each window: the smallest document of its class
         group = anchor[np.unique(of, return_index=True)[1]]  # ascending
-        several = np.bincount(group, minlength=len(held))
+        several = np.bincount(group)
         # Texts of a few snippets each, for anchors with several; classes of
         # two texts of one anchor are merged by their bytes.
         rank = np.arange(len(group)) - np.searchsorted(group, group)
@@ -323,30 +324,20 @@ def _match(found: DataFrame) -> DataFrame:
                 ["chunk", "doc", "lo", "hi"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, tail = 0, None
+        rest = None  # the rows of the last anchor, which may go on
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(0).to_numpy()
-            cols = [batch.column(1).to_pylist(), *(batch.column(c).to_numpy() for c in range(2, 6))]
-            cuts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                piece = tuple(c[lo:hi] for c in cols)
-                if tail is not None and tail[0] == h[lo]:
-                    tail = (h[lo], tuple(x + y if isinstance(x, list) else np.concatenate((x, y)) for x, y in zip(tail[1], piece)))
-                    continue
-                if tail is not None:
-                    held.append(tail[1])
-                    size += len(tail[1][0])
-                tail = (h[lo], piece)
-                if size > 8000:
-                    yield from flush(held)
-                    held, size = [], 0
-        if tail is not None:
-            held.append(tail[1])
-        if held:
-            yield from flush(held)
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_pylist(), *(batch.column(c).to_numpy() for c in range(2, 6))]
+            if rest is not None:
+                cols = [x + y if isinstance(y, list) else np.concatenate((x, y)) for x, y in zip(rest, cols)]
+            cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1  # beginnings of anchors
+            done = 0
+            while len(cuts) and done < cuts[-1]:
+                upto = cuts[min(np.searchsorted(cuts, done + 8000), len(cuts) - 1)]
+                yield from flush(*(c[done:upto] for c in cols))
+                done = upto
+            rest = [c[done:] for c in cols]
+        if rest is not None and len(rest[0]):
+            yield from flush(*rest)
 
     rows = found.filter("kind = 1").select("h", "snippet", "chunk", "doc", "id", "first")
     # An anchor here has at most FREQUENT documents; the order keeps it together.
@@ -361,11 +352,35 @@ def _match_frequent(found: DataFrame) -> DataFrame:
         "chunk", "doc", "lo", (F.col("lo") + WIDTH).alias("hi"))
 
 
+def copied(chunks: DataFrame) -> DataFrame:
+    """``(chunk, doc, lo, hi)`` of whole copies of a smaller document's text."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, lens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64)
+                ends = np.cumsum(lens)
+                k = np.flatnonzero((lens >= WIDTH) & (ids != NO_ID))
+                digests = [hashlib.blake2b(row["text"][b - n:b], digest_size=16).digest()
+                           for b, n in zip(ends[k].tolist(), lens[k].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(k), row["chunk"])), pa.array(k.astype(np.int32)), pa.array(ids[k]),
+                     pa.array(lens[k].astype(np.int32)), pa.array(digests, pa.binary())], ["chunk", "doc", "id", "hi", "digest"])
+
+    rows = written(chunks.mapInArrow(run, "chunk long, doc int, id long, hi int, digest binary"), "digests")
+    low = rows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    low = written(low.select("digest", "low"), "copied")
+    return rows.join(low.hint("shuffle_merge"), "digest").filter("low < id").select(
+        "chunk", "doc", F.lit(0).alias("lo"), "hi")
+
+
 def removed_runs(chunks: DataFrame) -> DataFrame:
     """``(chunk, doc, lo, hi)``: removed byte runs (they may overlap) of the
     chunk's documents, by number."""
-    found = written(snippets(chunks, shared_anchors(chunks)), "snippets")
-    return _match(found).unionByName(_match_frequent(found))
+    whole = written(copied(chunks), "copies")
+    copies = whole.groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
+    found = written(snippets(chunks, shared_anchors(chunks), copies), "snippets")
+    return _match(found).unionByName(_match_frequent(found)).unionByName(whole)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
