@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import fingerprints, language, materialise, near_dedup, packing, passages, quality, toxicity
+from tripcast.llm import (
+    fingerprints, language, licences, materialise, near_dedup, packing, passages, pieces, quality, toxicity)
 from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table, written
 
 
@@ -37,6 +38,18 @@ def op3_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(documents(spark, sf_dir))[1]
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: ``source/hundreds/id``."""
+    docs = documents(spark, sf_dir)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100), F.col("doc_id"))
+    return licences.scan(docs.select(path.alias("path"), "text")).withColumn(
+        "doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
@@ -63,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op3_materialise": op3_materialise,
+    "op5_pieces": op5_pieces,
     "op6_quality": op6_quality,
+    "op7_licences": op7_licences,
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
