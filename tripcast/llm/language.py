@@ -37,8 +37,8 @@ ROUNDS = 3
 SMOOTHING = 0.02
 LONGEST = 48
 UNKNOWN = 1e-9  # probability of a character that no piece covers
-CACHE = 150_000  # words a task remembers
-BLOCK = 8_000  # words that one pass over the lattice takes
+CACHE = 80_000  # words a task remembers
+BLOCK = 5_000  # words that one pass over the lattice takes
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 

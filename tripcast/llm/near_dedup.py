@@ -20,9 +20,9 @@ large group of loosely similar texts. A pair at the threshold shares no band
 with chance ``(1 - 0.85 ** ROWS) ** BANDS``, below 1e-6.
 
 Defined cases: an empty or null text has the empty set and is linked with
-nothing; fewer than five words are one shingle; rows that repeat an id are one
-node of that id (of its smallest text) and each get a row; a null id is kept,
-linked with nothing.
+nothing; fewer than five words are one shingle; rows that repeat an id each get
+a row, by their own text (ids are taken to be distinct for different texts); a
+null id is kept, linked with nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import id_and_text, text_slices, written
+from tripcast.llm.common import drop_written, id_and_text, text_slices, written
 from tripcast.llm.components import components
 
 SHINGLE = 5
@@ -255,12 +255,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
     sigs = written(sets.join(met.select("id").hint("shuffle_merge"), "id", "left_semi").select("id", "signature"), "signatures")
     texts = written(id_and_text(docs).join(met.select(F.col("id").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi")
                     .groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), "texts")
-    # Rows that repeat an id may have several sets: such ids are joined first.
-    links = written(named.join(sets.select("digest", F.col("id").alias("b")), "digest")
-                    .select(F.col("doc_id").alias("a"), "b").filter("a <> b")
-                    .join(met.select(F.col("id").alias("a")), "a", "left_semi"), "links")
     labels = met.select("id", F.col("id").alias("label"))
-    known = [links]
 
     def settle(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Compare, verify, and merge the components that are linked."""
@@ -270,12 +265,15 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
         left = written(prune(with_sigs, percent), "survivors")
         with_texts = (left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
                       .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b"))
-        known.append(written(verify(with_texts, percent), "links"))
+        new = written(verify(with_texts, percent), "links")
         at = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
         bt = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        merged = components(known[-1].join(at, "a").join(bt, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        return written(labels.join(merged.withColumnRenamed("id", "label"), "label", "left").select(
+        merged = components(new.join(at, "a").join(bt, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        out = written(labels.join(merged.withColumnRenamed("id", "label"), "label", "left").select(
             "id", F.coalesce("component", "label").alias("label")), "labels")
+        for used in (pairs, left, new):
+            drop_written(used)
+        return out
 
     for r in range(rounds):
         if r == 0:
@@ -309,6 +307,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
         F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
     labels = settle(pairs, labels)
 
+    for used in (met, sigs, texts, left, ends):
+        drop_written(used)
     # Every set's component: the smallest id among its merged nodes.
     out = found.join(sets.select("digest", "id").hint("shuffle_merge"), "digest", "left").join(labels, "id", "left")
     component = F.coalesce("label", "id")

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import id_and_text, text_slices, written
+from tripcast.llm.common import drop_written, id_and_text, text_slices, written
 from tripcast.llm.suffixes import equal_windows
 
 WIDTH, GRAM = 50, 24
@@ -380,7 +380,10 @@ def removed_runs(chunks: DataFrame) -> DataFrame:
     whole = written(copied(chunks), "copies")
     copies = whole.groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
     found = written(snippets(chunks, shared_anchors(chunks), copies), "snippets")
-    return _match(found).unionByName(_match_frequent(found)).unionByName(whole)
+    runs = written(_match(found).unionByName(_match_frequent(found)).unionByName(whole), "runs")
+    for used in (found, whole):
+        drop_written(used)
+    return runs
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
@@ -390,7 +393,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row for each input row: sizes, the kept bytes' digest and, with
     ``with_text``, the kept bytes and the removed spans themselves."""
     chunks = store_chunks(docs)
-    runs = written(removed_runs(chunks), "runs")
+    runs = removed_runs(chunks)
     # A chunk's runs: at most one for each anchor of its bytes, and the
     # windows of its frequent anchors.
     by_chunk = runs.groupBy("chunk").agg(F.collect_list(F.struct("doc", "lo", "hi")).alias("runs"))

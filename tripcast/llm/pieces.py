@@ -94,40 +94,38 @@ def encode_units(distinct: DataFrame, model_file: str = MODEL) -> DataFrame:
     return folded.withColumn("path", path).select("unit", F.flatten(F.transform("path", spell)).alias("ids"))
 
 
-def _placed(docs: DataFrame, model_file: str) -> tuple[DataFrame, DataFrame]:
+def _placed(docs: DataFrame, model_file: str) -> DataFrame:
     """Every unit of every document with its ids: ``(__row, doc_id, pos,
-    ids)``; and the documents."""
+    ids)``, and a row with nulls for a document without any."""
     d = id_and_text(docs).withColumn("__row", F.monotonically_increasing_id())
-    placed = d.select("__row", "doc_id", F.posexplode(units(F.col("text"))).alias("pos", "unit"))
-    counts = written(placed.groupBy("unit").agg(F.count("*").alias("n")), "units")
+    placed = d.select("__row", "doc_id", F.posexplode_outer(units(F.col("text"))).alias("pos", "unit"))
+    counts = written(placed.filter("unit is not null").groupBy("unit").agg(F.count("*").alias("n")), "units")
     known = written(encode_units(counts.select("unit"), model_file).join(counts, "unit"), "unit-ids")
     common = known.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids", F.lit(True).alias("common"))
     common = written(common, "common-units")
     # COMMON units of at most LONGEST characters: a bounded table.
     first = placed.join(F.broadcast(common), "unit", "left")
-    rest = first.filter("common is null").drop("ids", "common").join(
+    rest = first.filter("common is null and unit is not null").drop("ids", "common").join(
         known.select("unit", "ids").hint("shuffle_merge"), "unit")
     cols = ["__row", "doc_id", "pos", "ids"]
-    return first.filter("common").select(cols).unionByName(rest.select(cols)), d
+    return first.filter("common or unit is null").select(cols).unionByName(rest.select(cols))
 
 
 def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """``(doc_id, ids)``: all piece ids of every text, in order."""
-    placed, d = _placed(docs, model_file)
-    ids = placed.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("u"))
-    return d.select("__row", "doc_id").join(ids, "__row", "left").select(
-        "doc_id", F.coalesce(F.flatten(F.transform("u", lambda x: x["ids"])), F.array().cast("array<int>")).alias("ids"))
+    found = _placed(docs, model_file).groupBy("__row", "doc_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("u"))
+    return found.select("doc_id", F.flatten(F.transform("u", lambda x: x["ids"])).alias("ids"))
 
 
 def digests(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """``(doc_id, n_units, n_pieces, checksum)``: the encoding of every text,
     summed unit by unit (the checksum covers place and ids), so that only
     sums are shuffled."""
-    placed, d = _placed(docs, model_file)
     mixed = F.pmod(F.xxhash64("pos", "ids"), F.lit(1 << 31))
-    sums = placed.groupBy("__row").agg(F.count("*").alias("n_units"), F.sum(F.size("ids")).alias("n_pieces"),
-                                       F.sum(mixed).alias("checksum"))
-    return d.select("__row", "doc_id").join(sums, "__row", "left").drop("__row").na.fill(0, ["n_units", "n_pieces", "checksum"])
+    return _placed(docs, model_file).groupBy("__row", "doc_id").agg(
+        F.count("pos").alias("n_units"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_pieces"),
+        F.coalesce(F.sum(F.when(F.col("pos").isNotNull(), mixed)), F.lit(0)).alias("checksum")).drop("__row")
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
@@ -135,9 +133,9 @@ def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     table, _, first = piece_table(encoded.sparkSession, model_file)
     table = table.select("id", F.encode("piece", "UTF-8").alias("bytes"))
     d = encoded.withColumn("__row", F.monotonically_increasing_id())
-    rows = d.select("__row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
+    rows = d.select("__row", "doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
     raw = F.coalesce(F.hex("bytes"), F.lpad(F.hex(F.col("id") - first), 2, "0"))
-    text = rows.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", raw.alias("raw")))).alias("u"))
+    text = rows.groupBy("__row", "doc_id").agg(F.sort_array(F.collect_list(
+        F.when(F.col("pos").isNotNull(), F.struct("pos", raw.alias("raw"))))).alias("u"))
     joined = F.decode(F.unhex(F.array_join(F.transform("u", lambda x: x["raw"]), "")), "UTF-8")
-    plain = F.ltrim(F.translate(joined, MARK, " "))
-    return d.select("__row", "doc_id").join(text, "__row", "left").select("doc_id", F.coalesce(plain, F.lit("")).alias("text"))
+    return text.select("doc_id", F.ltrim(F.translate(joined, MARK, " ")).alias("text"))
