@@ -116,3 +116,16 @@ def test_stream_adapter_matches_batch(spark):
     got = spark.read.parquet(out).drop("batch").toPandas().sort_values("r_key").reset_index(drop=True)
     want = N.knn_nearest_vote(trf, make_test_features(te), 10).toPandas().sort_values("r_key").reset_index(drop=True)
     assert got[want.columns].equals(want)
+
+
+def test_group_without_a_valid_row_and_coverage(spark):
+    from tripcast.operators.evaluate import coverage, evaluate
+
+    nan = float("nan")
+    pred = spark.createDataFrame(
+        [(1, 5, 30.0, 110.0, 30.0, 110.0), (1, 10, 30.0, 110.0, nan, nan), (2, 10, 30.0, 110.0, None, None)],
+        "r_key long, k int, end_lat double, end_lon double, end_lat_pre double, end_lon_pre double")
+    rows = {r.k: r for r in evaluate(pred).collect()}
+    assert rows[5].lt_500_share == 1.0 and rows[10].lt_500_share is None and rows[10].invalid_count == 2
+    test = spark.createDataFrame([(1,), (2,), (3,), (4,)], "r_key long")
+    assert {r.k: r.coverage for r in coverage(pred, test).collect()} == {5: 0.25, 10: 0.5}

@@ -137,3 +137,38 @@ def test_index_positions_hot_bucket(spark):
     for r in ip.collect():
         lons = [lon for lon, _ in by_bucket[r.out_id]]
         assert r.ins == bisect.bisect_right(lons, r.start_lon2)
+
+
+def _one_person(spark, lons):
+    """Past trips at these longitudes, each with a destination of its own, and
+    one trip to predict from longitude 110, all in one (hour, day type)."""
+    rows = [(i, 1, "2018-06-05 08:00:00", None, 30.0, lon, 35.0 + i / 100, 105.0 + i / 100)
+            for i, lon in enumerate(lons)]
+    rows.append((len(lons), 1, "2018-06-26 08:00:00", None, 30.0, 110.0, 30.5, 110.5))
+    return split_by_time(trips_frame(spark, rows))
+
+
+@pytest.mark.parametrize("lons", [
+    [110.0] * 15 + [109.9 - i / 100 for i in range(20)],
+    [110.5] * 30 + [110.6 + i / 100 for i in range(5)],
+    [111.0 + i / 100 for i in range(40)],
+    [109.0 - i / 100 for i in range(13)],
+])
+def test_walk_when_all_neighbours_lie_on_one_side(spark, lons):
+    tr, te = _one_person(spark, lons)
+    trf, tef = train_features(tr), make_test_features(te)
+    for predict in (N.knn_nearest_vote, N.knn_kth):
+        _same(predict(trf, tef, 10, strategy="walk"), predict(trf, tef, 10, strategy="pairs"))
+
+
+@pytest.mark.parametrize("metric", ["knn_nearest_vote", "knn_kth", "knn_weighted"])
+def test_trip_without_a_start_never_wins(spark, metric):
+    rows = [(0, 1, "2018-06-05 08:00:00", None, 30.0, None, 35.0, 105.0),
+            (1, 1, "2018-06-05 08:00:00", None, 30.0, 110.001, 36.0, 106.0),
+            (2, 1, "2018-06-26 08:00:00", None, 30.0, 110.0, 30.5, 110.5),
+            (3, 1, "2018-06-26 08:00:00", None, 30.0, None, 30.5, 110.5)]
+    tr, te = split_by_time(trips_frame(spark, rows))
+    trf, tef = train_features(tr), make_test_features(te)
+    assert trf.count() == 1 and tef.count() == 1
+    got = getattr(N, metric)(trf, tef, 1).toPandas()
+    assert len(got) == 1 and abs(got.filter(like="lon").iloc[0, 0] - 105.0) > 0.5

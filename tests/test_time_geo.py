@@ -114,11 +114,12 @@ def test_next_event_hot_key_across_partitions(spark):
     from tripcast.sources.events import next_event
     rows = [(i, 1 if i % 10 else 2 + i % 3, i // 7, i % 5) for i in range(3000)]   # key 1 holds 90% of rows
     df = spark.createDataFrame(rows, "event_id long, user_id long, t long, v long")
-    got = next_event(df, "user_id", ["t", "event_id"], ["event_id", "v"], partitions=16, max_group=100)
+    got = next_event(df, "user_id", ["t", "event_id"], ["event_id", "v"], piece=F.date_from_unix_date((F.col("t") / 20).cast("int")))
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     want = df.select("*", F.lead("event_id").over(w).alias("next_event_id"), F.lead("v").over(w).alias("next_v"))
     a = got.toPandas().sort_values("event_id").reset_index(drop=True)
     b = want.toPandas().sort_values("event_id").reset_index(drop=True)
     assert a[b.columns].equals(b)
-    small = next_event(df, "user_id", ["t", "event_id"], ["event_id", "v"]).toPandas()
+    small = next_event(df, "user_id", ["t", "event_id"], ["event_id", "v"],
+                       piece=F.date_from_unix_date(F.lit(0))).toPandas()
     assert small.sort_values("event_id").reset_index(drop=True)[b.columns].equals(b)

@@ -40,6 +40,7 @@ def pair_metric_root(h: str | Column, h2: str | Column, d: str | Column, d2: str
         .when(s < 0, F.lit(0.0) if clamp else _nan())
         .otherwise(F.sqrt(s))
     )
+    m = F.coalesce(m, _nan())  # a null never ranks before a number
     return F.round(m, digits) if digits is not None else m
 
 
@@ -57,6 +58,7 @@ def pair_metric_log(h: str | Column, h2: str | Column, d: str | Column, d2: str
         .when((dh2 == 0) | (dd2 == 0), F.lit(NEG_INF))
         .otherwise(F.log10(dh2) + F.log10(dd2) + F.log10(gap * gap))
     )
+    m = F.coalesce(m, _nan())  # a null never ranks before a number
     return F.round(m, digits) if digits is not None else m
 
 
@@ -70,6 +72,7 @@ def pair_metric_l2(lat: str | Column, lat2: str | Column, lon: str | Column, lon
     dh = (_col(h) - _col(h2)).cast("double")
     dd = (_col(d) - _col(d2)).cast("double")
     m = F.sqrt(dla * dla + dlo * dlo + dh * dh + dd * dd)
+    m = F.coalesce(m, _nan())  # a null never ranks before a number
     return F.round(m, digits) if digits is not None else m
 
 

@@ -22,7 +22,8 @@ def evaluate(pred: DataFrame, by: Sequence[str] = ("k",), near_m: float = 500.0)
     share strictly under ``near_m`` metres, largest distance (O-31).
 
     Invalid rows (null / NaN coordinates) are excluded from every mean and
-    counted in ``invalid_count``.
+    counted in ``invalid_count``; a group without a valid row has null means
+    and a null share.
     """
     df = with_error(pred)
     d = F.col("dis")
@@ -34,10 +35,19 @@ def evaluate(pred: DataFrame, by: Sequence[str] = ("k",), near_m: float = 500.0)
         F.avg(d).alias("mean_dis"),
         F.avg(trip_score(d)).alias("mean_score"),
         near.alias("lt_500_count"),
-        (near / valid).alias("lt_500_share"),
+        F.try_divide(near, valid).alias("lt_500_share"),
         F.max(d).alias("max_dis"))
 
 
+def coverage(pred: DataFrame, test: DataFrame, by: Sequence[str] = ("k",), key: str = "r_key") -> DataFrame:
+    """Per group: trips with a prediction, trips to predict and their share;
+    persons without history have no prediction, so this counts them."""
+    trips = test.agg(F.count_distinct(key).alias("test_trips"))
+    found = pred.groupBy(*by).agg(F.count_distinct(key).alias("predicted"))
+    return found.join(F.broadcast(trips)).select(  # one row
+        *by, "predicted", "test_trips", F.try_divide("predicted", "test_trips").alias("coverage"))
+
+
 def evaluate_buckets(results: DataFrame, by: Sequence[str] = ("type", "k")) -> DataFrame:
     """Per run: mean score and cumulative counts at 100, 200, 500, 1000 m
     (inclusive) and above 1000 m (O-32). An empty run has no row; a run

@@ -37,6 +37,17 @@ def drop_invalid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.filter(cond)
 
 
+POINTS = ("start_lat", "start_lon", "end_lat", "end_lon")
+
+
+def invalid_trips(trips: DataFrame, cols: Sequence[str] = POINTS) -> DataFrame:
+    """How many trips the feature step leaves out: ``(n, invalid)``."""
+    bad = F.col("start_time").isNull()
+    for c in cols:
+        bad = bad | F.col(c).isNull() | F.isnan(F.col(c))
+    return trips.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("invalid"))
+
+
 def _time_features(df: DataFrame, ts: str, hour_out: str, day_out: str,
                    holidays: Sequence[str], workdays: Sequence[str],
                    calendar: DataFrame | None) -> DataFrame:
@@ -50,8 +61,9 @@ def train_features(train: DataFrame, class_precision: int = 12, round_start: boo
                    holidays: Sequence[str] = HOLIDAYS_2018, workdays: Sequence[str] = MAKEUP_WORKDAYS_2018,
                    calendar: DataFrame | None = None) -> DataFrame:
     """Past-trip feature rows (O-07): person, trip key, hour, day type, start
-    point, rounded end point and its geohash ``class``."""
-    df = train.select(
+    point, rounded end point and its geohash ``class``. Trips without a valid
+    time, start or end point are left out (see :func:`invalid_trips`)."""
+    df = drop_invalid(train.filter(F.col("start_time").isNotNull()), POINTS).select(
         F.col("r_key").alias("nb_key"), "out_id", "start_time",
         (round5("start_lat") if round_start else F.col("start_lat")).alias("start_lat"),
         (round5("start_lon") if round_start else F.col("start_lon")).alias("start_lon"),
@@ -66,8 +78,9 @@ def test_features(test: DataFrame, round_start: bool = True,
                   holidays: Sequence[str] = HOLIDAYS_2018, workdays: Sequence[str] = MAKEUP_WORKDAYS_2018,
                   calendar: DataFrame | None = None) -> DataFrame:
     """Feature rows of trips to predict (O-07), suffixed ``2`` as in the
-    reference's SQL, with the true end point riding along."""
-    df = test.select(
+    reference's SQL, with the true end point riding along. Trips without a
+    valid time or start point are left out."""
+    df = drop_invalid(test.filter(F.col("start_time").isNotNull()), POINTS[:2]).select(
         "r_key", F.col("out_id").alias("out_id2"), "start_time",
         (round5("start_lat") if round_start else F.col("start_lat")).alias("start_lat2"),
         (round5("start_lon") if round_start else F.col("start_lon")).alias("start_lon2"),

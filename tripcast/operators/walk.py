@@ -76,7 +76,7 @@ def walk_candidates(entries_idx: DataFrame, probes_idx: DataFrame, k: int,
                     score: Callable[[DataFrame], DataFrame], order: Sequence[str], monotone: Sequence[str],
                     beyond: Beyond, core: Callable[[Callable[[str], Column]], Column] | None,
                     wrap: bool, probe_cols: Sequence[str], entry_cols: Sequence[str],
-                    bucket: Sequence[str] = BUCKET, max_rounds: int = 62) -> DataFrame:
+                    bucket: Sequence[str] = BUCKET) -> DataFrame:
     """Candidate rows (probe x entry, scored) containing every entry the
     trip's first k rows in ``order`` can come from, ties included.
 
@@ -89,7 +89,7 @@ def walk_candidates(entries_idx: DataFrame, probes_idx: DataFrame, k: int,
     walks = probes_idx.select(*probe_cols, "ins", "n_b", sides).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(k))
     ent = entries_idx.select(*bucket, "pos", *entry_cols, "cnt")
     cands = None
-    for _ in range(max_rounds):
+    while True:  # the walked stretch doubles, up to the bucket's size
         off = walks.withColumn("off", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
         raw = F.when(F.col("side") == 1, F.col("ins") + F.col("off")).otherwise(F.col("ins") - 1 - F.col("off"))
         if wrap:
@@ -98,7 +98,7 @@ def walk_candidates(entries_idx: DataFrame, probes_idx: DataFrame, k: int,
             off = off.withColumn("pos", raw).filter((F.col("pos") >= 0) & (F.col("pos") < F.col("n_b")))
         new = score(off.join(ent, [*bucket, "pos"]))
         cands = new if cands is None else cands.unionByName(new)
-        cands = freeze(cands.dropDuplicates([*keys, "pos"]))
+        cands = freeze(cands.dropDuplicates([*probe_cols, "pos"]))
         kth = kth_row(cands, k, [*order, *bucket, "pos"], monotone)
         last = new.groupBy(*keys, "side").agg(
             F.max_by(F.struct(*[F.col(n).alias(f"l_{n}") for n in [*monotone, "__walk", "__core"]]),
@@ -107,7 +107,8 @@ def walk_candidates(entries_idx: DataFrame, probes_idx: DataFrame, k: int,
         L = lambda n: F.col(f"l_{n}")
         T = lambda n: F.col(f"t_{n}")
         if wrap:
-            exhausted = F.col("hi") * 2 >= F.col("n_b")
+            # A side may stop early, so the other one can have to go all round.
+            exhausted = F.col("hi") >= F.col("n_b")
             past_half = L("__walk") > 180.0
         else:
             exhausted = F.when(F.col("side") == 1, F.col("ins") + F.col("hi") >= F.col("n_b")) \
@@ -119,4 +120,3 @@ def walk_candidates(entries_idx: DataFrame, probes_idx: DataFrame, k: int,
             *probe_cols, "ins", "n_b", "side", F.col("hi").alias("lo"), (F.col("hi") * 2).alias("hi")))
         if walks.isEmpty():
             return cands
-    raise RuntimeError("neighbour walk did not converge")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tripcast.functions.time import day_type, hour_of
 from tripcast.operators.features import split_by_time, test_features, train_features
-from tripcast.session import freeze
 from tripcast.sources.events import fixture_trips, next_event
 
 
@@ -17,10 +16,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the split. The derived trips feed both branches of
-    every predictor, so they are materialised once in the shared
-    checkpoint folder instead of being derived twice."""
-    return split_by_time(freeze(trips(spark, sf_dir)))
+    """Both sides of the split: two filters over the derived trips, so that
+    each query reads only the columns that it needs."""
+    return split_by_time(trips(spark, sf_dir))
 
 
 def sql_form_features(spark: SparkSession, sf_dir: str, parts=None) -> tuple[DataFrame, DataFrame]:

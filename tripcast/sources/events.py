@@ -10,11 +10,9 @@ The "next event" is found without putting a whole person into one task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripcast.session import freeze
-
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture derivation (shared with the SQL oracle).
 EVENT_TYPE_CODES = {"click": 0, "view": 1, "purchase": 2, "signup": 3, "error": 4}
@@ -26,10 +24,6 @@ LON_JITTER_MOD, LON_JITTER_OFF = 173, 86
 SCALE = 1e5
 # ---------------------------------------------------------------------------
 
-# Largest number of rows of one key ordered inside a single task.
-MAX_GROUP_ROWS = 1_000_000
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
@@ -42,33 +36,27 @@ def _type_code(c):
 
 
 def next_event(events: DataFrame, key: str, order: list[str], carry: list[str],
-               partitions: int | None = None, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+               piece: Column | None = None) -> DataFrame:
     """Attach ``next_<c>`` for each column in ``carry``: the values of the next
     row of the same ``key`` in ``order`` (null for the key's last row).
 
-    When the largest key has at most ``max_group`` rows (one aggregation
-    checks it), a window per key does it. Otherwise rows are
-    range-partitioned by ``(key, order)``, so a key with very many rows
-    spreads over many partitions; the next row is found inside each
-    (partition, key) piece, and a piece's last row takes the first row of the
-    key's next piece from a table with one row per piece. The partitioned
-    rows are checkpointed, so piece numbers are stable.
+    A key's rows fall into pieces, by default of one day of the first order
+    column; ``piece`` must be a date that grows with the order. The
+    next row is found inside the piece, and a piece's last row takes the
+    first row of the key's next piece, from a table with one row a piece. So
+    a task orders one day of a key, and the plan is the same at every size.
     """
-    biggest = events.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_group:
-        w = Window.partitionBy(key).orderBy(*order)
-        return events.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
-    spark = events.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    u = freeze(events.repartitionByRange(parts, key, *order).withColumn("__pid", F.spark_partition_id()))
-    w = Window.partitionBy("__pid", key).orderBy(*order)
+    day = F.to_date(order[0]) if piece is None else piece
+    u = events.withColumn("__piece", F.coalesce(day, F.lit("0001-01-01").cast("date")))
+    w = Window.partitionBy(key, "__piece").orderBy(*order)
     out = u.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
                    F.lead(F.lit(1)).over(w).alias("__has_next"))
-    first = u.groupBy("__pid", key).agg(F.min_by(F.struct(*carry), F.struct(*order)).alias("__first"))
-    wb = Window.partitionBy(key).orderBy("__pid")
+    first = u.groupBy(F.col(key).alias("__key"), F.col("__piece").alias("__day")).agg(
+        F.min_by(F.struct(*carry), F.struct(*order)).alias("__first"))
+    wb = Window.partitionBy("__key").orderBy("__day")
     bridge = first.select(
-        "__pid", key, *[F.lead(F.col(f"__first.{c}")).over(wb).alias(f"__bridge_{c}") for c in carry])
-    out = out.join(bridge, ["__pid", key], "left")
+        "__key", "__day", *[F.lead(F.col(f"__first.{c}")).over(wb).alias(f"__bridge_{c}") for c in carry])
+    out = out.join(bridge, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__piece") == F.col("__day")), "left")
     is_last = F.col("__has_next").isNull()
     return out.select(
         *[c for c in events.columns],
