@@ -254,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     witnesses = [r[0] for r in counts.filter(pure).orderBy(F.desc("bad"), "start").limit(WITNESSES).collect()]
     if not witnesses:
         return nothing
-    clean = counts.filter("bad = 0 and whole").orderBy(F.xxhash64("start"), "start").limit(NEGATIVES + HARD)
+    clean = counts.filter(F.col("whole") & (F.col("n") - F.col("bad") > IMPURE * F.col("bad"))).orderBy(F.xxhash64("start"), "start").limit(NEGATIVES + HARD)
     clean = [r[0] for r in clean.select("start").collect()]  # a fixed number of short terms
     model = _fit_terms(witnesses, clean[:NEGATIVES], clean[NEGATIVES:])
     found = np.array(score_texts(rows, model).select("margin", "hits", F.col("row.toxic").cast("double")).collect())
