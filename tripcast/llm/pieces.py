@@ -54,7 +54,8 @@ def units(text: Column) -> Column:
 def encode_units(distinct: DataFrame, model_file: str = MODEL) -> DataFrame:
     """``(unit, ids)`` of a table of distinct units."""
     table, longest, first_byte = piece_table(distinct.sparkSession, model_file)
-    at = distinct.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    # Edges arise and are grouped where their unit lies: they are never shuffled.
+    at = distinct.repartition("unit").select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
     spans = at.select("unit", "start", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start")))).alias("n"))
     spans = spans.withColumn("piece", F.expr("substring(unit, start + 1, n)"))
