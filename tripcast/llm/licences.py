@@ -57,10 +57,12 @@ def scan(files: DataFrame) -> DataFrame:
     split = F.filter(F.split(F.lower("text"), "\n"), lambda line: F.btrim(line) != "")
     lines = rows.select("__row", F.posexplode(split).alias("line", "s"))
     tokens = F.array_distinct(F.array_remove(F.split("s", TOKEN), ""))
-    lines = lines.select("__row", "line", F.size(tokens).alias("n"), F.array_intersect(tokens, known).alias("hits"))
+    total = lines.count()
+    # Lines without a word of any template are counted above and not stored.
+    lines = written(lines.select("__row", "line", F.size(tokens).alias("n"), F.array_intersect(tokens, known).alias("hits"))
+                    .filter(F.size("hits") > 0), "licence-lines")
     # Rarity of the templates' words among all lines: a row for each word.
     seen = lines.select(F.explode("hits").alias("t")).groupBy("t").count().collect()
-    total = lines.count()
     idf = {t: math.log((total + 1) / 1.0) for t in vocabulary} | {r[0]: math.log((total + 1) / (r[1] + 1.0)) + 0.1 for r in seen}
     top = max([math.log(total + 1), *idf.values()])
     weights = spark.createDataFrame(
