@@ -103,7 +103,7 @@ def ratio_model(found: DataFrame, labels: DataFrame) -> DataFrame:
     counts = (d.select("__trusted", F.explode(F.concat("b", pairs(F.col("b")))).alias("bucket"))
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target")))
     full = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
-    full = written(full.coalesce(1), "quality-model")  # BUCKETS rows
+    full = written(full.repartition(1), "quality-model")  # BUCKETS rows, counted before they meet
     totals = full.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()  # two numbers
     log = (F.log((F.col("target") + 1.0) / F.lit(float(totals.t + BUCKETS)))
            - F.log((F.col("raw") + 1.0) / F.lit(float(totals.r + BUCKETS))))
