@@ -109,6 +109,15 @@ def test_repeats_odd_rows(odd_documents, no_documents):
     assert 2 not in {r.doc_id for r in left.collect()} and passages.remove_repeats(no_documents).count() == 0
 
 
+def test_cut_characters_go_whole_and_others_stay(llm):
+    shared = "é" * 30  # 60 bytes
+    docs = llm.createDataFrame([(1, "x" + shared), (2, "a\ufffdb è" + shared[:26] + "ü end"), (3, "\ufffd")],
+                               "doc_id long, text string")
+    left = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
+    assert left == {1: "x" + shared, 2: "a\ufffdb è end", 3: "\ufffd"}  # the run takes the first byte of ü
+    assert passages._whole_characters("aéb".encode(), np.array([2]), np.array([4])) == "a"
+
+
 def test_suffix_arrays_equal_sorting():
     rng = np.random.default_rng(3)
     for _ in range(40):

@@ -386,12 +386,20 @@ def removed_runs(chunks: DataFrame) -> DataFrame:
     return runs
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
+RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
+          "spans array<struct<lo:int,hi:int>>, kept_text string")
+
+
+def _whole_characters(text: bytes, los: np.ndarray, his: np.ndarray) -> str:
+    """The text outside the spans; a character that a span cuts goes whole."""
+    edges = zip([0, *his.tolist()], [*los.tolist(), len(text)])
+    return "".join(text[a:b].decode("utf-8", "ignore") for a, b in edges)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row for each input row: sizes, the kept bytes' digest and, with
-    ``with_text``, the kept bytes and the removed spans themselves."""
+    ``with_text``, the kept bytes, the removed spans and the kept bytes' whole
+    characters as text."""
     chunks = store_chunks(docs)
     runs = removed_runs(chunks)
     # A chunk's runs: at most one for each anchor of its bytes, and the
@@ -400,8 +408,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(),
-                 pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+                 pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.string()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "kept_text"]
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, lens, text = (batch.column(c)[k].as_py() for c in (1, 2, 3))
@@ -424,7 +432,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
                     kept = a[b:b + n][~mask].tobytes()
                     for c, v in zip(out, (None if i == NO_ID else i, n, int(mask.sum()), len(los), hashlib.sha256(kept).hexdigest(),
                                           kept if with_text else None,
-                                          [{"lo": x, "hi": y} for x, y in zip(los.tolist(), his.tolist())] if with_text else None)):
+                                          [{"lo": x, "hi": y} for x, y in zip(los.tolist(), his.tolist())] if with_text else None,
+                                          _whole_characters(text[b:b + n], los, his) if with_text else None)):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
@@ -437,16 +446,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     two goes whole) and ``n_chars``, where there is one, counted anew. Only
     documents that lose bytes are rewritten; one that loses all of its text is
     dropped."""
-    found = written(remove_repeats(docs).filter("n_removed > 0").select("doc_id", "n_bytes", "kept"), "cut")
+    found = written(remove_repeats(docs).filter("n_removed > 0").select("doc_id", "n_bytes", "kept_text"), "cut")
     # Rows that repeat an id are told apart by their text's length; rows equal
     # in both are one and the same case, so any of the results holds.
-    found = found.select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept").alias("__kept")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept_text").alias("__kept")
                          ).dropDuplicates(["__id", "__n"])
     size = F.octet_length("text").cast("long")
     d = docs.join(found.hint("shuffle_merge"), (docs["doc_id"] == found["__id"]) & (size == found["__n"]), "left")
-    # Bytes of a cut character are not UTF-8 and are left out.
-    left = F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", "")
-    d = d.withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(left))
+    d = d.withColumn("text", F.coalesce("__kept", "text"))
     d = d.filter(F.col("__kept").isNull() | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(

@@ -56,7 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     package_on_workers(spark)
-    return passages.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept", "spans")
+    return passages.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept", "spans", "kept_text")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
