@@ -107,13 +107,13 @@ def with_results(docs: DataFrame, score: Callable[[list], dict[str, pa.Array]],
     named in the schema string ``results``."""
     from pyspark.sql.types import StructField, StructType
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = StructType([packed.schema["row"], *StructType.fromDDL(results).fields])
+    text_at = docs.columns.index("text")  # sent once, as a part of the row
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = score(batch.column(1).to_pylist())
+            made = score([t or "" for t in batch.column(0).field(text_at).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], ["row", *made])
 
     return packed.mapInArrow(run, StructType([StructField("row", schema[0].dataType), *schema.fields[1:]]))

@@ -39,6 +39,7 @@ LONGEST = 48
 UNKNOWN = 1e-9  # probability of a character that no piece covers
 CACHE = 80_000  # words a task remembers
 BLOCK = 5_000  # words that one pass over the lattice takes
+PART = 100_000  # words of texts at hand at once, and those of one more text
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -224,13 +225,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: s
 
     def score(texts: list[str]) -> dict[str, pa.Array]:
         preds, scores = ["und"] * len(texts), np.zeros(len(texts))
-        spelled = [(k, words_of(t)) for k, t in enumerate(texts) if names and LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if names and LETTER.search(t)]
         at = 0
-        while at < len(spelled):  # part by part, so that new words stay few
+        while at < len(known):  # part by part, so that words at hand stay few
             part, n = [], 0
-            while at < len(spelled) and (not part or n + len(spelled[at][1]) <= 200_000):
-                part.append(spelled[at])
-                n += len(spelled[at][1])
+            while at < len(known) and (not part or n < PART):
+                part.append((known[at], words_of(texts[known[at]])))
+                n += len(part[-1][1])
                 at += 1
             if len(cache) > CACHE:
                 cache.clear()
