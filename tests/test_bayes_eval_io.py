@@ -44,6 +44,18 @@ def test_nb_chunks_do_not_change_result(spark):
     assert a.equals(b)
 
 
+def test_nb_hot_person_with_few_classes_scores_no_pairs(spark):
+    rows = [(i, 1, "2018-06-01 08:00:00", None, 30.0, 110.0, 30.5 + i % 2, 110.5) for i in range(6)]
+    test = [(100 + i, 1, "2018-06-24 08:00:00", None, 30.0, 110.0, 30.5, 110.5) for i in range(200)]
+    model = bayes.nb_fit(bayes.nb_train_rows(trips_frame(spark, rows)))
+    assert {r.n_classes for r in model.collect()} == {2}
+    best = bayes.nb_best(model, make_test_features(trips_frame(spark, test)))
+    got = best.collect()
+    # equal scores would fall to the smallest label
+    assert len(got) == 200 and {(r.lat, r.lon) for r in got} <= {(30.5, 110.5), (31.5, 110.5)}
+    assert len({r.score for r in got}) == 1
+
+
 def test_nb_rejects_negative_features(spark):
     t = trips_frame(spark, [(1, 1, "2018-06-01 08:00:00", None, 30.0, -110.0, 30.5, 110.5)])
     with pytest.raises(Exception, match="non-negative"):
@@ -129,3 +141,4 @@ def test_group_without_a_valid_row_and_coverage(spark):
     assert rows[5].lt_500_share == 1.0 and rows[10].lt_500_share is None and rows[10].invalid_count == 2
     test = spark.createDataFrame([(1,), (2,), (3,), (4,)], "r_key long")
     assert {r.k: r.coverage for r in coverage(pred, test).collect()} == {5: 0.25, 10: 0.5}
+    assert {r.k: r.coverage for r in evaluate(pred, test=test).collect()} == {5: 0.25, 10: 0.5}

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tripcast.schema import HOLIDAY, HOLIDAYS_2018, MAKEUP_WORKDAYS_2018, WORKDAY
 
-# Calendars above this many rows are joined without a broadcast hint.
-MAX_BROADCAST_CALENDAR_ROWS = 100_000
-
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -47,15 +44,13 @@ def day_type(
 def with_day_type(df: DataFrame, ts: str, out: str, calendar: DataFrame) -> DataFrame:
     """Day type from a calendar table ``(date DATE, kind STRING)``.
 
-    The calendar has one row per date, so it is small; it is broadcast only
-    after its size is checked.
+    The calendar has one row per date; whether it is broadcast is decided
+    from its real size at run time, without a job of its own.
     """
     cal = calendar.select(
         F.col("date").alias("__cal_date"),
         F.when(F.col("kind") == HOLIDAY, 2).when(F.col("kind") == WORKDAY, 0).alias("__cal_type"),
     ).dropDuplicates(["__cal_date"])
-    if cal.count() <= MAX_BROADCAST_CALENDAR_ROWS:
-        cal = F.broadcast(cal)
     d = F.to_date(F.col(ts))
     joined = df.join(cal, d == F.col("__cal_date"), "left")
     dow = F.dayofweek(d)

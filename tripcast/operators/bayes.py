@@ -2,16 +2,19 @@
 (O-29, O-30).
 
 The model is two aggregations: counts and feature sums per (person, class),
-then the per-person totals. Prediction joins each trip to the classes of its
-person and picks the class with the largest log posterior; a person with
-many classes is scored in chunks (salted join), best per chunk first.
+then the per-person totals. For prediction the classes of a person are packed
+into arrays of about ``CLASS_CHUNK``; each trip meets the packs of its person,
+takes the best class of each by an array expression, and the best of those few
+by a maximum that is combined before the shuffle. No row per (trip, class)
+exists. Both sides of the join are salted, so that neither a person with many
+classes nor one with many trips stays on one key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripcast.functions.geo import round5
@@ -20,8 +23,10 @@ from tripcast.operators.neighbours import _results
 
 FEATURES = ("hour", "type_of_day", "start_lat", "start_lon")
 SCORE_DIGITS = 9
-# Classes of one person scored in one task (larger persons are split).
+# Classes of one person in one array, about.
 CLASS_CHUNK = 256
+# Keys over which the trips of one person spread; the packs are copied to each.
+TRIP_SALTS = 8
 
 
 def nb_train_rows(train: DataFrame, round_end: bool = True) -> DataFrame:
@@ -38,7 +43,8 @@ def nb_train_rows(train: DataFrame, round_end: bool = True) -> DataFrame:
 def nb_fit(rows: DataFrame, smoothing: float = 1.0, key: str = "out_id",
            features: Sequence[str] = FEATURES) -> DataFrame:
     """Per (person, class): ``pi = ln(n + l) - ln(N + C*l)`` and
-    ``theta_j = ln(s_j + l) - ln(sum_j s_j + D*l)`` (O-29).
+    ``theta_j = ln(s_j + l) - ln(sum_j s_j + D*l)`` (O-29), with the person's
+    number of classes ``n_classes``.
 
     Multinomial naive Bayes needs non-negative features; a negative value
     fails the job with a clear message instead of a silent wrong model.
@@ -53,56 +59,56 @@ def nb_fit(rows: DataFrame, smoothing: float = 1.0, key: str = "out_id",
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.col(f).cast("double")).alias(f"s_{f}") for f in feats])
     # per-person totals by a partial aggregation, not a window over a person
-    totals = agg.groupBy(key).agg(F.sum("n").alias("__total"), F.count(F.lit(1)).alias("__classes"))
+    totals = agg.groupBy(key).agg(F.sum("n").alias("__total"), F.count(F.lit(1)).alias("n_classes"))
     agg = agg.join(totals, key)
     total = F.col("__total")
-    n_classes = F.col("__classes")
+    n_classes = F.col("n_classes")
     feat_total = None
     for f in feats:
         feat_total = F.col(f"s_{f}") if feat_total is None else feat_total + F.col(f"s_{f}")
     d = F.lit(float(len(feats)))
     return agg.select(
-        key, "label_lat", "label_lon", "n",
+        key, "label_lat", "label_lon", "n", "n_classes",
         (F.log(F.col("n") + lam) - F.log(total + n_classes * lam)).alias("pi"),
         *[(F.log(F.col(f"s_{f}") + lam) - F.log(feat_total + d * lam)).alias(f"theta_{f}") for f in feats])
 
 
-def _salted(model: DataFrame, test_f: DataFrame, key: str, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """Split the classes of each person into chunks of about ``chunk`` and
-    copy each trip once per chunk of its person, so no task scores a whole
-    hot person."""
-    chunks = model.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("__chunks"))
-    m = model.join(chunks, key).withColumn(
-        "__salt", F.pmod(F.xxhash64("label_lat", "label_lon"), F.col("__chunks")).cast("int"))
-    t = test_f.join(chunks.withColumnRenamed(key, "out_id2"), "out_id2").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
-    return m.drop("__chunks"), t.drop("__chunks")
+def _packs(model: DataFrame, key: str, features: Sequence[str], chunk: int) -> DataFrame:
+    """``(person, __salt, classes)``: the classes of each person in arrays of
+    about ``chunk``, once for each trip salt."""
+    pack = F.pmod(F.xxhash64("label_lat", "label_lon"), F.ceil(F.col("n_classes") / F.lit(chunk)))
+    packed = model.groupBy(key, pack.alias("__pack")).agg(F.collect_list(F.struct(
+        "label_lat", "label_lon", "pi", *[f"theta_{f}" for f in features])).alias("classes"))
+    salts = F.array(*[F.lit(s) for s in range(TRIP_SALTS)])
+    return packed.select(key, F.explode(salts).alias("__salt"), "classes")
 
 
-def nb_scores(model: DataFrame, test_f: DataFrame, key: str = "out_id",
-              features: Sequence[str] = FEATURES, test_features: Sequence[str] | None = None,
-              chunk: int = CLASS_CHUNK) -> DataFrame:
-    """Log posterior of every class of the trip's person (one row per trip,
-    class), scored chunk by chunk of the person's classes."""
+def nb_best(model: DataFrame, test_f: DataFrame, key: str = "out_id", features: Sequence[str] = FEATURES,
+            test_features: Sequence[str] | None = None, chunk: int = CLASS_CHUNK) -> DataFrame:
+    """Per trip the class of its person with the largest log posterior, the
+    smallest label on a tie: ``r_key, lat, lon, score, end_lat2, end_lon2``.
+    Rows that repeat an ``r_key`` are one trip."""
     tf = list(test_features or [f"{f}2" for f in features])
-    m, t = _salted(model, test_f, key, chunk)
-    joined = t.join(m, (t["out_id2"] == m[key]) & (t["__salt"] == m["__salt"]), "inner").drop(m["__salt"])
-    s = F.col("pi")
-    for f, c in zip(features, tf):
-        s = s + F.col(c).cast("double") * F.col(f"theta_{f}")
-    return joined.withColumn("score", F.round(s, SCORE_DIGITS))
+    salt = F.pmod(F.xxhash64("r_key"), F.lit(TRIP_SALTS)).cast("int")
+    trips = test_f.withColumnRenamed("out_id2", key).withColumn("__salt", salt)
+    met = trips.join(_packs(model, key, features, chunk), [key, "__salt"])
+
+    def scored(c: Column) -> Column:
+        s = c["pi"]
+        for f, t in zip(features, tf):
+            s = s + F.col(t).cast("double") * c[f"theta_{f}"]
+        # a maximum over this takes the smallest label of equal scores
+        return F.struct(F.round(s, SCORE_DIGITS).alias("score"), (-c["label_lat"]).alias("lat"), (-c["label_lon"]).alias("lon"))
+
+    best = met.select("r_key", F.array_max(F.transform("classes", scored)).alias("best"),
+                      F.struct("end_lat2", "end_lon2").alias("truth"))
+    best = best.groupBy("r_key").agg(F.max(F.struct("best", "truth")).alias("m"))
+    return best.select("r_key", (-F.col("m.best.lat")).alias("lat"), (-F.col("m.best.lon")).alias("lon"),
+                       F.col("m.best.score").alias("score"), "m.truth.end_lat2", "m.truth.end_lon2")
 
 
 def nb_predict(model: DataFrame, test_f: DataFrame, k: int = 10, distance: str = "meridian",
                type_: str = "bayes_m", chunk: int = CLASS_CHUNK) -> DataFrame:
     """Most probable class per trip, smallest label on a tie, written as
-    result rows with the distance to the true end point (O-30): best class
-    per (trip, chunk) first, then the best of those few per trip."""
-    scored = nb_scores(model, test_f, chunk=chunk)
-    best = (F.col("score").desc(), F.col("label_lat").asc(), F.col("label_lon").asc())
-    w1 = Window.partitionBy("r_key", "__salt").orderBy(*best)
-    part = scored.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") == 1)
-    w2 = Window.partitionBy("r_key").orderBy(*best)
-    win = part.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") == 1).select(
-        "r_key", F.col("label_lat").alias("lat"), F.col("label_lon").alias("lon"), "end_lat2", "end_lon2")
-    return _results(win, k, type_, distance)
+    result rows with the distance to the true end point (O-30)."""
+    return _results(nb_best(model, test_f, chunk=chunk), k, type_, distance)

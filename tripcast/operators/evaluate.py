@@ -17,9 +17,12 @@ def with_error(pred: DataFrame) -> DataFrame:
     return pred.withColumn("dis", ellipsoid_m("end_lat", "end_lon", "end_lat_pre", "end_lon_pre"))
 
 
-def evaluate(pred: DataFrame, by: Sequence[str] = ("k",), near_m: float = 500.0) -> DataFrame:
+def evaluate(pred: DataFrame, by: Sequence[str] = ("k",), near_m: float = 500.0,
+             test: DataFrame | None = None) -> DataFrame:
     """Per group: rows, invalid rows, mean distance, mean score, count and
-    share strictly under ``near_m`` metres, largest distance (O-31).
+    share strictly under ``near_m`` metres, largest distance (O-31); with the
+    trips to predict ``test`` also ``coverage``, the share of them that has a
+    prediction row (a trip has at most one a group).
 
     Invalid rows (null / NaN coordinates) are excluded from every mean and
     counted in ``invalid_count``; a group without a valid row has null means
@@ -29,7 +32,7 @@ def evaluate(pred: DataFrame, by: Sequence[str] = ("k",), near_m: float = 500.0)
     d = F.col("dis")
     valid = F.count(d)
     near = F.count_if(d < near_m)
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         (F.count(F.lit(1)) - valid).alias("invalid_count"),
         F.avg(d).alias("mean_dis"),
@@ -37,6 +40,10 @@ def evaluate(pred: DataFrame, by: Sequence[str] = ("k",), near_m: float = 500.0)
         near.alias("lt_500_count"),
         F.try_divide(near, valid).alias("lt_500_share"),
         F.max(d).alias("max_dis"))
+    if test is None:
+        return out
+    trips = test.agg(F.count(F.lit(1)).alias("__trips")).scalar()
+    return out.withColumn("coverage", F.try_divide(F.col("n"), trips))
 
 
 def coverage(pred: DataFrame, test: DataFrame, by: Sequence[str] = ("k",), key: str = "r_key") -> DataFrame:

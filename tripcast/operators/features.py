@@ -24,9 +24,12 @@ def split_by_time(trips: DataFrame, cutoff: str = SPLIT_CUTOFF,
     return train, test
 
 
-def trips_of(trips: DataFrame, out_id) -> DataFrame:
-    """Trips of one person (O-09); pipelines join on the person instead."""
-    return trips.filter(F.col("out_id") == F.lit(out_id))
+def trips_of(trips: DataFrame, person) -> DataFrame:
+    """Trips of one person (O-09), or of the persons of a table with
+    ``out_id`` (pipelines join on the person instead)."""
+    if isinstance(person, DataFrame):
+        return trips.join(person.select("out_id"), "out_id", "left_semi")
+    return trips.filter(F.col("out_id") == F.lit(person))
 
 
 def drop_invalid(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -40,8 +40,6 @@ WEIGHT_DIGITS = 6
 L2_DIGITS = 9
 # A person is expanded into pairs only below this many (trip x entry) pairs.
 PAIR_CAP = 250_000
-# Per-person tables above this many rows are never broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
 
 TEST_COLS = ["r_key", "out_id2", "hour2", "type_of_day2", "start_lat2", "start_lon2", "end_lat2", "end_lon2"]
 
@@ -49,21 +47,16 @@ TEST_COLS = ["r_key", "out_id2", "hour2", "type_of_day2", "start_lat2", "start_l
 # --------------------------------------------------------------------------
 # candidate sources
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is checked (one cheap job on
-    an already aggregated table); otherwise the plain shuffled join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "never") -> DataFrame:
     """Number of candidate past trips of each trip to predict, from
     per-person counts instead of listed pairs (O-12 / O-13 summary).
-    ``broadcast='auto'`` broadcasts the per-person table after checking its
-    size (O-13 without the reference's driver-side collect)."""
+    ``broadcast='auto'`` leaves it to adaptive execution to broadcast the
+    per-person table where its real size is below Spark's threshold (O-13
+    without a driver-side collect); ``'never'`` always shuffles both sides."""
     per_person = train_f.groupBy("out_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    if broadcast == "auto":
-        per_person = broadcast_if_small(per_person)
-    elif broadcast != "never":
+    if broadcast == "never":
+        per_person = per_person.hint("shuffle_merge")
+    elif broadcast != "auto":
         raise ValueError("broadcast must be 'never' or 'auto'")
     return test_f.join(per_person, test_f["out_id2"] == per_person["out_id"], "inner").select(
         "r_key", "out_id", "n_candidates")

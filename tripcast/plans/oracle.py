@@ -245,7 +245,8 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_by_k": _q(*w_all, body=(
             "SELECT k, count(*) AS n, count(*) - count(dis) AS invalid_count, round(avg(dis), 3) AS mean_dis, "
             f"round(avg({S.score('dis')}), 6) AS mean_score, count_if(dis < 500) AS lt_500_count, "
-            "round(count_if(dis < 500) / count(dis), 6) AS lt_500_share, round(max(dis), 1) AS max_dis FROM ("
+            "round(count_if(dis < 500) / count(dis), 6) AS lt_500_share, round(max(dis), 1) AS max_dis, "
+            "round(count(*) / (SELECT count(*) FROM tef_raw), 6) AS coverage FROM ("
             f"SELECT *, {S.ellipsoid('end_lat', 'end_lon', 'end_lat_pre', 'end_lon_pre')} AS dis FROM w_pred) "
             "GROUP BY k")),
         "evaluate_buckets": _q(*ALL_RESULTS_CTES, body=(

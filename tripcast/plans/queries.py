@@ -59,7 +59,7 @@ def q_test_features(spark, sf):
 def q_trips_of_person(spark, sf):
     t = inputs.trips(spark, sf)
     busiest = evaluate.trip_counts(t).orderBy(F.col("n_trips").desc(), F.col("out_id").asc()).limit(1)
-    return t.join(busiest.select("out_id"), "out_id", "left_semi")
+    return features.trips_of(t, busiest)
 
 
 def q_valid_results(spark, sf):
@@ -200,8 +200,7 @@ def q_neighbours_ranked(spark, sf):
 
 def q_neighbour_votes(spark, sf):
     tr, te = inputs.sql_form_features(spark, sf)
-    kept = neighbours.kept_neighbours(tr, te, K)
-    return kept.groupBy("r_key", "class").agg(F.sum("cnt").alias("votes"))
+    return neighbours.kept_neighbours(tr, te, K).select("r_key", "class", "votes").distinct()
 
 
 def q_knn_nearest_vote(spark, sf):
@@ -241,7 +240,7 @@ def _nb_model(spark, sf, parts=None):
 
 
 def q_nb_model(spark, sf):
-    m = _nb_model(spark, sf)
+    m = _nb_model(spark, sf).drop("n_classes")
     return _r(m, {c: 9 for c in m.columns if c == "pi" or c.startswith("theta_")})
 
 
@@ -265,8 +264,8 @@ def _all_results(spark, sf):
 
 def q_evaluate_by_k(spark, sf):
     tr, te = inputs.weighted_features(spark, sf)
-    ev = evaluate.evaluate(neighbours.knn_sweep(tr, te, SWEEP), ["k"])
-    return _r(ev, {"mean_dis": 3, "mean_score": 6, "lt_500_share": 6, "max_dis": 1})
+    ev = evaluate.evaluate(neighbours.knn_sweep(tr, te, SWEEP), ["k"], test=te)
+    return _r(ev, {"mean_dis": 3, "mean_score": 6, "lt_500_share": 6, "max_dis": 1, "coverage": 6})
 
 
 def q_evaluate_buckets(spark, sf):
