@@ -323,3 +323,24 @@ def test_licences_own_and_inherited(llm):
     assert got["a/b/x"] == (None, "Apache-2.0", "a/b") == got["a/b/c/y"]
     assert got["z/q"] == (None, None, None) and got["z/w"][0] == "GPL-3.0" and got[None] == (None, None, None)
     assert licences.scan(files.limit(0)).count() == 0
+
+
+def test_pieces_equal_sentencepiece(llm, docs, odd_documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = np.random.default_rng(9)
+    odd = ["the cat requires ordinary words", "x" * 5000 + "é你" * 3000, "ab" * 4000 + "\x01" + "the" * 3000, "a▁ 你 ▁x▁▁▁ y ▁", "▁",
+           " \t\n", "é ﬁ Ａ é ​ x y <s> </s> <unk> <0x41> \x00",
+           "".join(rng.choice(list("abcdeinrst ▁你\x01"), 20000))]
+    extra = llm.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    want = {r.doc_id: sp.encode(" ".join(re.findall(common.WORD, r.text or ""))) for r in rows.collect()}
+    encoded = pieces.encode(rows)
+    assert dict(encoded.collect()) == want
+    back = dict(pieces.decode(encoded).collect())
+    got = {r.doc_id: r for r in pieces.digests(rows).collect()}
+    assert {i: (r.n_pieces, r.text_sha256) for i, r in got.items()} == {
+        i: (len(want[i]), hashlib.sha256(back[i].encode()).hexdigest()) for i in want}
+    strange = llm.createDataFrame([(1, [1, 272, 99_999, -4]), (2, [3 + 0xC3]), (3, None)], "doc_id long, ids array<int>")
+    assert dict(pieces.decode(strange).collect()) == {1: "the", 2: "�", 3: ""}

@@ -1,142 +1,192 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding, exact for a BPE model.
 
-Words become units: the word mark and the word, long ones cut into units of
-``LONGEST`` characters. Over the distinct units of the corpus, substrings of
-bounded length join the piece table; the edges of a unit are grouped, and a
-Spark ``aggregate`` folds the Viterbi recursion over its places (best sum of
-piece scores; of equal sums the piece that begins latest). A character that no
-piece covers is spelled by its UTF-8 byte pieces.
+The model of the vocabulary is a BPE model: its scores are the ranks of merges,
+so the pieces of a text come from merging neighbours, best rank first, and not
+from a best path. Merges stay inside parts that no piece can span, so a text is
+cut into units there and each distinct unit is merged once a task, by
+SentencePiece itself:
 
-Documents then take their units' ids by a join: the ``COMMON`` most frequent
-units, a bounded table, are broadcast, all others go through a shuffle.
+- before a word mark that follows no other mark (all pieces with a mark
+  further on consist of marks only; ``Model`` checks that);
+- in a unit of more than ``LONGEST`` characters, also between two characters
+  that lie side by side in no piece. A long run without such a place stays
+  whole.
+
+A character that no piece covers is spelled by its UTF-8 byte pieces. Texts
+take their units' ids where they lie: nothing is shuffled, and a task holds one
+slice of texts, ``CACHE`` units and one unit of any length.
 
 Defined cases: a null or empty text has no ids; rows that repeat an id get a
-row each; decoding gives the words with single blanks between them.
+row each; the ids are those of the words (ASCII white space between them) with
+single blanks between, and decoding gives that text; a word mark inside a text
+is SentencePiece's blank and reads as one; ids of control pieces, and outside
+the vocabulary, decode to nothing, and bytes that are no UTF-8 to U+FFFD.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import id_and_text, written
+from tripcast.llm.common import WORD, id_and_text, package_on_workers, text_slices
 from tripcast.llm.quality import words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-LONGEST = 48
-COMMON = 100_000
-BYTE_SCORE = -1e6  # of an edge that stands for a character without a piece
-
-
-def piece_table(spark: SparkSession, model_file: str = MODEL) -> tuple[DataFrame, int, int]:
-    """``(piece, id, score)``, the longest piece, and the first byte piece."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    ids = range(sp.get_piece_size())
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in ids
-            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    first = next(i for i in ids if sp.is_byte(i))
-    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(r[0]) for r in rows), first
-
-
-def units(text: Column) -> Column:
-    """Units of a text, in order."""
-    def cut(w: Column) -> Column:
-        marked = F.concat(F.lit(MARK), w)
-        return F.transform(F.sequence(F.lit(0), F.floor((F.length(marked) - 1) / LONGEST).cast("int")),
-                           lambda k: F.substring(marked, k * LONGEST + 1, F.lit(LONGEST)))
-    return F.flatten(F.transform(words(text), cut))
-
-
-def encode_units(distinct: DataFrame, model_file: str = MODEL) -> DataFrame:
-    """``(unit, ids)`` of a table of distinct units."""
-    table, longest, first_byte = piece_table(distinct.sparkSession, model_file)
-    # Edges arise and are grouped where their unit lies: they are never shuffled.
-    at = distinct.repartition("unit").select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    spans = at.select("unit", "start", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("start")))).alias("n"))
-    spans = spans.withColumn("piece", F.expr("substring(unit, start + 1, n)"))
-    # The piece table is a fixed vocabulary, hence the hint. A single
-    # character is an edge even where it is no piece.
-    edges = spans.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
-    lattice = edges.groupBy("unit").agg(F.collect_list(F.struct(
-        (F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"),
-        F.coalesce("score", F.lit(BYTE_SCORE)).alias("score"))).alias("edges"))  # at most LONGEST * longest
-
-    def step(acc: Column, end: Column) -> Column:
-        into = F.filter(F.col("edges"), lambda e: e["end"] == end)
-        best = F.array_max(F.transform(into, lambda e: F.struct(
-            (F.element_at(acc, e["start"] + 1)["total"] + e["score"]).alias("total"),
-            e["start"].alias("start"), e["id"].alias("id"))))
-        return F.concat(acc, F.array(best))
-
-    begin = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("start"), F.lit(-1).alias("id")))
-    folded = lattice.select("unit", F.aggregate(F.sequence(F.lit(1), F.length("unit")), begin, step).alias("best"))
-
-    def back(acc: Column, _: Column) -> Column:
-        here = F.element_at(F.col("best"), acc["at"] + 1)
-        return F.when(acc["at"] <= 0, acc).otherwise(F.struct(
-            here["start"].alias("at"),
-            F.concat(F.array(F.struct(here["start"].alias("start"), here["id"].alias("id"))), acc["path"]).alias("path")))
-
-    none = F.array().cast("array<struct<start:int,id:int>>")
-    path = F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.struct(F.length("unit").alias("at"), none.alias("path")),
-                       back, lambda a: a["path"])
-
-    def spell(e: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("unit"), e["start"] + 1, F.lit(1)), "UTF-8"))
-        spelled = F.transform(F.sequence(F.lit(0), F.floor(F.length(code) / 2).cast("int") - 1), lambda k: (
-            F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first_byte))
-        return F.when(e["id"] >= 0, F.array(e["id"])).otherwise(spelled)
-
-    return folded.withColumn("path", path).select("unit", F.flatten(F.transform("path", spell)).alias("ids"))
-
-
-def _placed(docs: DataFrame, model_file: str) -> DataFrame:
-    """Every unit of every document with its ids: ``(__row, doc_id, pos,
-    ids)``, and a row with nulls for a document without any."""
-    d = id_and_text(docs).withColumn("__row", F.monotonically_increasing_id())
-    placed = d.select("__row", "doc_id", F.posexplode_outer(units(F.col("text"))).alias("pos", "unit"))
-    counts = written(placed.filter("unit is not null").groupBy("unit").agg(F.count("*").alias("n")), "units")
-    known = written(encode_units(counts.select("unit"), model_file).join(counts, "unit"), "unit-ids")
-    common = known.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", "ids", F.lit(True).alias("common"))
-    common = written(common, "common-units")
-    # COMMON units of at most LONGEST characters: a bounded table.
-    first = placed.join(F.broadcast(common), "unit", "left")
-    rest = first.filter("common is null and unit is not null").drop("ids", "common").join(
-        known.select("unit", "ids").hint("shuffle_merge"), "unit")
-    cols = ["__row", "doc_id", "pos", "ids"]
-    return first.filter("common or unit is null").select(cols).unionByName(rest.select(cols))
+LONGEST = 4096
+CACHE = 200_000  # units a task remembers
+AT_ONCE = 1 << 16  # characters of units that one call merges, about
+GUARD = "\n"  # in no piece and in no word: nothing merges across it
+
+_WORDS = re.compile(WORD)
+_MARKED = re.compile(f"(?<!{MARK})(?={MARK})")
+
+
+class Model:
+    """The vocabulary, and the ids of the units met so far."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        n = sp.get_piece_size()
+        silent = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
+        first = next(i for i in range(n) if sp.is_byte(i))
+        self.guard = first + ord(GUARD)
+        self.bytes = pa.array([b"" if silent[i] else bytes([i - first]) if sp.is_byte(i) else sp.id_to_piece(i).encode()
+                               for i in range(n)] + [b""], pa.binary())
+        whole = [sp.id_to_piece(i) for i in range(n) if not silent[i] and not sp.is_byte(i)]
+        if any(GUARD in p or (MARK in p[1:] and p.strip(MARK)) for p in whole):
+            raise ValueError(f"units are not separate in {model_file}")
+        self.pairs = np.unique(np.concatenate([self._pairs(p) for p in whole]))
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(1 << 20, np.int32), np.zeros(CACHE, np.int64)
+        self.used = 0  # ids; unit k has those from starts[k] to starts[k + 1]
+
+    @staticmethod
+    def _pairs(s: str) -> np.ndarray:
+        p = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64)
+        return (p[:-1] << 21) | p[1:]
+
+    def units(self, text: str) -> list[str]:
+        """Units of a text, in order, each without its first mark; one that
+        does not begin a word has ``GUARD`` there."""
+        out = _WORDS.findall(text)
+        if out and MARK in text:
+            out = [u[1:] for u in _MARKED.split(MARK + MARK.join(out)) if u]
+        if any(len(u) > LONGEST for u in out):
+            out = [part for u in out for part in (self._cut(u) if len(u) > LONGEST else [u])]
+        return out
+
+    def _cut(self, unit: str) -> Iterator[str]:
+        marked = MARK + unit
+        free = np.flatnonzero(~np.isin(self._pairs(marked), self.pairs)) + 1
+        lo = 0
+        while lo < len(marked):  # about LONGEST characters each, if there are places
+            k = np.searchsorted(free, lo + LONGEST)
+            hi = int(free[k]) if k < len(free) else len(marked)
+            yield marked[1:hi] if lo == 0 else GUARD + marked[lo:hi]
+            lo = hi
+
+    def _learn(self, new: list[str]) -> None:
+        lo = 0
+        while lo < len(new):
+            hi, size = lo, 0
+            while hi < len(new) and (hi == lo or size + len(new[hi]) < AT_ONCE):
+                size += len(new[hi]) + 1
+                hi += 1
+            ids = np.asarray(self.sp.encode_as_ids("".join(
+                u if u[:1] == GUARD else f"{GUARD}{MARK}{u}" for u in new[lo:hi])), np.int32)
+            at = np.flatnonzero(ids == self.guard)  # SentencePiece's own mark lies before the first
+            keep = ids[at[0]:]
+            at = at - at[0]
+            first = len(self.at)
+            self.at.update((u, first + k) for k, u in enumerate(new[lo:hi]))
+            starts = self.used + at - np.arange(len(at))
+            keep = keep[keep != self.guard]
+            while self.used + len(keep) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while first + len(at) + 1 > len(self.starts):
+                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.ids[self.used:self.used + len(keep)] = keep
+            self.used += len(keep)
+            self.starts[first:first + len(at)] = starts
+            self.starts[first + len(at)] = self.used
+            lo = hi
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text, and where each text's begin and end."""
+        if len(self.at) > CACHE:
+            self.clear()
+        units = [self.units(t) for t in texts]
+        flat = [u for us in units for u in us]
+        self._learn([u for u in dict.fromkeys(flat) if u not in self.at])
+        which = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        return ids, ends[np.concatenate(([0], np.cumsum([len(us) for us in units])))]
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Texts of a list array of ids."""
+        flat = pc.fill_null(ids.flatten(), -1).to_numpy()
+        flat = np.where((flat >= 0) & (flat < len(self.bytes) - 1), flat, len(self.bytes) - 1)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.bytes.take(pa.array(flat))), b"")
+        return pa.array([b.decode("utf-8", "replace").replace(MARK, " ").lstrip(" ") for b in joined.to_pylist()], pa.string())
+
+
+@lru_cache(maxsize=2)
+def model(model_file: str) -> Model:
+    return Model(model_file)
 
 
 def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     """``(doc_id, ids)``: all piece ids of every text, in order."""
-    found = _placed(docs, model_file).groupBy("__row", "doc_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("u"))
-    return found.select("doc_id", F.flatten(F.transform("u", lambda x: x["ids"])).alias("ids"))
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in text_slices(batches):
+            ids, ends = model(model_file).encode([t.decode("utf-8", "replace") for t in texts])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))],
+                ["doc_id", "ids"])
 
+    package_on_workers(docs.sparkSession)
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
-def digests(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
-    """``(doc_id, n_units, n_pieces, checksum)``: the encoding of every text,
-    summed unit by unit (the checksum covers place and ids), so that only
-    sums are shuffled."""
-    mixed = F.pmod(F.xxhash64("pos", "ids"), F.lit(1 << 31))
-    return _placed(docs, model_file).groupBy("__row", "doc_id").agg(
-        F.count("pos").alias("n_units"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_pieces"),
-        F.coalesce(F.sum(F.when(F.col("pos").isNotNull(), mixed)), F.lit(0)).alias("checksum")).drop("__row")
+
+def _with_text(encoded: DataFrame, model_file: str) -> DataFrame:
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, model(model_file).decode(part.column(1))], ["doc_id", "ids", "text"])
+
+    package_on_workers(encoded.sparkSession)
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(
+        run, "doc_id long, ids array<int>, text string")
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     """``(doc_id, text)`` of rows with ``doc_id`` and ``ids``."""
-    table, _, first = piece_table(encoded.sparkSession, model_file)
-    table = table.select("id", F.encode("piece", "UTF-8").alias("bytes"))
-    d = encoded.withColumn("__row", F.monotonically_increasing_id())
-    rows = d.select("__row", "doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
-    raw = F.coalesce(F.hex("bytes"), F.lpad(F.hex(F.col("id") - first), 2, "0"))
-    text = rows.groupBy("__row", "doc_id").agg(F.sort_array(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", raw.alias("raw"))))).alias("u"))
-    joined = F.decode(F.unhex(F.array_join(F.transform("u", lambda x: x["raw"]), "")), "UTF-8")
-    return text.select("doc_id", F.ltrim(F.translate(joined, MARK, " ")).alias("text"))
+    return _with_text(encoded, model_file).select("doc_id", "text")
+
+
+def digests(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
+    """``(doc_id, n_units, n_pieces, checksum, text_sha256)``: a digest of the
+    ids that :func:`encode` gives, and the words and digest of the text that
+    :func:`decode` makes of them."""
+    return _with_text(encode(docs, model_file), model_file).select(
+        "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_units"), F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("checksum"), F.sha2("text", 256).alias("text_sha256"))
