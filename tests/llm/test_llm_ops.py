@@ -344,3 +344,40 @@ def test_pieces_equal_sentencepiece(llm, docs, odd_documents):
         i: (len(want[i]), hashlib.sha256(back[i].encode()).hexdigest()) for i in want}
     strange = llm.createDataFrame([(1, [1, 272, 99_999, -4]), (2, [3 + 0xC3]), (3, None)], "doc_id long, ids array<int>")
     assert dict(pieces.decode(strange).collect()) == {1: "the", 2: "�", 3: ""}
+
+
+def test_forward_of_long_unseen_runs(llm, monkeypatch):
+    lat = language.lattice(language.VOCABULARY)
+    rng = np.random.default_rng(4)
+    prob = np.full((len(lat.pieces) + 1, 2), 2e-8) * rng.uniform(0.5, 1, (len(lat.pieces) + 1, 2))
+    prob[-1] = language.UNKNOWN
+    index = {p: i for i, p in enumerate(lat.pieces)}
+
+    def brute(w, p):
+        out = [0.0]
+        for e in range(1, len(w) + 1):
+            out.append(np.logaddexp.reduce([out[e - n] + np.log(p[index.get(w[e - n:e], -1)]) for n in range(1, min(e, lat.longest) + 1)
+                                            if w[e - n:e] in index or n == 1]))
+        return out[-1]
+
+    unseen = "".join(chr(0x4E00 + 3 * i) for i in range(100))
+    ws = ["▁" + unseen, "▁the", "▁" + "ꙮ" * 100, "▁internationalisation" * 40, "▁" + unseen + "nation" * 600]
+    got = lat.forward(ws, prob)
+    assert np.isfinite(got).all() and np.allclose(got, [[brute(w, prob[:, c]) for c in range(2)] for w in ws])
+    # Training: products, logarithms and the walk block by block agree.
+    few, counts = ["▁internationalisation", "▁thé" + unseen[:9], "▁nationnationnation"], np.array([3.0, 2.0, 5.0])
+    want = lat.expected(few, counts, prob[:, 0])
+    monkeypatch.setattr(language, "SAFE", 20.0)
+    assert np.allclose(lat.expected(few, counts, prob[:, 0]), want, rtol=1e-9)
+    monkeypatch.setattr(language, "BROAD", 1)
+    monkeypatch.setattr(language, "STRETCH", 7)
+    assert np.allclose(lat.expected(few, counts, prob[:, 0]), want, rtol=1e-9)
+    monkeypatch.undo()
+    assert np.isfinite(language.learn_pieces(ws, np.ones(len(ws)))).all()
+    # A run that no language has decides nothing against the other words.
+    plain = {"en": "the house and the garden of the king ", "fr": "la maison et le jardin du roi "}
+    rows = [(i, plain[l] * 30 + (unseen if i < 2 else ""), l) for i, l in enumerate(["en", "fr"] * 20)]
+    docs = llm.createDataFrame(rows + [(100, plain["fr"] * 5 + "ꙮ" * 100, None), (101, "語" * 100, None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language.identify_documents(docs).select("row.doc_id", "lang_pred", "score").collect()}
+    assert found[100].lang_pred == "fr" and all(0 <= r.score <= 1 for r in found.values())
+    assert all(found[i].lang_pred == l for i, _, l in rows)

@@ -8,8 +8,10 @@ names its language. Piece probabilities come from expectation maximisation
 (forward-backward counts) over the words of a bounded sample of documents.
 
 Bounds, all parameters: ``SAMPLE`` documents a language for the fit (picked by
-a hash of the id); a run of more than ``LONGEST`` characters is scored as
-consecutive chunks. Scoring reads whole texts.
+a hash of the id). Scoring reads whole texts. A word is one lattice, however
+long: as long as no product of its characters' smallest probabilities can leave
+the range of a double, plain products are summed, and beyond that logarithms; a
+word of more than ``BROAD`` characters goes by itself, block by block.
 
 Defined cases: ``und`` with score 0 for a null or empty text and for one with
 no letter; equal scores go to the first language by name; documents with a
@@ -20,6 +22,7 @@ document is ``und``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +38,13 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SAMPLE = 2000
 ROUNDS = 3
 SMOOTHING = 0.02
-LONGEST = 48
+SAFE = 600.0  # exp(-SAFE) and all its factors lie well inside the doubles
+BROAD = 512  # characters of words that share one pass
 UNKNOWN = 1e-9  # probability of a character that no piece covers
 CACHE = 80_000  # words a task remembers
 BLOCK = 5_000  # words that one pass over the lattice takes
+LONG_BLOCK = 160  # of words for which logarithms are summed
+STRETCH = 2_048  # characters of one very long word at hand at once
 PART = 100_000  # words of texts at hand at once, and those of one more text
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
@@ -121,16 +127,32 @@ class Lattice:
                 rows, h = rows[known], h[known]
         return lengths, found
 
+    def _parts(self, words: list[str], logs: np.ndarray) -> Iterator[tuple[list[int], int]]:
+        """Numbers of words of like length, and how they are summed: 0 by
+        products, 1 by logarithms, 2 one word block by block."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        # Each single character is an edge, so a word of n characters has at
+        # least the n-th power of the smallest probability.
+        safe = int(SAFE / max(1.0, -float(logs.min(initial=0))))
+        lengths = np.fromiter((len(words[i]) for i in order), np.int64, len(order))
+        short, broad = np.searchsorted(lengths, [safe + 1, max(BROAD, safe) + 1])
+        for lo, hi, size, kind in ((0, short, BLOCK, 0), (short, broad, LONG_BLOCK, 1), (broad, len(order), 1, 2)):
+            for at in range(lo, hi, size):
+                yield order[at:min(hi, at + size)], kind
+
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Log probability of each word under each column of ``probs`` (one
         row a piece, and a last row for the unknown character)."""
         out = np.empty((len(words), probs.shape[1]))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(words), BLOCK):
-            part = order[at:at + BLOCK]
+        logs = np.log(probs)
+        for part, kind in self._parts(words, logs):
+            if kind == 2:
+                out[part[0]] = self._forward_one(words[part[0]], logs)[-1]
+                continue
             lengths, found = self.edges([words[i] for i in part])
-            alpha = self._forward(lengths, found, probs)
-            out[part] = np.log(alpha[lengths, np.arange(len(part))])
+            alpha = self._forward_logs(lengths, found, logs) if kind else self._forward(lengths, found, probs)
+            last = alpha[lengths, np.arange(len(part))]
+            out[part] = last if kind else np.log(last)
         return out
 
     @staticmethod
@@ -141,17 +163,87 @@ class Lattice:
             alpha[start + n][rows] += alpha[start][rows] * probs[ids]
         return alpha
 
+    @staticmethod
+    def _forward_logs(lengths, found, logs) -> np.ndarray:
+        alpha = np.full((int(lengths.max(initial=0)) + 1, len(lengths), logs.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for (start, n), (rows, ids) in found.items():
+            alpha[start + n][rows] = np.logaddexp(alpha[start + n][rows], alpha[start][rows] + logs[ids])
+        return alpha
+
+    def _stretches(self, word: str, logs: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of a word: the first start, and by (length - 1, start) the
+        piece ids (-1: a character that is no piece) and their log
+        probabilities (-inf: no piece)."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        none = np.vstack((logs, np.full((1, logs.shape[1]), -np.inf)))
+        blocks = range(0, len(points), STRETCH)
+        for lo in reversed(blocks) if back else blocks:
+            codes = _codes(points[lo:lo + STRETCH + self.longest - 1])
+            size = min(STRETCH, len(points) - lo)
+            ids = np.full((self.longest, size), len(logs), np.int64)
+            h = np.zeros(size, np.uint64)
+            for n in range(1, self.longest + 1):
+                m = min(size, len(codes) - n + 1)  # starts with so many characters after them
+                if m <= 0:
+                    break
+                h = h[:m] * _BASE + codes[n - 1:n - 1 + m]
+                hit = self._find(h)[1]
+                ids[n - 1, :m] = hit if n == 1 else np.where(hit >= 0, hit, len(logs))
+            yield lo, ids, none[np.where(ids < 0, len(logs) - 1, ids)]
+
+    def _forward_one(self, word: str, logs: np.ndarray, keep: bool = False) -> np.ndarray:
+        """Log sums at every place of one word, or only at its end."""
+        ahead = np.full((self.longest + 1, logs.shape[1]), -np.inf)  # this place and those that it reaches
+        ahead[0] = 0.0
+        out = [ahead[0].copy()]
+        for _, _, edge in self._stretches(word, logs):
+            for k in range(edge.shape[1]):
+                reached = np.logaddexp(ahead[1:], ahead[0] + edge[:, k])
+                ahead[:-1] = reached
+                ahead[-1] = -np.inf
+                if keep:
+                    out.append(ahead[0].copy())
+        return np.array(out) if keep else ahead[:1]
+
+    def _expected_one(self, word: str, count: float, logs: np.ndarray, total: np.ndarray) -> None:
+        alpha = self._forward_one(word, logs, keep=True)[:, 0]
+        beta = np.full(len(word) + self.longest + 1, -np.inf)
+        beta[len(word)] = 0.0
+        for lo, ids, edge in self._stretches(word, logs, back=True):
+            edge = edge[:, :, 0]
+            for k in reversed(range(edge.shape[1])):
+                beta[lo + k] = np.logaddexp.reduce(edge[:, k] + beta[lo + k + 1:lo + k + 1 + self.longest])
+            for n in range(1, self.longest + 1):
+                at = np.flatnonzero(ids[n - 1] < len(logs))
+                uses = np.exp(alpha[lo + at] + edge[n - 1, at] + beta[lo + at + n] - alpha[-1]) * count
+                total += np.bincount(ids[n - 1, at] % len(logs), uses, len(logs))
+
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of the words."""
         total = np.zeros(len(prob))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(words), BLOCK):
-            part = order[at:at + BLOCK]
+        logs = np.log(prob)[:, None]
+        for part, kind in self._parts(words, logs):
+            if kind == 2:
+                self._expected_one(words[part[0]], float(counts[part[0]]), logs, total)
+                continue
             lengths, found = self.edges([words[i] for i in part])
+            here = np.arange(len(part))
+            if kind == 1:
+                alpha = self._forward_logs(lengths, found, logs)[:, :, 0]
+                beta = np.full_like(alpha, -np.inf)
+                beta[lengths, here] = 0.0
+                last = alpha[lengths, here]
+                for (start, n), (rows, ids) in reversed(found.items()):
+                    through = logs[ids, 0] + beta[start + n][rows]
+                    beta[start][rows] = np.logaddexp(beta[start][rows], through)
+                    uses = np.exp(alpha[start][rows] + through - last[rows]) * counts[part][rows]
+                    total += np.bincount(ids % len(prob), uses, len(prob))
+                continue
             alpha = self._forward(lengths, found, prob[:, None])[:, :, 0]
             beta = np.zeros_like(alpha)
-            beta[lengths, np.arange(len(part))] = 1.0
-            share = counts[part] / alpha[lengths, np.arange(len(part))]
+            beta[lengths, here] = 1.0
+            share = counts[part] / alpha[lengths, here]
             for (start, n), (rows, ids) in reversed(found.items()):
                 through = prob[ids] * beta[start + n][rows]
                 beta[start][rows] += through
@@ -165,15 +257,8 @@ def lattice(model_file: str) -> Lattice:
 
 
 def words_of(text: str) -> list[str]:
-    """Marked lower-case words, long runs in chunks."""
-    out = []
-    for w in text.lower().split():
-        w = MARK + w
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out.extend(w[i:i + LONGEST] for i in range(0, len(w), LONGEST))
-    return out
+    """Marked lower-case words."""
+    return [MARK + w for w in text.lower().split()]
 
 
 def learn_pieces(words: list[str], counts: np.ndarray, model_file: str = VOCABULARY) -> np.ndarray:
