@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripcast.llm import (
-    common, components, fingerprints, language, licences, materialise, near_dedup, packing, passages, pieces,
+    common, components, fingerprints, language, licences, materialise, near_dedup, packing, passages, pieces, pipeline,
     quality, suffixes, tokens, toxicity)
 
 SF = "/root/testdata/sf0.001"
@@ -381,3 +381,16 @@ def test_forward_of_long_unseen_runs(llm, monkeypatch):
     found = {r.doc_id: r for r in language.identify_documents(docs).select("row.doc_id", "lang_pred", "score").collect()}
     assert found[100].lang_pred == "fr" and all(0 <= r.score <= 1 for r in found.values())
     assert all(found[i].lang_pred == l for i, _, l in rows)
+
+
+def test_pipeline_drops_near_duplicates_from_four_fifths_on(llm):
+    def text(k, changed):  # 100 shingles apart from the last words, of which some differ
+        ws = [f"d{k}w{i}" for i in range(104)]
+        return " ".join(ws[:104 - changed] + [f"other{i}" for i in range(changed)])
+
+    rows = [(10 * k + j, text(k, c)) for k in range(20) for j, c in enumerate((0, 10))]  # 90 / 110 = 0.82
+    rows += [(1000, text(99, 0)), (1001, text(99, 12)), (None, text(99, 0))]  # 88 / 112 = 0.79
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in pipeline.drop_near_duplicates(llm, docs, "").collect()}
+    assert left == {10 * k for k in range(20)} | {1000, 1001, None}
+    assert near_dedup.bands() == (24, 5) and near_dedup.bands(80) == (30, 4)

@@ -1,8 +1,8 @@
 """MinHash near-duplicate classes with sequential Bayesian verification.
 
 A document's set holds its distinct five-word shingles (see ``shingles``).
-Documents with equal sets are one node. Of every node a signature of ``BANDS *
-ROWS`` minimum hashes is kept; nodes that agree on all rows of a band are
+Documents with equal sets are one node. Of every node a signature of ``HASHES``
+minimum hashes is kept; nodes that agree on all rows of a band are
 candidates. A candidate pair is compared batch by batch of its signatures:
 after each batch the posterior of the similarity (uniform prior, binomial
 matches) gives the chance that it still reaches the threshold, and below
@@ -16,8 +16,9 @@ components are then joined on the rare ends of their sets: with shingles in
 one fixed order, rare first, two sets can only reach the threshold if they
 share a shingle near their beginnings, and the places of the first shared one
 bound the overlap. That loses nothing and does not pair the members of a
-large group of loosely similar texts. A pair at the threshold shares no band
-with chance ``(1 - 0.85 ** ROWS) ** BANDS``, below 1e-6.
+large group of loosely similar texts. The hashes of a signature are dealt to
+bands by the threshold (``bands``): a pair at it shares none with a chance below
+``LOST``.
 
 Defined cases: an empty or null text has the empty set and is linked with
 nothing; fewer than five words are one shingle; rows that repeat an id each get
@@ -40,7 +41,8 @@ from tripcast.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85  # link when 100 * intersection >= PERCENT * union
-BANDS, ROWS = 24, 5
+HASHES = 120  # minimum hashes of a signature
+LOST = 1e-6  # chance at which a pair at the threshold may share no band
 BATCH = 24  # minimum hashes that one step of a comparison reads
 MISS = 1e-7  # chance at which a pair is given up
 ROUNDS = 2
@@ -52,8 +54,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
 _PLACES = _RANDOM.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
-_MASKS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MASKS = _RANDOM.integers(0, 1 << 64, HASHES, np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _UNBASE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
@@ -99,28 +101,38 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minimum hashes, one row a set (an empty set has the largest number)."""
-    out = np.full((len(sets), BANDS * ROWS), np.iinfo(np.uint32).max, np.uint32)
+    out = np.full((len(sets), HASHES), np.iinfo(np.uint32).max, np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         values = np.concatenate([sets[i] for i in full])
         starts = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])[:-1]))
-        for k in range(BANDS * ROWS):
+        for k in range(HASHES):
             h = (((values ^ _MASKS[k]) * _FACTORS[k]) >> np.uint64(32)).astype(np.uint32)
             out[full, k] = np.minimum.reduceat(h, starts)
     return out
 
 
-def band_keys(sigs: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(sigs), BANDS), np.uint64)
-    for b in range(BANDS):
+def bands(percent: int = PERCENT) -> tuple[int, int]:
+    """Bands and their rows: the most rows by which fewer than ``LOST`` of the
+    pairs at the threshold share no band."""
+    for rows in range(10, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) < LOST:
+            return HASHES // rows, rows
+    raise ValueError(f"{HASHES} minimum hashes are too few for {percent} percent")
+
+
+def band_keys(sigs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    n, rows = bands(percent)
+    keys = np.zeros((len(sigs), n), np.uint64)
+    for b in range(n):
         x = np.full(len(sigs), b + 1, np.uint64)
-        for r in range(ROWS):
-            x = _mix(x * _BASE + sigs[:, b * ROWS + r])
+        for r in range(rows):
+            x = _mix(x * _BASE + sigs[:, b * rows + r])
         keys[:, b] = x
     return keys.astype(np.int64)
 
 
-def least_matches(percent: int = PERCENT, miss: float = MISS, n: int = BANDS * ROWS, batch: int = BATCH) -> list[tuple[int, int]]:
+def least_matches(percent: int = PERCENT, miss: float = MISS, n: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
     """After each batch the number of matches below which the posterior
     chance of a similarity of ``percent`` or more is under ``miss``."""
     t, out = percent / 100, []
@@ -139,7 +151,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, n: int = BANDS * R
 NODE = "doc_id long, n_shingles long, digest binary, signature binary, keys array<long>"
 
 
-def nodes(docs: DataFrame) -> DataFrame:
+def nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, digest, signature, keys)`` of every row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -148,7 +160,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         for ids, texts in text_slices(batches):
             sets = shingles(texts)
             sigs = signatures(sets)
-            keys = band_keys(sigs)
+            keys = band_keys(sigs, percent)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
@@ -240,7 +252,7 @@ def _sized(n: Column, m: Column, percent: int) -> Column:
 
 def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for every input row."""
-    found = written(nodes(docs), "nodes")
+    found = written(nodes(docs, percent), "nodes")
     # One node for each distinct set; its id is the smallest document's.
     named = found.filter("doc_id is not null and n_shingles > 0")
     sets = named.groupBy("digest").agg(
@@ -251,7 +263,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Da
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     # Only nodes that share a bucket go on: their buckets, signatures and texts.
     met = written(bands.join(shared.hint("shuffle_merge"), "key").groupBy("id").agg(
-        F.first("size").alias("size"), F.collect_set("key").alias("keys")), "met")  # at most BANDS keys
+        F.first("size").alias("size"), F.collect_set("key").alias("keys")), "met")  # a key for each band
     sigs = written(sets.join(met.select("id").hint("shuffle_merge"), "id", "left_semi").select("id", "signature"), "signatures")
     texts = written(id_and_text(docs).join(met.select(F.col("id").alias("doc_id")).hint("shuffle_merge"), "doc_id", "left_semi")
                     .groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")), "texts")

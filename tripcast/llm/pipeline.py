@@ -6,8 +6,10 @@ columns of ``documents``, except the last, which returns packed pieces.
 - toxicity: documents that the operator predicts toxic go. It learns from
   ``labels`` and the documents it is given.
 - language: documents without a language (``und``: no letter at all) go.
-- near duplicates: the document with the smallest id of each group stays;
-  rows with a null id stay.
+- near duplicates: texts whose sets of word shingles are alike by ``ALIKE``
+  percent or more are linked (the operator's own query has a threshold of its
+  own); the document with the smallest id of each group stays; rows with a null
+  id stay.
 - repeated passages: the bytes that the operator removes go from the texts (a
   character cut in two by a removed run goes whole); the count of characters
   follows. A document that loses all of its text goes; one that was empty
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from tripcast.llm import language, near_dedup, packing, passages, toxicity
 from tripcast.llm.common import documents, package_on_workers, read_table, written
 
+ALIKE = 80  # percent; of the stage on word shingles
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -41,7 +45,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     package_on_workers(spark)
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs, ALIKE).filter("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
