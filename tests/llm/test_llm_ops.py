@@ -394,3 +394,16 @@ def test_pipeline_drops_near_duplicates_from_four_fifths_on(llm):
     left = {r.doc_id for r in pipeline.drop_near_duplicates(llm, docs, "").collect()}
     assert left == {10 * k for k in range(20)} | {1000, 1001, None}
     assert near_dedup.bands() == (24, 5) and near_dedup.bands(80) == (30, 4)
+
+
+def test_long_runs_of_one_character_are_few_rows(llm, monkeypatch):
+    monkeypatch.setattr(passages, "FREQUENT", 1000)
+    monkeypatch.setattr(passages, "OFTEN", 700)
+    rows = {1: "first " + "x" * 6000 + " end", 2: "second" + "x" * 5000 + "y" + "x" * 60 + "ab" * 2000, 3: "ab" * 1500 + "-" * 49, 4: "-" * 2000}
+    docs = llm.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = passages.remove_repeats(docs, with_text=False).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows)
+    chunks = passages.store_chunks(docs)
+    none = llm.createDataFrame([], "chunk long, copies array<int>")
+    found = passages.snippets(chunks, passages.shared_anchors(chunks), none)
+    assert found.filter("kind = 1").count() < 1000 and found.count() < 1500

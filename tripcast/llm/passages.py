@@ -15,9 +15,11 @@ for every ten to twenty bytes, route the comparison:
    windows. Snippets meet by anchor; the distinct ones of an anchor form one
    text, whose suffix array (see ``suffixes``) lays equal windows side by
    side. A window is removed where its class has a smaller document.
-3. An anchor of more than ``FREQUENT`` occurrences is not gathered: its windows
-   are classed within each chunk the same way, and the chunks' classes meet by
-   a 128-bit digest of their bytes in a grouped minimum and a join.
+3. An anchor of more than ``FREQUENT`` occurrences, however few documents have
+   them, is not gathered: its windows are classed within each chunk the same
+   way, a document's windows of one class go as merged runs of bytes (a long
+   run of one character is one), and the chunks' classes meet by a 128-bit
+   digest of their bytes in a grouped minimum and a join.
 4. Chunks get their documents' removed runs and write the results.
 
 Memory is bounded by the chunk (``CHUNK`` bytes, or one longer text), by the
@@ -48,6 +50,7 @@ SPAN = WIDTH - GRAM + 1  # grams in a window
 CHUNK = 2 << 20
 RANGE_ROWS = 1 << 21  # anchors that one range holds, about
 FREQUENT = 1 << 15  # occurrences of one anchor that a task gathers, some 2 MB
+OFTEN = 200_000  # occurrences of a frequent anchor that a chunk expands at once
 TOGETHER = 12  # distinct snippets in one text of the suffix array
 NO_ID = np.iinfo(np.int64).min  # stands for a null id
 
@@ -119,8 +122,9 @@ def store_chunks(docs: DataFrame) -> DataFrame:
     return written(id_and_text(docs).mapInArrow(run, CHUNKS), "chunks")
 
 
-def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes and in how many documents each of them occurs."""
+def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, in how many documents each of them occurs, and how
+    often in all."""
     order = np.lexsort((ids, h))
     h, ids = h[order], ids[order]
     new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
@@ -128,7 +132,7 @@ def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(h):
         more[1:] |= ids[1:] != ids[:-1]
     at = np.flatnonzero(new)
-    return h[at], (np.add.reduceat(more.astype(np.int64), at) if len(at) else at)
+    return h[at], (np.add.reduceat(more.astype(np.int64), at) if len(at) else at), np.diff(np.append(at, len(h)))
 
 
 def _own_anchors(row: dict) -> tuple[np.ndarray, ...]:
@@ -149,52 +153,55 @@ def shared_anchors(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 h, doc, _, _, _, ids = _own_anchors(row)
-                h, n = _distinct(h, ids[doc] if len(doc) else doc)
+                h, n, often = _distinct(h, ids[doc] if len(doc) else doc)
                 part = (h >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
                 short = ((h << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for r in range(1 << bits):
                     lo, hi = cuts[r], cuts[r + 1]
                     if hi > lo:
-                        several = np.flatnonzero(n[lo:hi] > 1)
+                        several = np.flatnonzero(often[lo:hi] > 1)
                         for c, v in zip(out, (r, row["chunk"], short[lo:hi].tobytes(), several.astype("<u4").tobytes(),
-                                              n[lo:hi][several].astype("<u4").tobytes())):
+                                              n[lo:hi][several].astype("<u4").tobytes(), often[lo:hi][several].astype("<u4").tobytes())):
                             c.append(v)
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                                 ["part", "chunk", "h", "at", "n"])
+                                                 ["part", "chunk", "h", "at", "n", "often"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         hs = [np.frombuffer(x, "<u4") for x in group["h"]]
-        ns = []
-        for h, at, n in zip(hs, group["at"], group["n"]):
-            m = np.ones(len(h), np.int64)
-            m[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
-            ns.append(m)
         _, back = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(back, np.concatenate(ns))[back]
-        marks = np.where(total > FREQUENT, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
+
+        def total(column: str) -> np.ndarray:
+            ns = []
+            for h, at, n in zip(hs, group["at"], group[column]):
+                m = np.ones(len(h), np.int64)
+                m[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
+                ns.append(m)
+            return np.bincount(back, np.concatenate(ns))[back]
+
+        marks = np.where(total("n") > 1, np.where(total("often") > FREQUENT, 2, 1), 0).astype(np.uint8)
         cuts = np.cumsum([len(h) for h in hs])[:-1]
         return pd.DataFrame({"part": group["part"], "chunk": group["chunk"],
                              "marks": [m.tobytes() for m in np.split(marks, cuts)]})
 
-    sent = chunks.mapInArrow(send, "part int, chunk long, h binary, at binary, n binary")
+    sent = chunks.mapInArrow(send, "part int, chunk long, h binary, at binary, n binary, often binary")
     met = sent.groupBy("part").applyInPandas(meet, "part int, chunk long, marks binary")
     # A chunk has at most 2 ** bits rows, one a range.
     return written(met, "marks").groupBy("chunk").agg(
         F.array_sort(F.collect_list(F.struct("part", "marks"))).alias("marks"))
 
 
-SNIPPETS = "kind int, h long, snippet binary, chunk long, doc int, id long, first int, d1 long, d2 long"
+SNIPPETS = "kind int, h long, snippet binary, chunk long, doc int, id long, first int, last int, d1 long, d2 long"
 
 
-def _rows(kind: int, h, snippet, chunk: int, doc, ids, first, d1, d2) -> pa.RecordBatch:
+def _rows(kind: int, h, snippet, chunk: int, doc, ids, first, last, d1, d2) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(n, kind, np.int32)), pa.array(h, pa.int64()), pa.array(snippet, pa.binary()),
         pa.array(np.full(n, chunk)), pa.array(doc.astype(np.int32)), pa.array(ids), pa.array(first.astype(np.int32)),
-        pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], [c.split()[0] for c in SNIPPETS.split(", ")])
+        pa.array(last, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], [c.split()[0] for c in SNIPPETS.split(", ")])
 
 
 def _steps(n: np.ndarray) -> np.ndarray:
@@ -225,7 +232,7 @@ def _class_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFrame:
     """Occurrences of shared anchors (kind 1) and windows of frequent ones
-    (kind 2, one row for each class and document of the chunk)."""
+    (kind 2: for each class and document of the chunk, its merged byte runs)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +252,7 @@ def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFram
                     # The offset of the anchor in the snippet goes into the key:
                     # equal windows lie alike around their anchor.
                     yield _rows(1, h[k].astype(np.int64), [text[a:b] for a, b in zip(first[k].tolist(), (last[k] + WIDTH).tolist())],
-                                row["chunk"], doc[k], ids[doc[k]], first[k] - begin[doc[k]], none, none)
+                                row["chunk"], doc[k], ids[doc[k]], first[k] - begin[doc[k]], none, none, none)
                 often = np.flatnonzero(mark == 2)
                 often = often[np.argsort(h[often], kind="stable")]
                 cuts = np.flatnonzero(np.concatenate(([True], h[often][1:] != h[often][:-1], [True]))) if len(often) else [0]
@@ -257,23 +264,30 @@ def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFram
 
 
 def _frequent(row, text, k, doc, ids, first, last, begin) -> Iterator[pa.RecordBatch]:
-    own = [text[a:b + WIDTH] for a, b in zip(first[k], last[k])]
-    distinct = list(dict.fromkeys(own))
-    number = {s: i for i, s in enumerate(distinct)}
+    number: dict[bytes, int] = {}
+    of = np.empty(len(k), np.int64)
+    for at in range(0, len(k), OFTEN):
+        part = k[at:at + OFTEN]
+        of[at:at + OFTEN] = [number.setdefault(text[a:b + WIDTH], len(number)) for a, b in zip(first[part].tolist(), last[part].tolist())]
+    distinct = list(number)
     classes, windows = _class_windows(distinct)
     offsets = np.concatenate(([0], np.cumsum(windows)))
-    _, at = np.unique(classes, return_index=True)
+    _, at, index = np.unique(classes, return_index=True, return_inverse=True)
     which = np.searchsorted(offsets, at, side="right") - 1
     digests = np.array([np.frombuffer(hashlib.blake2b(distinct[s][a - offsets[s]:a - offsets[s] + WIDTH], digest_size=16).digest(), np.int64)
                         for s, a in zip(which, at)])
-    index = np.searchsorted(classes[at], classes)
-    of = np.array([number[s] for s in own])
-    n = windows[of]
-    step = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    d = digests[index[np.repeat(offsets[of], n) + step]]
-    who = np.repeat(k, n)
-    none = [None] * len(who)
-    yield _rows(2, none, none, row["chunk"], doc[who], ids[doc[who]], np.repeat(first[k] - begin[doc[k]], n) + step, d[:, 0], d[:, 1])
+    for at in range(0, len(k), OFTEN):  # occurrences lie in the order of their places
+        part, these = k[at:at + OFTEN], of[at:at + OFTEN]
+        n = windows[these]
+        step = _steps(n)
+        who, cls = doc[np.repeat(part, n)], index[np.repeat(offsets[these], n) + step]
+        lo = np.repeat(first[part], n) + step - begin[who]
+        order = np.lexsort((lo, cls, who))
+        who, cls, lo = who[order], cls[order], lo[order]
+        new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (cls[1:] != cls[:-1]) | (lo[1:] > lo[:-1] + WIDTH))))
+        who, cls, hi = who[new], cls[new], lo[np.append(new[1:], len(lo)) - 1] + WIDTH
+        none = [None] * len(who)
+        yield _rows(2, none, none, row["chunk"], who, ids[who], lo[new], hi, digests[cls, 0], digests[cls, 1])
 
 
 RUNS = "chunk long, doc int, lo int, hi int"
@@ -340,16 +354,16 @@ def _match(found: DataFrame) -> DataFrame:
             yield from flush(*rest)
 
     rows = found.filter("kind = 1").select("h", "snippet", "chunk", "doc", "id", "first")
-    # An anchor here has at most FREQUENT documents; the order keeps it together.
+    # An anchor here has at most FREQUENT occurrences; the order keeps it together.
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, RUNS)
 
 
 def _match_frequent(found: DataFrame) -> DataFrame:
-    rows = found.filter("kind = 2").select("d1", "d2", "chunk", "doc", "id", F.col("first").alias("lo"))
+    rows = found.filter("kind = 2").select("d1", "d2", "chunk", "doc", "id", F.col("first").alias("lo"), F.col("last").alias("hi"))
     low = rows.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     low = written(low.drop("high"), "frequent")
     return rows.join(low.hint("shuffle_merge"), ["d1", "d2"]).filter("low < id").select(
-        "chunk", "doc", "lo", (F.col("lo") + WIDTH).alias("hi"))
+        "chunk", "doc", "lo", "hi")
 
 
 def copied(chunks: DataFrame) -> DataFrame:
@@ -402,8 +416,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     characters as text."""
     chunks = store_chunks(docs)
     runs = removed_runs(chunks)
-    # A chunk's runs: at most one for each anchor of its bytes, and the
-    # windows of its frequent anchors.
+    # A chunk's runs: at most one for each anchor of its bytes, and the merged
+    # runs of its frequent anchors' classes.
     by_chunk = runs.groupBy("chunk").agg(F.collect_list(F.struct("doc", "lo", "hi")).alias("runs"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
