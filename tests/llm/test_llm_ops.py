@@ -407,3 +407,85 @@ def test_long_runs_of_one_character_are_few_rows(llm, monkeypatch):
     none = llm.createDataFrame([], "chunk long, copies array<int>")
     found = passages.snippets(chunks, passages.shared_anchors(chunks), none)
     assert found.filter("kind = 1").count() < 1000 and found.count() < 1500
+
+
+def brute_language(rows, names, probs):
+    """``(id, best fit)`` of texts with letters, summed place by place."""
+    lat = language.lattice(language.VOCABULARY)
+    index, logs, seen, out = {p: i for i, p in enumerate(lat.pieces)}, np.log(probs), {}, {}
+
+    def word(w):
+        sums = [np.zeros(len(names))]
+        for e in range(1, len(w) + 1):
+            sums.append(np.logaddexp.reduce([sums[e - n] + logs[index.get(w[e - n:e], -1)] for n in range(1, min(e, lat.longest) + 1)
+                                             if w[e - n:e] in index or n == 1]))
+        return sums[-1]
+
+    for i, t in rows.items():
+        ws = ["▁" + w for w in t.lower().split()]
+        if re.search(r"[^\W\d_]", t):
+            out[i] = max(sum(seen.setdefault(w, word(w)) if w not in seen else seen[w] for w in ws)) / sum(map(len, ws))
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(llm, tmp_path):
+    base = common.documents(llm, SF)
+    top = base.agg(F.max("doc_id")).first()[0]
+    some = base.filter("length(text) > 400").orderBy("doc_id").first()
+    odd = [(top + 1, "语言模型训练数据" * 5), (top + 2, "1 2 3 ###"), (top + 3, None), (top + 4, some.text + " tail"),
+           (top + 5, "own words before " + some.text[:200] + " own words after"), (top + 6, "you idiot worthless moron scum " * 6)]
+    docs = base.unionByName(llm.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in odd], base.schema))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = llm.read.parquet(f"{SF}/labels.parquet")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    sf, now = str(tmp_path), common.documents(llm, str(tmp_path))
+
+    def rows(d):
+        return {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+
+    def after(k):
+        return common.written(pipeline.STAGES[k][1](llm, now, sf), "test-stage")
+
+    before, model = rows(now), toxicity.learn(now, labels)
+    want = {r.doc_id for r in toxicity.score_texts(now, model).filter("predicted = 0").select("row.doc_id").collect()}
+    now = after(0)
+    assert {i: t for i, t in before.items() if i in want} == rows(now) and top + 6 not in want
+    before, fits = rows(now), brute_language({i: t or "" for i, t in rows(now).items()}, *language.learn(now))
+    nothing = now.withColumn("lang", F.lit(None).cast("string"))
+    assert set(rows(pipeline.drop_unknown_language(llm, nothing, sf))) == set(fits)  # all with letters
+    now = after(1)
+    assert rows(now) == {i: before[i] for i, f in fits.items() if f >= pipeline.FLOOR}
+    assert not {top + 1, top + 2, top + 3} & set(rows(now))
+    before = rows(now)
+    sets = {i: shingle_set(t) for i, t in before.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    now = after(2)
+    assert rows(now) == {i: t for i, t in before.items() if find(i) == i} and top + 4 not in rows(now)
+    before, cut = rows(now), brute_repeats(rows(now))
+    now = after(3)
+    left = rows(now)
+    for i, t in before.items():
+        n, gone, _, digest = cut[i]
+        assert left.get(i) == t if not gone else gone == n or hashlib.sha256(left[i].encode()).hexdigest() == digest or i != top + 5
+    assert cut[top + 5][1] >= 200 and set(left) >= {i for i, c in cut.items() if c[1] < c[0]} - {i for i, c in cut.items() if c[0] - c[1] < 4}
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    full = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    packed = pipeline.run(llm, sf).collect()
+    got = collections.Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == {i: len(full.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}

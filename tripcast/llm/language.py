@@ -301,16 +301,22 @@ def learn(docs: DataFrame, sample: int = SAMPLE, model_file: str = VOCABULARY) -
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: str = VOCABULARY) -> DataFrame:
-    """``(row, lang_pred, score)``: the input row, the language of the whole
-    text and its posterior."""
+    """``(row, lang_pred, score, fit)``: the input row, the language of the whole
+    text, its posterior, and the log probability under it for each character
+    (with a mark for each word). ``fit`` is null for a text without a letter and
+    0 where nothing was learned."""
     names = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1])  # pieces x languages
     cache: dict[str, int] = {}
     state: dict = {}
 
     def score(texts: list[str]) -> dict[str, pa.Array]:
-        preds, scores = ["und"] * len(texts), np.zeros(len(texts))
-        known = [k for k, t in enumerate(texts) if names and LETTER.search(t)]
+        preds, scores, fits = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+        known = [k for k, t in enumerate(texts) if LETTER.search(t)]
+        if not names:
+            for k in known:
+                fits[k] = 0.0
+            known = []
         at = 0
         while at < len(known):  # part by part, so that words at hand stay few
             part, n = [], 0
@@ -336,9 +342,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: s
                 total = state["logs"][np.fromiter((cache[w] for w in ws), np.int64, len(ws))].sum(axis=0)
                 best = int(total.argmax())
                 preds[k], scores[k] = names[best], 1.0 / np.exp(total - total[best]).sum()
-        return {"lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores)}
+                fits[k] = float(total[best]) / sum(map(len, ws))
+        return {"lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores), "fit": pa.array(fits, pa.float64())}
 
-    return with_results(docs, score, "lang_pred string, score double")
+    return with_results(docs, score, "lang_pred string, score double, fit double")
 
 
 def identify_documents(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
