@@ -489,3 +489,24 @@ def test_pipeline_stages_equal_brute_force(llm, tmp_path):
     for r in packed:
         got[r.doc_id] += r.length
     assert got == {i: len(full.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
+
+
+def test_licence_texts_wrapped_headers_and_neighbours(llm):
+    import pkgutil
+
+    rows = [(f"{n}/LICENSE", pkgutil.get_data("tripcast.llm", f"licence_texts/{n}.txt").decode()) for n in licences.TEXTS]
+    rows += [(f"{n}/src/code", "plain code of its own") for n in licences.TEXTS]
+    code = "\n\n" + "value = compute(other) + something\n" * 200
+    mit = rows[licences.TEXTS.index("MIT")][1].replace("\n\n", "\n\n")
+    rows += [("h/wrapped", "# This work is licensed under the GNU\n# General Public License,\n# version 2." + code),
+             ("h/mit", "\n".join("# " + l for l in mit.split("\n")) + code),
+             ("v/lgpl", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+             ("v/agpl", "This work is licensed under the GNU Affero General Public License, version 3."),
+             ("v/sa", "Licensed under CC BY-SA 4.0"), ("v/gpl2", "This work is licensed under the GNU General Public License, version 2."),
+             ("two/NOTE", "Released under the MIT License.\n" + "some other words of this file here now\n" * 3 + "Released under the MIT License.\n" * 2)]
+    got = {r.path: r for r in licences.scan(llm.createDataFrame(rows, "path string, text string")).collect()}
+    for n in licences.TEXTS:
+        assert (got[f"{n}/LICENSE"].own, got[f"{n}/LICENSE"].is_file, got[f"{n}/src/code"].licence, got[f"{n}/src/code"].from_dir) == (n, True, n, n)
+    assert {p: got[p].own for p in got if p[:2] in ("h/", "v/")} == {
+        "h/wrapped": "GPL-2.0", "h/mit": "MIT", "v/lgpl": "LGPL-2.1", "v/agpl": "AGPL-3.0", "v/sa": "CC-BY-SA-4.0", "v/gpl2": "GPL-2.0"}
+    assert not got["h/wrapped"].is_file and not got["h/mit"].is_file and got["two/NOTE"].is_file

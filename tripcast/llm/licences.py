@@ -1,23 +1,36 @@
-"""Licence scan: TF-IDF cosine of lines to licence notices, and inheritance
-from the nearest directory above.
-
-Every line of a text is a sparse vector of its words, weighted by how rare
-they are among all lines; words outside the templates count with the largest
-weight. A file's own licence is the template of its best line, at ``LIKE`` or
-more. A file of which such lines make up ``FILE_SHARE`` of the words is a
-licence file: it speaks for its directory. Files without a licence of their
-own take that of the nearest directory above that has one (the smallest path
-of equal ones), by joining their ancestors to the directories.
-
-DataFrame operations only; the template table is fixed and small. Defined
+"""Licence scan: TF-IDF cosine of lines, headers and whole files to licence
+notices and licence texts, and inheritance from the nearest directory above.
+
+Every line of a text, and every block of several lines between blank ones (a
+notice wrapped over lines), is a sparse vector of its words, weighted by how
+rare they are among all lines; words outside the templates count with the
+largest weight. The templates are the notices.
+
+The first block (the header) and the whole file are compared with the full
+licence texts of ``licence_texts`` too, words weighted by the root of how often
+they occur and by how rare they are among those texts. Blocks, headers and files are compared if they hold one of
+``MARKERS``, the beginnings of words of which every template has some.
+
+A file's own licence is the template of its best part, at ``LIKE`` or more. A
+file of which matching lines, or matching blocks, make up ``FILE_SHARE`` of the
+words in all, or that as a whole matches a licence text, is a licence file: it
+speaks for its directory. Files without a licence of their own take that of the
+nearest directory above that has one (the smallest path of equal ones), by
+joining their ancestors to the directories.
+
+DataFrame operations only; the template tables are fixed and small. Defined
 cases: a null or empty text has no licence of its own; equal cosines go to the
-first template by name; rows that repeat a path get a row each.
+first template by name; rows that repeat a path get a row each. AGPL and the
+Creative Commons licences but CC0 have notices and no full text.
 """
 
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
+from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +42,67 @@ FILE_SHARE = 0.2
 
 # Short notices by which works name their licence.
 NOTICES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "CC-BY-4.0": "Licensed under CC BY 4.0 Creative Commons Attribution",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0 Creative Commons Attribution-ShareAlike",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0 Creative Commons Attribution-ShareAlike",
+    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "ISC": "Released under the ISC License",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Proprietary": "All rights reserved",
 }
+TEXTS = ("Apache-2.0", "BSD", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0",
+         "MIT", "MPL-1.1", "MPL-2.0")
+MARKERS = r"licen[sc]|redistribut|rights|permi|warrant|copyright|gnu|commons|public domain"
+BLANK = r"\n[ \t\r]*(?=\n)"
 TOKEN = r"[^a-z0-9.\-]+|\.+(?=[^0-9]|$)"
 
 
+def _words(text: str) -> list[str]:
+    return [t for t in re.split(TOKEN, text.lower()) if t]
+
+
 def _tokens(text: str) -> set[str]:
-    return {t for t in re.split(TOKEN, text.lower()) if t}
+    return set(_words(text))
+
+
+@lru_cache(maxsize=1)
+def full_texts() -> dict[str, Counter]:
+    return {name: Counter(_words(pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode())) for name in TEXTS}
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """``(__row, kind, n, name, like)``: headers (kind 2) and whole files (kind
+    3) that are like a licence text."""
+    texts = full_texts()
+    idf = {t: math.log((len(texts) + 1) / (sum(t in x for x in texts.values()) + 1)) + 1 for t in set().union(*texts.values())}
+    top = math.log(len(texts) + 1) + 1
+    weights = rows.sparkSession.createDataFrame(
+        [(t, idf[t] ** 2, {name: math.sqrt(texts[name][t]) for name in texts if t in texts[name]}) for t in sorted(idf)],
+        "t string, w double, names map<string,double>")
+    norms = F.create_map(*[F.lit(v) for name in texts for v in (name, math.sqrt(sum(idf[t] ** 2 * n for t, n in texts[name].items())))])
+    low = F.lower("text")
+    first = F.filter(F.split(low, BLANK), lambda b: F.btrim(b) != "")
+    units = rows.filter(low.rlike(MARKERS)).select("__row", F.posexplode(F.array(F.get(first, F.lit(0)), low)).alias("kind", "s"))
+    units = units.filter(F.col("s").rlike(MARKERS)).select("__row", (F.col("kind") + 2).alias("kind"), F.array_remove(F.split("s", TOKEN), "").alias("tokens"))
+    hits = units.select("__row", "kind", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(F.broadcast(weights), "t")
+    hits = hits.groupBy("__row", "kind", "t").agg(F.first("n").alias("n"), F.count("*").alias("tf"), F.first("w").alias("w"), F.first("names").alias("names"))
+    square = (F.sum(F.col("w") * F.col("tf")) + (F.first("n") - F.sum("tf")) * top ** 2).alias("square")  # other words count each time
+    vectors = hits.groupBy("__row", "kind").agg(F.first("n").alias("n"), square, F.collect_list(F.struct((F.col("w") * F.sqrt("tf")).alias("w"), "names")).alias("ws"))  # at most the vocabulary
+    scored = vectors.select("__row", "kind", "n", "square", "ws", F.explode(F.array(*[F.lit(x) for x in sorted(texts)])).alias("name"))
+    dot = F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(x["names"], F.col("name")), F.lit(0.0)))
+    return scored.select("__row", "kind", "n", "name", F.round(dot / F.sqrt("square") / F.element_at(norms, F.col("name")), 6).alias("like")
+                         ).filter(F.col("like") >= LIKE)
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -55,14 +115,19 @@ def scan(files: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(t) for t in vocabulary])
     rows = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("__row", F.monotonically_increasing_id())
     split = F.filter(F.split(F.lower("text"), "\n"), lambda line: F.btrim(line) != "")
-    lines = rows.select("__row", F.posexplode(split).alias("line", "s"))
+    lines = rows.select("__row", F.posexplode(split).alias("line", "s")).withColumn("kind", F.lit(0))
+    blocks = F.filter(F.split(F.lower("text"), BLANK), lambda b: F.btrim(b).contains("\n") & b.rlike(MARKERS))
+    blocks = rows.filter(F.lower("text").rlike(MARKERS)).select("__row", F.posexplode(blocks).alias("line", "s")).withColumn("kind", F.lit(1))
     tokens = F.array_distinct(F.array_remove(F.split("s", TOKEN), ""))
+    # Other words of a block count each time, those of a line once.
+    foreign = F.when(F.col("kind") == 1, F.size(F.filter(F.array_remove(F.split("s", TOKEN), ""), lambda t: ~F.array_contains(known, t))))
     total = lines.count()
     # Lines without a word of any template are counted above and not stored.
-    lines = written(lines.select("__row", "line", F.size(tokens).alias("n"), F.array_intersect(tokens, known).alias("hits"))
+    lines = written(lines.unionByName(blocks).select("__row", "kind", "line", F.size(tokens).alias("n"), foreign.alias("foreign"), F.size(
+        F.array_remove(F.split("s", TOKEN), "")).alias("words"), F.array_intersect(tokens, known).alias("hits"))
                     .filter(F.size("hits") > 0), "licence-lines")
     # Rarity of the templates' words among all lines: a row for each word.
-    seen = lines.select(F.explode("hits").alias("t")).groupBy("t").count().collect()
+    seen = lines.filter("kind = 0").select(F.explode("hits").alias("t")).groupBy("t").count().collect()
     idf = {t: math.log((total + 1) / 1.0) for t in vocabulary} | {r[0]: math.log((total + 1) / (r[1] + 1.0)) + 0.1 for r in seen}
     top = max([math.log(total + 1), *idf.values()])
     weights = spark.createDataFrame(
@@ -70,16 +135,20 @@ def scan(files: DataFrame) -> DataFrame:
         "t string, w double, names array<string>")
     norms = F.create_map(*[F.lit(v) for name in notices for v in (name, math.sqrt(sum(idf[t] ** 2 for t in notices[name])))])
     # Fewer than two shared words reach LIKE with no template.
-    some = lines.filter(F.size("hits") >= 2).select("__row", "line", "n", F.size("hits").alias("m"), F.explode("hits").alias("t"))
-    some = some.join(F.broadcast(weights), "t").groupBy("__row", "line", "n", "m").agg(
+    some = lines.filter(F.size("hits") >= 2).select("__row", "kind", "line", "words", "foreign", "n", F.size("hits").alias("m"), F.explode("hits").alias("t"))
+    some = some.join(F.broadcast(weights), "t").groupBy("__row", "kind", "line", "words", "foreign", "n", "m").agg(
         F.sum("w").alias("square"), F.collect_list(F.struct("w", "names")).alias("ws"))  # at most the vocabulary
-    square = F.col("square") + (F.col("n") - F.col("m")) * (top ** 2)
-    scored = some.select("__row", "n", square.alias("square"), F.explode(F.array(*[F.lit(n) for n in sorted(notices)])).alias("name"), "ws")
+    square = F.col("square") + F.coalesce("foreign", F.col("n") - F.col("m")) * (top ** 2)
+    scored = some.select("__row", "kind", "line", "words", square.alias("square"), F.explode(F.array(*[F.lit(n) for n in sorted(notices)])).alias("name"), "ws")
     dot = F.aggregate(F.filter("ws", lambda x: F.array_contains(x["names"], F.col("name"))), F.lit(0.0), lambda a, x: a + x["w"])
-    scored = scored.select("__row", "n", "name", F.round(dot / F.sqrt("square") / F.element_at(norms, F.col("name")), 6).alias("like"))
+    scored = scored.select("__row", "kind", "line", F.col("words").alias("n"), "name", F.round(dot / F.sqrt("square") / F.element_at(norms, F.col("name")), 6).alias("like"))
     scored = scored.filter(F.col("like") >= LIKE)
-    best = scored.groupBy("__row").agg(F.max_by("name", F.struct("like", F.expr("-ascii(name)"))).alias("own"),
-                                       F.max("like").alias("likeness"), F.max("n").alias("licence_words"))
+    # Each line, block, header or file counts once, by its best template.
+    best = scored.unionByName(_whole(rows).withColumn("line", F.lit(0))).groupBy("__row", "kind", "line").agg(
+        F.min_by("name", F.struct(-F.col("like"), F.col("name"))).alias("name"), F.max("like").alias("like"), F.first("n").alias("n"))
+    of = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in range(4)]
+    best = best.groupBy("__row").agg(F.min_by("name", F.struct(-F.col("like"), F.col("name"))).alias("own"),
+                                     F.max("like").alias("likeness"), F.greatest(*of).alias("licence_words"))
     size = F.size(F.array_remove(F.split(F.lower("text"), r"\s+"), ""))
     own = rows.select("__row", "path", size.alias("words")).join(best.hint("shuffle_merge"), "__row", "left").withColumn(
         "is_file", F.coalesce(F.col("licence_words") >= FILE_SHARE * F.col("words"), F.lit(False)))
