@@ -3,24 +3,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from tripcast.session import local_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, shuffle_partitions=4, app="tripcast-tests")
     yield s
-
-
-def trips_frame(spark, rows):
-    """rows: (r_key, out_id, 'yyyy-mm-dd hh:mm:ss', end_time|None, slat, slon, elat, elon)."""
-    from pyspark.sql import functions as F
-    df = spark.createDataFrame(
-        rows, "r_key long, out_id long, start_time string, end_time string, "
-              "start_lat double, start_lon double, end_lat double, end_lon double")
-    return (df.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
-            .withColumn("end_time", F.col("end_time").cast("timestamp_ntz")))

@@ -9,7 +9,7 @@ from tripcast.session import scratch_path
 from tripcast.sources import results as results_io
 from tripcast.sources import trips as trips_io
 
-from conftest import SF_SMALL, trips_frame
+from trip_helpers import SF_SMALL, trips_frame
 
 
 def test_nb_matches_spark_ml(spark):

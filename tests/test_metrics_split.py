@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tripcast.functions.metrics import pair_metric_l2, pair_metric_log, pair_metric_root, trip_score
 from tripcast.operators.features import split_by_time
 
-from conftest import trips_frame
+from trip_helpers import trips_frame
 
 
 def test_pair_metrics(spark):

@@ -9,7 +9,7 @@ from tripcast.operators import neighbours as N
 from tripcast.operators.features import split_by_time, train_features
 from tripcast.operators.features import test_features as make_test_features
 
-from conftest import trips_frame
+from trip_helpers import trips_frame
 
 
 def adversarial_trips(spark, seed=7):

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from tripcast.plans import oracle as O
 from tripcast.plans import queries as Q
 
-from conftest import SF_SMALL
+from trip_helpers import SF_SMALL
 
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin")
 
