@@ -13,7 +13,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripcast.session import scratch_path
@@ -117,3 +117,33 @@ def with_results(docs: DataFrame, score: Callable[[list], dict[str, pa.Array]],
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], ["row", *made])
 
     return packed.mapInArrow(run, StructType([StructField("row", schema[0].dataType), *schema.fields[1:]]))
+
+
+# Bits of a monotonically increasing id below its partition number.
+PLACE_BITS = 33
+
+
+def laid_out(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """The rows in one global order, range-partitioned and written, with
+    ``place``: a number that grows with the order (a task's number and the
+    row's number in it). Written, so that a recomputed task cannot renumber."""
+    spread = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return written(spread.withColumn("place", F.monotonically_increasing_id()), name)
+
+
+def positions(laid: DataFrame, group: list[str]) -> DataFrame:
+    """``pos`` (from 0) and ``n`` of each row of a :func:`laid_out` table
+    within its group; the group's columns lead the table's order. No group is
+    put into one task: its pieces are shifted by the sizes of earlier pieces,
+    a table with one row a group and range partition."""
+    piece = F.shiftright("place", PLACE_BITS).alias("piece")
+    sizes = laid.groupBy(*group, piece).agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("low"))
+    of_group = Window.partitionBy(*group)
+    sizes = sizes.select(
+        *[F.col(c).alias(f"__{c}") for c in group], "piece", "low",
+        (F.sum("c").over(of_group.orderBy("piece")) - F.col("c")).alias("before"), F.sum("c").over(of_group).alias("n"))
+    same = F.shiftright("place", PLACE_BITS) == F.col("piece")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return laid.join(sizes, same).select(
+        *laid.columns, (F.col("before") + F.col("place") - F.col("low")).alias("pos"), "n")

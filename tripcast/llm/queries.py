@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripcast.llm import (
-    fingerprints, language, licences, materialise, near_dedup, packing, passages, pieces, quality, toxicity)
+    conversations, fingerprints, hilbert, language, licences, manifest, materialise, near_dedup, packing, passages, pieces, quality, toxicity)
 from tripcast.llm.common import documents, held_out, id_and_text, package_on_workers, read_table, written
 
 
@@ -71,6 +71,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return hilbert.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    package_on_workers(spark)
+    return conversations.repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_nearest": op11_nearest,
+    "op12_conversations": op12_conversations,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_quality": quality.SQL}
