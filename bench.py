@@ -19,7 +19,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tripcast.operators import neighbours as N  # noqa: E402
 from tripcast.plans import inputs  # noqa: E402
 from tripcast.plans import queries as Q  # noqa: E402
 from tripcast.session import local_session  # noqa: E402
@@ -37,7 +36,6 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * int(cpus))))))
     times: dict[str, float] = {}
-    plans: dict[str, bool] = {}
     for name in HEADLINE:
         fn = Q.QUERIES[name]
         _run(fn(spark, sf_dir))  # warm-up
@@ -47,19 +45,12 @@ def main() -> None:
             _run(fn(spark, sf_dir))
             runs.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(runs), 3)
-        plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        plans[name] = "WindowGroupLimit" in plan
-    # extras (not in the headline total): candidate pair count of the SQL
-    # form, and one run of the same predictor forced through the bounded walk
-    parts = inputs.split(spark, sf_dir)
-    tr, te = inputs.sql_form_features(spark, sf_dir, parts)
+    # extra (not in the headline total): the pairs that listing all of a
+    # person's past trips would make in the SQL form
+    tr, te = inputs.sql_form_features(spark, sf_dir)
     n_pairs = (te.groupBy(F.col("out_id2").alias("out_id")).count().withColumnRenamed("count", "t")
                .join(tr.groupBy("out_id").count(), "out_id").agg(F.sum(F.col("t") * F.col("count"))).first()[0])
     extras = {"candidate_pairs_sql_form": int(n_pairs or 0)}
-    if os.environ.get("BENCH_WALK", "1") == "1":
-        t0 = time.perf_counter()
-        _run(N.knn_nearest_vote(tr, te, 10, strategy="walk"))
-        extras["knn_nearest_vote_forced_walk_sec"] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "total_headline_wall_time",
@@ -68,7 +59,6 @@ def main() -> None:
         "queries": times,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": int(cpus),
-        "window_group_limit": plans,
         "extras": extras,
     }))
 

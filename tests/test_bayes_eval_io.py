@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tripcast.operators import bayes, evaluate
+from tripcast.operators import bayes, boxes, evaluate
 from tripcast.operators.features import split_by_time
 from tripcast.operators.features import test_features as make_test_features
 from tripcast.plans import inputs
@@ -35,15 +35,44 @@ def test_nb_matches_spark_ml(spark):
     assert got and all(want[k] == v for k, v in got.items())
 
 
-def test_nb_chunks_do_not_change_result(spark):
+def test_nb_small_pages_do_not_change_result(spark, monkeypatch):
     tr, te = inputs.split(spark, SF_SMALL)
     model = bayes.nb_fit(bayes.nb_train_rows(tr))
     tf = make_test_features(te)
-    a = bayes.nb_predict(model, tf, chunk=1).toPandas().sort_values("r_key").reset_index(drop=True)
     b = bayes.nb_predict(model, tf).toPandas().sort_values("r_key").reset_index(drop=True)
+    monkeypatch.setattr(boxes, "PAGE_BITS", 1)
+    monkeypatch.setattr(boxes, "FAN_BITS", 1)
+    a = bayes.nb_predict(model, tf).toPandas().sort_values("r_key").reset_index(drop=True)
     assert a.equals(b)
 
 
+def test_nb_scores_few_classes_of_a_person_with_many(spark):
+    """10 000 classes, 400 trips of 100 distinct feature vectors."""
+    unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000003)) / F.lit(1000003.0)
+    rows = spark.range(30_000).select(
+        (F.col("id") % 1 + 1).alias("out_id"), (20 + (F.col("id") % 100) / 10).alias("label_lat"),
+        (100 + F.floor(F.col("id") / 100) % 100 / 10).alias("label_lon"), F.floor(24 * unit(1)).alias("hour"),
+        F.floor(3 * unit(2)).alias("type_of_day"), (20 + 20 * unit(3)).alias("start_lat"), (100 + 20 * unit(4)).alias("start_lon"))
+    model = bayes.nb_fit(rows).cache()
+    assert model.count() == 10_000
+    trips = spark.range(400).select(
+        F.col("id").alias("r_key"), (F.col("id") % 1 + 1).alias("out_id2"), (F.col("id") % 20).cast("int").alias("hour2"),
+        (F.col("id") % 2).cast("int").alias("type_of_day2"), (20 + F.col("id") % 100 / 5).alias("start_lat2"),
+        (100 + F.col("id") % 100 / 5).alias("start_lon2"), F.lit(30.0).alias("end_lat2"), F.lit(110.0).alias("end_lon2"))
+    tf = [f"{f}2" for f in bayes.FEATURES]
+    vectors = trips.withColumnRenamed("out_id2", "out_id").select("out_id", *tf).distinct().withColumn(
+        "vector", F.struct("out_id", *tf))
+    index = bayes.class_index(model)
+    met = boxes.page_rows(bayes.class_pages(index, vectors, bayes.FEATURES, tf), index)
+    scored = met.agg(F.sum(F.size("rows"))).first()[0]
+    assert vectors.count() == 100 and scored < 400 * 10_000 / 20
+    classes = model.toPandas()
+    for r in bayes.nb_best(model, trips).join(trips, "r_key").sample(0.1, 3).collect():
+        s = classes.pi + sum(r[t] * classes[f"theta_{f}"] for f, t in zip(bayes.FEATURES, tf))
+        best = classes.assign(s=-s.round(9)).sort_values(["s", "label_lat", "label_lon"]).iloc[0]
+        assert (r.lat, r.lon) == (best.label_lat, best.label_lon) and abs(r.score + best.s) < 2e-9
+
+
 def test_nb_hot_person_with_few_classes_scores_no_pairs(spark):
     rows = [(i, 1, "2018-06-01 08:00:00", None, 30.0, 110.0, 30.5 + i % 2, 110.5) for i in range(6)]
     test = [(100 + i, 1, "2018-06-24 08:00:00", None, 30.0, 110.0, 30.5, 110.5) for i in range(200)]
@@ -110,26 +139,6 @@ def test_split_roundtrip_keeps_rows(spark):
     assert trips_io.read_trips(spark, p_te, "test", id_type=T.LongType()).count() == 1
 
 
-def test_stream_adapter_matches_batch(spark):
-    from pyspark.sql import types as T
-
-    from tripcast.operators import neighbours as N
-    from tripcast.operators.features import train_features
-    from tripcast.streaming import predict_stream, read_trip_stream
-    tr, te = inputs.split(spark, SF_SMALL)
-    trf = train_features(tr)
-    src = scratch_path(spark, "stream-src")
-    trips_io.write_trips(te, src)
-    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    q = predict_stream(read_trip_stream(spark, src, T.LongType()), trf, lambda a, b: N.knn_nearest_vote(a, b, 10),
-                       out, ck)
-    q.processAllAvailable()
-    q.stop()
-    got = spark.read.parquet(out).drop("batch").toPandas().sort_values("r_key").reset_index(drop=True)
-    want = N.knn_nearest_vote(trf, make_test_features(te), 10).toPandas().sort_values("r_key").reset_index(drop=True)
-    assert got[want.columns].equals(want)
-
-
 def test_group_without_a_valid_row_and_coverage(spark):
     from tripcast.operators.evaluate import coverage, evaluate
 

@@ -1,32 +1,35 @@
-"""The bounded neighbour walk must give exactly the brute-force answer."""
+"""The box index must give exactly the brute-force answer."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tripcast.operators import boxes
 from tripcast.operators import neighbours as N
 from tripcast.operators.features import split_by_time, train_features
 from tripcast.operators.features import test_features as make_test_features
 
 from trip_helpers import trips_frame
 
+DESTS = [(30.1, 110.2), (30.3, 110.9), (31.0, 111.5), (29.5, 109.9), (-33.9, 179.9)]
 
-def adversarial_trips(spark, seed=7):
+
+def adversarial_trips(seed=7, n=420):
     """One hot person with duplicate longitudes, trips at the exact
     longitude of later trips (NaN core), longitudes on both sides of the
     date line, few destinations (many ties); small persons with 0, 1, 2
     past trips."""
     rnd = random.Random(seed)
-    dests = [(30.1, 110.2), (30.3, 110.9), (31.0, 111.5), (29.5, 109.9), (-33.9, 179.9)]
     lons = [110.0, 110.00001, 110.5, 111.25, 179.99, -179.99, 179.5, -179.5, 112.0]
     rows, key = [], 0
-    for i in range(420):
+    for i in range(n):
         day = 1 + i % 29
         hour = rnd.choice([7, 8, 8, 9, 18])
         lon = rnd.choice(lons) if rnd.random() < 0.7 else round(rnd.uniform(100, 120), 5)
         lat = round(rnd.uniform(20, 40), 5)
-        el, eo = rnd.choice(dests)
+        el, eo = rnd.choice(DESTS)
         rows.append((key, 1, f"2018-06-{day:02d} {hour:02d}:{rnd.randint(0, 59):02d}:00", None, lat, lon, el, eo))
         key += 1
     for person, n_train in ((2, 0), (3, 1), (4, 2)):
@@ -35,51 +38,142 @@ def adversarial_trips(spark, seed=7):
             key += 1
         rows.append((key, person, "2018-06-25 08:00:00", None, 30.0, 110.0, 30.5, 110.5))
         key += 1
-    return trips_frame(spark, rows)
-
-
-@pytest.fixture(scope="module")
-def adv(spark):
-    tr, te = split_by_time(adversarial_trips(spark))
-    return tr, te
-
-
-def _same(a, b):
-    pa, pb = a.toPandas(), b.toPandas()
-    cols = sorted(pa.columns)
-    pa = pa[cols].sort_values(cols).reset_index(drop=True)
-    pb = pb[cols].sort_values(cols).reset_index(drop=True)
-    assert len(pa) == len(pb)
-    assert pa.equals(pb), pa.merge(pb, how="outer", indicator=True).query("_merge != 'both'").head()
-
-
-@pytest.mark.parametrize("k", [1, 3, 10])
-def test_nearest_vote_walk_equals_pairs(spark, adv, k):
-    tr, te = adv
-    trf, tef = train_features(tr), make_test_features(te)
-    _same(N.knn_nearest_vote(trf, tef, k, strategy="walk"), N.knn_nearest_vote(trf, tef, k, strategy="pairs"))
-    _same(N.kept_neighbours(trf, tef, k, strategy="walk").select("r_key", "class", "votes", "pos", "cnt"),
-          N.kept_neighbours(trf, tef, k, strategy="pairs").select("r_key", "class", "votes", "pos", "cnt"))
-
-
-@pytest.mark.parametrize("k", [1, 4, 10])
-def test_queue_forms_walk_equal_pairs(spark, adv, k):
-    tr, te = adv
-    trf, tef = train_features(tr, round_start=True), make_test_features(te, round_start=False)
-    _same(N.knn_kth(trf, tef, k, strategy="walk"), N.knn_kth(trf, tef, k, strategy="pairs"))
-    _same(N.knn_voted(trf, tef, k, strategy="walk"), N.knn_voted(trf, tef, k, strategy="pairs"))
-
-
-def test_weighted_walk_equals_pairs(spark, adv):
-    tr, te = adv
-    trf, tef = train_features(tr, 8), make_test_features(te, round_start=False)
-    _same(N.knn_sweep(trf, tef, (1, 3, 10), strategy="walk"), N.knn_sweep(trf, tef, (1, 3, 10), strategy="pairs"))
-
-
-def test_auto_routes_big_person_to_walk(spark, adv):
-    tr, te = adv
-    trf, tef = train_features(tr), make_test_features(te)
-    _same(N.knn_nearest_vote(trf, tef, 5, pair_cap=50), N.knn_nearest_vote(trf, tef, 5, strategy="pairs"))
+    return rows
+
+
+# ---------------------------------------------------------------- brute force
+
+def _gap(a, b):
+    x = math.acos(max(-1.0, min(1.0, math.cos(math.radians(a) - math.radians(b)))))
+    return math.nan if x == 0 else 6378140 * x
+
+
+def _fold(a, b):
+    g = math.fmod(abs(a - b), 360.0)
+    return min(g, 360.0 - g)
+
+
+def _root_key(tr, te, clamp=False):
+    gap = _gap(tr.start_lon, te.start_lon2)
+    d = float((tr.hour - te.hour2) ** 2 + (tr.type_of_day - te.type_of_day2) ** 2)
+    if math.isnan(gap):
+        return (math.inf, 0.0)
+    if d + math.log10(gap * gap) < 0:
+        return (-1e6, 0.0) if clamp else (math.inf, 0.0)
+    f = _fold(tr.start_lon, te.start_lon2)
+    return (d + 2 * math.log10(f), f)
+
+
+def brute_nearest(past, trips, k, clamp=False):
+    """``{r_key: (class, votes)}`` and the kept rows ``{r_key: {(nb_key, pos)}}``."""
+    win, kept = {}, {}
+    for te in trips:
+        rows = sorted(((_root_key(tr, te, clamp), tr) for tr in past if tr.out_id == te.out_id2), key=lambda x: (x[0], x[1]["class"]))
+        if not rows:
+            continue
+        limit = rows[min(k, len(rows)) - 1][0]
+        near = [(key, tr) for key, tr in rows if key <= limit]
+        votes = {}
+        for _, tr in near:
+            votes[tr["class"]] = votes.get(tr["class"], 0) + 1
+        first = [tr["class"] for key, tr in near if key == near[0][0]]
+        win[te.r_key] = min((-votes[c], c) for c in first)[1]
+        kept[te.r_key] = {(tr.nb_key, 1 + sum(o < key for o, _ in near)) for key, tr in near}
+    return win, kept
+
+
+def brute_queue(past, trips, k):
+    """``{r_key: (k-th destination, voted destination)}``."""
+    out = {}
+    for te in trips:
+        def key(tr):
+            f = _fold(tr.start_lon, te.start_lon2)
+            lost = math.isnan(_gap(te.start_lon2, tr.start_lon))
+            p = abs(te.hour2 - tr.hour) * abs(te.type_of_day2 - tr.type_of_day) * f
+            return (math.inf, 0.0) if lost else (p, f)
+        rows = sorted((*key(tr), tr.end_lat, tr.end_lon) for tr in past if tr.out_id == te.out_id2)[:k]
+        if rows:
+            dests = [r[2:] for r in rows]
+            out[te.r_key] = dests[-1], min(set(dests), key=lambda d: (-dests.count(d), dests.index(d)))
+    return out
+
+
+def brute_weighted(past, trips, k):
+    out = {}
+    for te in trips:
+        rows = sorted(((te.start_lat2 - tr.start_lat) ** 2 + (te.start_lon2 - tr.start_lon) ** 2
+                       + float(te.hour2 - tr.hour) ** 2 + float(te.type_of_day2 - tr.type_of_day) ** 2, tr["class"])
+                      for tr in past if tr.out_id == te.out_id2)[:k]
+        if not rows:
+            continue
+        zero = rows[0][0] == 0
+        sums = {}
+        for d2, c in rows:
+            sums[c] = sums.get(c, 0.0) + (float(d2 == 0) if zero else 1 / math.sqrt(d2))
+        out[te.r_key] = min((-round(s, 6), c) for c, s in sums.items())[1]
+    return out
+
+
+def check(spark, rows, k):
+    tr, te = split_by_time(trips_frame(spark, rows))
+    trf, tef = train_features(tr).cache(), make_test_features(te).cache()
+    past, trips = trf.collect(), tef.collect()
+    for clamp in (False, True):
+        win, kept = brute_nearest(past, trips, k, clamp)
+        ranked = N.rank_neighbours(trf, tef, k, clamp).cache()
+        got = N.nearest_winner(ranked).collect()
+        assert {r.r_key: r["class"] for r in got} == win and len(got) == len(win)
+        if clamp:
+            continue
+        rows_of = N.kept_neighbours(trf, tef, k, clamp).join(
+            trf.select("nb_key", "out_id", "hour", "type_of_day", "start_lon", "class"),
+            ["out_id", "hour", "type_of_day", "start_lon", "class"])
+        found = {}
+        for r in rows_of.collect():
+            found.setdefault(r.r_key, set()).add((r.nb_key, r.pos))
+        assert found == kept
+    qtr, qte = train_features(tr, round_start=True).cache(), make_test_features(te, round_start=False).cache()
+    want = brute_queue(qtr.collect(), qte.collect(), k)
+    for i, predict in enumerate((N.knn_kth, N.knn_voted)):
+        got = {r.r_key: (r.lat, r.lon) for r in predict(qtr, qte, k, distance="ellipsoid").collect()}
+        assert got == {r: dests[i] for r, dests in want.items()}
+    wtr, wte = train_features(tr, 8).cache(), make_test_features(te, round_start=False).cache()
+    got = {(r.r_key, r.k): r.predict for r in N.knn_sweep(wtr, wte, (1, k), with_class=True).collect()}
+    for kk in {1, k}:
+        assert {r: c for (r, j), c in got.items() if j == kk} == brute_weighted(wtr.collect(), wte.collect(), kk)
+
+
+SHAPES = [
+    [110.0] * 15 + [109.9 - i / 100 for i in range(20)],      # the core, then one side
+    [110.5] * 30 + [110.6 + i / 100 for i in range(5)],       # one run of ties
+    [110.0] * 40,                                             # nothing but the core
+    [111.0 + i / 100 for i in range(40)],
+    [179.9, -179.9, -179.8, 179.8] * 8,                       # both sides of the date line
+    [-70.0 + i / 1000 for i in range(30)],                    # around the antipode
+]
+
+
+def shaped_trips():
+    """For each shape a person with past trips at these longitudes, each with a
+    destination of its own, and trips to predict, all in one (hour, day type)."""
+    rows = []
+    for p, lons in enumerate(SHAPES):
+        at = 10_000 * (p + 1)
+        rows += [(at + i, 10 + p, "2018-06-05 08:00:00", None, 30.0, lon, 35.0 + i / 100, 105.0 + i / 100)
+                 for i, lon in enumerate(lons)]
+        rows += [(at + 5000 + i, 10 + p, "2018-06-26 08:00:00", None, 30.0, lon, 30.5, 110.5)
+                 for i, lon in enumerate((110.0, 179.95, -179.95))]
+    return rows
+
+
+@pytest.mark.parametrize("page_bits,k", [(1, 10), (5, 3)])
+def test_adversarial_persons_equal_brute_force(spark, monkeypatch, page_bits, k):
+    """Hot, one-sided, all-tied and wrapped persons; also with pages of two
+    rows under rows of four, so that a few hundred trips fill every level."""
+    if page_bits == 1:
+        monkeypatch.setattr(boxes, "PAGE_BITS", 1)
+        monkeypatch.setattr(boxes, "FAN_BITS", 2)
+    check(spark, adversarial_trips(seed=k) + shaped_trips(), k)
 
 
 def test_rank_keeps_ties(spark):
@@ -87,10 +181,21 @@ def test_rank_keeps_ties(spark):
     rows = [(i, 1, "2018-06-04 08:00:00", None, 30.0, 111.0, 30.5 + i / 10, 110.5) for i in range(4)]
     rows.append((9, 1, "2018-06-25 08:00:00", None, 30.0, 110.0, 30.5, 110.5))
     tr, te = split_by_time(trips_frame(spark, rows))
-    kept = N.kept_neighbours(train_features(tr), make_test_features(te), 3, strategy="pairs")
+    kept = N.kept_neighbours(train_features(tr), make_test_features(te), 3)
     assert kept.agg(F.sum("cnt")).first()[0] == 4
 
 
+def test_distances_below_the_old_rounding_are_no_tie(spark):
+    # two past trips whose root metrics agree in six decimals: the nearer wins
+    rows = [(0, 1, "2018-06-05 08:00:00", None, 30.0, 111.0000001, 35.0, 105.0),
+            (1, 1, "2018-06-05 08:00:00", None, 30.0, 111.0, 36.0, 106.0),
+            (2, 1, "2018-06-05 08:00:00", None, 30.0, 111.0000001, 35.0, 105.0),
+            (3, 1, "2018-06-26 08:00:00", None, 30.0, 110.0, 30.5, 110.5)]
+    tr, te = split_by_time(trips_frame(spark, rows))
+    got = N.knn_nearest_vote(train_features(tr), make_test_features(te), 3).first()
+    assert abs(got.lon - 106.0) < 0.01
+
+
 def test_weighted_zero_distance_only(spark):
     # an exact feature match votes alone, even against two closer-by-count others
     rows = [(0, 1, "2018-06-04 08:00:00", None, 30.0, 110.0, 35.0, 115.0),
@@ -102,8 +207,8 @@ def test_weighted_zero_distance_only(spark):
     assert abs(got.end_lat_pre - 35.0) < 0.001 and abs(got.end_lon_pre - 115.0) < 0.001
 
 
-def test_persons_with_short_history(spark, adv):
-    tr, te = adv
+def test_persons_with_short_history(spark):
+    tr, te = split_by_time(trips_frame(spark, adversarial_trips(n=60)))
     res = N.knn_kth(train_features(tr, round_start=True), make_test_features(te, round_start=False), 10,
                     distance="ellipsoid").toPandas()
     # person 2 has no history: absent; persons 3 and 4 use what they have
@@ -112,55 +217,6 @@ def test_persons_with_short_history(spark, adv):
     assert not set(te.filter("out_id = 2").toPandas().r_key) & set(res.r_key)
 
 
-def test_index_positions_hot_bucket(spark):
-    """Dense positions per bucket and probe insertion points, with one bucket
-    holding most rows and spread over many range partitions."""
-    import bisect
-
-    from tripcast.operators.walk import index_positions
-    rnd = random.Random(3)
-    ent = [(1 if i % 8 else 2, 8, 0, round(rnd.uniform(100, 120), 3), f"c{i % 5}", 1) for i in range(4000)]
-    ent = list({(p, h, d, lon, c): None for p, h, d, lon, c, _ in ent})   # unique (bucket, lon, class)
-    probes = [(i, 1 if i % 3 else 2, 8, 0, round(rnd.uniform(99, 121), 3)) for i in range(300)]
-    e = spark.createDataFrame([(*k, 1) for k in ent],
-                              "out_id long, hour int, type_of_day int, start_lon double, class string, cnt long")
-    p = spark.createDataFrame(probes, "r_key long, out_id long, hour int, type_of_day int, start_lon2 double")
-    ie, ip = index_positions(e, p, "start_lon", "start_lon2", ["class"], partitions=16)
-    got_e = {(r.out_id, r.start_lon, r["class"]): (r.pos, r.n_b) for r in ie.collect()}
-    by_bucket = {}
-    for k in ent:
-        by_bucket.setdefault(k[0], []).append((k[3], k[4]))
-    for person, rows in by_bucket.items():
-        rows.sort()
-        for pos, (lon, cls) in enumerate(rows):
-            assert got_e[(person, lon, cls)] == (pos, len(rows))
-    for r in ip.collect():
-        lons = [lon for lon, _ in by_bucket[r.out_id]]
-        assert r.ins == bisect.bisect_right(lons, r.start_lon2)
-
-
-def _one_person(spark, lons):
-    """Past trips at these longitudes, each with a destination of its own, and
-    one trip to predict from longitude 110, all in one (hour, day type)."""
-    rows = [(i, 1, "2018-06-05 08:00:00", None, 30.0, lon, 35.0 + i / 100, 105.0 + i / 100)
-            for i, lon in enumerate(lons)]
-    rows.append((len(lons), 1, "2018-06-26 08:00:00", None, 30.0, 110.0, 30.5, 110.5))
-    return split_by_time(trips_frame(spark, rows))
-
-
-@pytest.mark.parametrize("lons", [
-    [110.0] * 15 + [109.9 - i / 100 for i in range(20)],
-    [110.5] * 30 + [110.6 + i / 100 for i in range(5)],
-    [111.0 + i / 100 for i in range(40)],
-    [109.0 - i / 100 for i in range(13)],
-])
-def test_walk_when_all_neighbours_lie_on_one_side(spark, lons):
-    tr, te = _one_person(spark, lons)
-    trf, tef = train_features(tr), make_test_features(te)
-    for predict in (N.knn_nearest_vote, N.knn_kth):
-        _same(predict(trf, tef, 10, strategy="walk"), predict(trf, tef, 10, strategy="pairs"))
-
-
 @pytest.mark.parametrize("metric", ["knn_nearest_vote", "knn_kth", "knn_weighted"])
 def test_trip_without_a_start_never_wins(spark, metric):
     rows = [(0, 1, "2018-06-05 08:00:00", None, 30.0, None, 35.0, 105.0),
@@ -172,3 +228,62 @@ def test_trip_without_a_start_never_wins(spark, metric):
     assert trf.count() == 1 and tef.count() == 1
     got = getattr(N, metric)(trf, tef, 1).toPandas()
     assert len(got) == 1 and abs(got.filter(like="lon").iloc[0, 0] - 105.0) > 0.5
+
+
+def hot_frames(spark, n, strip=False):
+    """A person of ``n`` past trips and 40 trips to predict; with ``strip`` all
+    at one longitude, apart in latitude only."""
+    rnd = F.xxhash64("id")
+    unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000003)) / F.lit(1000003.0)
+    past = spark.range(n).select(
+        F.col("id").alias("nb_key"), (F.col("id") % 1 + 1).alias("out_id"),
+        (F.lit(8) if strip else F.pmod(rnd, F.lit(24))).cast("int").alias("hour"),
+        F.lit(0).alias("type_of_day"), (20 + 20 * unit(1)).alias("start_lat"),
+        (F.lit(110.0) if strip else 100 + 20 * unit(2)).alias("start_lon"),
+        F.round(30 + F.floor(10 * unit(3)), 1).alias("end_lat"), F.lit(110.0).alias("end_lon"),
+        F.concat(F.lit("wx4g0"), F.lpad(F.floor(1000 * unit(3)).cast("string"), 3, "0")).alias("class"))
+    trips = spark.range(40).select(
+        F.col("id").alias("r_key"), (F.col("id") % 1 + 1).alias("out_id2"), F.lit(8).alias("hour2"),
+        F.lit(0).alias("type_of_day2"), (20 + F.col("id") / 2).alias("start_lat2"),
+        (F.lit(110.0) if strip else 100 + F.col("id") / 2 + 0.001).alias("start_lon2"),
+        F.lit(30.0).alias("end_lat2"), F.lit(110.0).alias("end_lon2"))
+    return past, trips
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_hot_person_reads_few_pages_and_is_exact(spark, strip):
+    past, trips = hot_frames(spark, 100_000, strip)
+    form = N.l2_form()
+    index = boxes.build_index(form.place(N.make_entries(past.withColumn("end_lat_pre", F.lit(0.0)).withColumn(
+        "end_lon_pre", F.lit(0.0)), form)), "out_id", form.order, form.boxes, "cnt")
+    needed = boxes.descend(trips.withColumnRenamed("out_id2", "out_id"), index, form.bounds, 10, "r_key")
+    pages = [r["count"] for r in needed.groupBy("r_key").count().collect()]
+    assert len(pages) == 40 and max(pages) <= (8 if strip else 128) and index.pages.count() > 3000
+    rows = past.collect()
+    want = brute_weighted(rows, trips.collect(), 10)
+    assert {r.r_key: r.predict for r in N.knn_sweep(past, trips, (10,), with_class=True).collect()} == want
+    if not strip:
+        past = past.withColumn("class", F.concat("class", F.lit("0000")))
+        win, _ = brute_nearest(past.collect(), trips.collect(), 10)
+        assert {r.r_key: r["class"] for r in N.nearest_vote_winners(past, trips, 10).collect()} == win
+
+
+def test_no_pair_rows_and_no_driver_step(spark):
+    past, trips = hot_frames(spark, 2000)
+    plan = N.nearest_vote_winners(past, trips, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_folded_range_bounds_every_point(spark):
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(300):
+        lo = rnd.uniform(-185, 185)
+        rows.append((lo, lo + rnd.choice([0.0, rnd.uniform(0, 3), rnd.uniform(0, 300)]), rnd.uniform(-180, 180)))
+    rows += [(-180.0, 180.0, 0.0), (10.0, 10.0, 10.0), (-180.0, -179.0, 179.5), (100.0, 400.0, 50.0)]
+    df = spark.createDataFrame(rows, "lo double, hi double, x double")
+    for r in df.select("*", *[c.alias(n) for c, n in zip(boxes.folded_range(F.col("lo"), F.col("hi"), F.col("x")), ("near", "far"))]).collect():
+        inside = [_fold(r.lo + (r.hi - r.lo) * i / 200, r.x) for i in range(201)]
+        assert r.near <= min(inside) + 1e-12 and r.far >= max(inside) - 1e-12
+        if r.hi <= 360 and r.hi - r.lo < 3:
+            assert r.near >= min(inside) - 0.02 and r.far <= max(inside) + 0.02

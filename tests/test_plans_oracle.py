@@ -23,7 +23,6 @@ def test_predictor_plans(spark, name):
     plan = _plan(Q.QUERIES[name](spark, SF_SMALL))
     for bad in FORBIDDEN:
         assert bad not in plan, bad
-    assert "WindowGroupLimit" in plan or name == "nb_predict"
 
 
 def test_scan_prunes_columns(spark):

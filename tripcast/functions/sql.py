@@ -14,14 +14,27 @@ from tripcast.schema import EQUATOR_RADIUS_M, GEOHASH_ALPHABET, HOLIDAYS_2018, M
 FUNCTION_NAMES = ("datetime_to_period", "date_to_period", "getDistance", "calc_distance", "decodeLat", "decodeLon")
 
 
-def _bit(i: str) -> str:
-    """Bit ``i`` (0 = first) of the 60-bit string of a code padded to 12."""
-    digit = f"(instr('{GEOHASH_ALPHABET}', substr(rpad(code, 12, '0'), div({i}, 5) + 1, 1)) - 1)"
-    return f"(shiftright({digit}, 4 - ({i}) % 5) & 1)"
+def _digits(parity: int, odd_place: bool) -> str:
+    """For each character of the alphabet, in order, the number made of the
+    bits of one coordinate among its five: the 1st, 3rd and 5th, or the 2nd and
+    4th. Longitude (parity 0) has three bits in the even places of a code and
+    two in the odd ones, latitude (1) the other way round."""
+    picks = (4, 2, 0) if odd_place == bool(parity) else (3, 1)
+    return "".join(str(sum((v >> p & 1) << (len(picks) - 1 - i) for i, p in enumerate(picks))) for v in range(32))
 
 
 def _index(parity: int) -> str:
-    return f"aggregate(sequence(0, 29), 0L, (acc, j) -> acc * 2 + {_bit(f'2 * j + {parity}')})"
+    """The coordinate's 30-bit index of a code padded to 12: characters become
+    octal digits, and two of them hold five bits. Other characters give null."""
+    padded = "rpad(code, 12, '0')"
+    even, odd = (f"translate({padded}, '{GEOHASH_ALPHABET}', '{_digits(parity, o)}')" for o in (False, True))
+    second = 4 if parity == 0 else 8  # values of the odd place's digit
+    terms = []
+    for pair in range(6):
+        scale = 32 ** (5 - pair)
+        terms.append(f"try_cast(substr({even}, {2 * pair + 1}, 1) AS BIGINT) * {scale * second}L")
+        terms.append(f"try_cast(substr({odd}, {2 * pair + 2}, 1) AS BIGINT) * {scale}L")
+    return "(" + " + ".join(terms) + ")"
 
 
 def _decode(parity: int, lo: float, span: float) -> str:

@@ -2,12 +2,12 @@
 (O-29, O-30).
 
 The model is two aggregations: counts and feature sums per (person, class),
-then the per-person totals. For prediction the classes of a person are packed
-into arrays of about ``CLASS_CHUNK``; each trip meets the packs of its person,
-takes the best class of each by an array expression, and the best of those few
-by a maximum that is combined before the shuffle. No row per (trip, class)
-exists. Both sides of the join are salted, so that neither a person with many
-classes nor one with many trips stays on one key.
+then the per-person totals. For prediction the classes of a person lie in a box
+index (:mod:`tripcast.operators.boxes`) over their prior and feature shares. The
+log posterior of a box's classes is bounded from above (shares add up to one), and
+a page is read only if its bound reaches the score of the best class that any
+box names. Each distinct feature vector of a person is scored once and
+its trips join the result; no row per (trip, class) exists.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 
 from tripcast.functions.geo import round5
 from tripcast.functions.time import day_type, hour_of
+from tripcast.operators.boxes import Bounds, BoxIndex, build_index, descend, page_rows
 from tripcast.operators.neighbours import _results
 
 FEATURES = ("hour", "type_of_day", "start_lat", "start_lon")
 SCORE_DIGITS = 9
-# Classes of one person in one array, about.
-CLASS_CHUNK = 256
-# Keys over which the trips of one person spread; the packs are copied to each.
-TRIP_SALTS = 8
+# Above the rounding of a score and of its bounds.
+SLACK = 1e-6
 
 
 def nb_train_rows(train: DataFrame, round_end: bool = True) -> DataFrame:
@@ -73,25 +72,66 @@ def nb_fit(rows: DataFrame, smoothing: float = 1.0, key: str = "out_id",
         *[(F.log(F.col(f"s_{f}") + lam) - F.log(feat_total + d * lam)).alias(f"theta_{f}") for f in feats])
 
 
-def _packs(model: DataFrame, key: str, features: Sequence[str], chunk: int) -> DataFrame:
-    """``(person, __salt, classes)``: the classes of each person in arrays of
-    about ``chunk``, once for each trip salt."""
-    pack = F.pmod(F.xxhash64("label_lat", "label_lon"), F.ceil(F.col("n_classes") / F.lit(chunk)))
-    packed = model.groupBy(key, pack.alias("__pack")).agg(F.collect_list(F.struct(
-        "label_lat", "label_lon", "pi", *[f"theta_{f}" for f in features])).alias("classes"))
-    salts = F.array(*[F.lit(s) for s in range(TRIP_SALTS)])
-    return packed.select(key, F.explode(salts).alias("__salt"), "classes")
+def _interleaved(values: Sequence[Column], bits: int = 8) -> Column:
+    """One number of whole numbers below ``2**bits``, their bits in turn."""
+    out = F.lit(0).cast("long")
+    for level in range(bits):
+        for i, v in enumerate(values):
+            bit = F.shiftright(v, level).bitwiseAND(F.lit(1)).cast("long")
+            out = out.bitwiseOR(F.shiftleft(bit, level * len(values) + i))
+    return out
+
+
+def class_index(model: DataFrame, key: str = "out_id", features: Sequence[str] = FEATURES) -> BoxIndex:
+    """Box index of each person's classes. Classes lie along a curve through
+    prior and shares, each in units of what it adds to a score: a share's
+    weight is its feature's size, which the person's mean shares give but for a
+    factor. So a page is small in every direction that a score depends on."""
+    shares = [f"theta_{f}" for f in features]
+    mean = model.groupBy(key).agg(*[F.avg(F.exp(c)).alias(f"__mean_{c}") for c in shares])
+    steps = {c: F.col(f"__mean_{c}") * F.col(c) * F.lit(-512.0) for c in shares} | {"pi": F.col("pi") * F.lit(-4.0)}
+    rows = model.join(mean, key).select(
+        key, "label_lat", "label_lon", "pi", *shares, F.lit(1).cast("long").alias("one"),
+        *[F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)).cast("int").alias(f"__{c}") for c, v in steps.items()])
+    rows = rows.withColumn("curve", _interleaved([F.col(f"__{c}") for c in steps])).drop(*[f"__{c}" for c in steps])
+    return build_index(rows, key, ["curve", "label_lat", "label_lon"], ["pi", *shares], "one",
+                       ["pi", *shares])
+
+
+def class_pages(index: BoxIndex, vectors: DataFrame, features: Sequence[str], test_features: Sequence[str]) -> DataFrame:
+    """The pages of classes that can hold the best one of each row of
+    ``vectors`` (person, test features, ``vector``)."""
+    pairs = [(F.col(t).cast("double"), f"theta_{f}") for f, t in zip(features, test_features)]
+    size = pairs[0][0]
+    for x, _ in pairs[1:]:
+        size = size + x
+    size = F.greatest(size, F.lit(1.0))
+
+    def keys(c: Column, g: Column) -> tuple[Column, Column]:
+        # A class's shares add up to one. With that constraint priced at the
+        # vector's size, each share has its best value on its own: the one of
+        # the vector itself, or the side of the box next to it.
+        high, score = c["pi_hi"] + size, c["one"]["pi"]
+        for x, share in pairs:
+            best = F.least(F.greatest(x / size, F.exp(c[f"{share}_lo"])), F.exp(c[f"{share}_hi"]))
+            high = high + x * F.log(best) - size * best
+            score = score + x * c["one"][share]
+        return F.struct((-high - F.lit(SLACK)).alias("b0")), F.struct((-score).alias("b0"))
+
+    bounds = Bounds(lambda c: {"n": c["n"]}, keys)
+    return descend(vectors, index, bounds, 1, "vector")
 
 
 def nb_best(model: DataFrame, test_f: DataFrame, key: str = "out_id", features: Sequence[str] = FEATURES,
-            test_features: Sequence[str] | None = None, chunk: int = CLASS_CHUNK) -> DataFrame:
+            test_features: Sequence[str] | None = None) -> DataFrame:
     """Per trip the class of its person with the largest log posterior, the
     smallest label on a tie: ``r_key, lat, lon, score, end_lat2, end_lon2``.
     Rows that repeat an ``r_key`` are one trip."""
     tf = list(test_features or [f"{f}2" for f in features])
-    salt = F.pmod(F.xxhash64("r_key"), F.lit(TRIP_SALTS)).cast("int")
-    trips = test_f.withColumnRenamed("out_id2", key).withColumn("__salt", salt)
-    met = trips.join(_packs(model, key, features, chunk), [key, "__salt"])
+    trips = test_f.withColumnRenamed("out_id2", key)
+    index = class_index(model, key, features)
+    vectors = trips.select(key, *tf).distinct().withColumn("vector", F.struct(key, *tf))
+    met = page_rows(class_pages(index, vectors, features, tf), index)
 
     def scored(c: Column) -> Column:
         s = c["pi"]
@@ -100,15 +140,16 @@ def nb_best(model: DataFrame, test_f: DataFrame, key: str = "out_id", features:
         # a maximum over this takes the smallest label of equal scores
         return F.struct(F.round(s, SCORE_DIGITS).alias("score"), (-c["label_lat"]).alias("lat"), (-c["label_lon"]).alias("lon"))
 
-    best = met.select("r_key", F.array_max(F.transform("classes", scored)).alias("best"),
-                      F.struct("end_lat2", "end_lon2").alias("truth"))
+    best = met.select("vector", F.array_max(F.transform("rows", scored)).alias("best")).groupBy("vector").agg(
+        F.max("best").alias("best")).select("vector.*", "best")
+    best = trips.join(best, [key, *tf]).select("r_key", "best", F.struct("end_lat2", "end_lon2").alias("truth"))
     best = best.groupBy("r_key").agg(F.max(F.struct("best", "truth")).alias("m"))
     return best.select("r_key", (-F.col("m.best.lat")).alias("lat"), (-F.col("m.best.lon")).alias("lon"),
                        F.col("m.best.score").alias("score"), "m.truth.end_lat2", "m.truth.end_lon2")
 
 
 def nb_predict(model: DataFrame, test_f: DataFrame, k: int = 10, distance: str = "meridian",
-               type_: str = "bayes_m", chunk: int = CLASS_CHUNK) -> DataFrame:
+               type_: str = "bayes_m") -> DataFrame:
     """Most probable class per trip, smallest label on a tie, written as
     result rows with the distance to the true end point (O-30)."""
-    return _results(nb_best(model, test_f, chunk=chunk), k, type_, distance)
+    return _results(nb_best(model, test_f), k, type_, distance)

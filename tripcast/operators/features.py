@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +110,14 @@ def register_views(spark: SparkSession, train: DataFrame, test: DataFrame,
     train.createOrReplaceTempView(train_view)
     test.createOrReplaceTempView(test_view)
 
+
+@contextmanager
+def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+    """Keep a frame that several views read for the length of a block: its
+    sources are scanned once, at the first use, and the storage is released at
+    the end, also after an error. Results must be computed inside the block."""
+    kept = df.persist(level)
+    try:
+        yield kept
+    finally:
+        kept.unpersist(blocking=True)

@@ -2,23 +2,19 @@
 
 Past trips are first grouped into entries: rows of one bucket ``(person,
 hour, day type)`` with identical values of everything a metric and a class
-depend on, with their count ``cnt``. Candidates are (trip to predict, entry)
-rows; every selection below counts an entry ``cnt`` times, which is exactly
-the result on the raw rows.
-
-Candidates come from one of two exact sources, chosen per person:
-
-* ``pairs``: the person's trips to predict joined with all of the person's
-  entries (O-12). Under ``strategy='auto'`` only for persons whose
-  ``trips x entries`` product is below ``pair_cap`` (checked from
-  per-person counts), so no unbounded group is ever expanded into pairs;
-  ``strategy='pairs'`` forces it for every person and is meant for small
-  fixtures (the brute-force check in the tests).
-* ``walk``: the bounded neighbour walk of :mod:`tripcast.operators.walk` for
-  every other person.
-
-Rankings are windows over the trip to predict; Spark plans ``rank() <= k``
-and ``row_number() <= k`` as a partial + final ``WindowGroupLimit``.
+depend on, with their count ``cnt``. Every selection below counts an entry
+``cnt`` times, which is exactly the result on the raw rows.
+
+There is one path, exact at every size: a box index over a person's entries
+(:mod:`tripcast.operators.boxes`). A trip to predict finds the pages whose
+bounds can still rank among its k nearest, takes the k best entries of each
+page by array expressions, and a grouped merge of these short lists gives its
+neighbours. No pair of a trip and an entry becomes a row.
+
+Metrics are ranked unrounded, on keys of exact arithmetic where the metric is a
+monotone function of one: the folded longitude gap in degrees stands for the
+meridian distance, and ``dh * dd * gap`` for the log metric. A tie is an equal
+key.
 """
 
 from __future__ import annotations
@@ -29,23 +25,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripcast.functions.geo import ellipsoid_m, meridian_gap_m, with_geohash_center, with_geohash_corner
-from tripcast.functions.metrics import pair_metric_l2, pair_metric_log, pair_metric_root
+from tripcast.functions.geo import ellipsoid_m, meridian_gap_m, with_geohash, with_geohash_center, with_geohash_corner
+from tripcast.functions.metrics import pair_metric_root
+from tripcast.operators.boxes import Bounds, build_index, descend, farthest, folded, folded_range, nearest, page_rows
 from tripcast.operators.features import drop_invalid
-from tripcast.operators.walk import BUCKET, index_positions, walk_candidates
-from tripcast.session import freeze
 
-GAP_DIGITS = 3
 WEIGHT_DIGITS = 6
-L2_DIGITS = 9
-# A person is expanded into pairs only below this many (trip x entry) pairs.
-PAIR_CAP = 250_000
+# Degrees within which a meridian gap can be below a metre, or fold to zero.
+CORE_DEG = 2e-5
+INF = float("inf")
 
+BUCKET = ("out_id", "hour", "type_of_day")
 TEST_COLS = ["r_key", "out_id2", "hour2", "type_of_day2", "start_lat2", "start_lon2", "end_lat2", "end_lon2"]
 
 
 # --------------------------------------------------------------------------
-# candidate sources
+# candidates
 
 def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "never") -> DataFrame:
     """Number of candidate past trips of each trip to predict, from
@@ -64,16 +59,14 @@ def candidate_counts(test_f: DataFrame, train_f: DataFrame, broadcast: str = "ne
 
 @dataclass(frozen=True)
 class Form:
-    """How one predictor scores and orders (trip, entry) rows."""
-    entry_cols: tuple[str, ...]       # entry identity besides the bucket (first one is the walk key)
-    carry: tuple[str, ...]            # values constant per entry, carried along
-    ties: tuple[str, ...]             # order of entries with equal walk key
-    score: Callable[[DataFrame], DataFrame]
-    order: tuple[str, ...]            # full ranking order of candidate rows
-    monotone: tuple[str, ...]         # order prefix that never decreases along a walk
-    beyond: Callable                  # walk stop rule (see walk.walk_candidates)
-    core: Callable | None             # rows inside the non-monotone core
-    wrap: bool                        # circular longitude
+    """How one predictor orders the entries of a person for a trip."""
+    entry_cols: tuple[str, ...]                # entry identity besides the bucket
+    carry: tuple[str, ...]                     # values constant per entry, carried along
+    boxes: tuple[str, ...]                     # columns that bounds are made of
+    place: Callable[[DataFrame], DataFrame]    # adds the index order
+    order: tuple[str, ...]
+    bounds: Bounds
+    key: Callable[[Column], dict[str, Column]]  # ranking key of an entry, first fields of its struct
 
 
 def make_entries(train_f: DataFrame, form: Form) -> DataFrame:
@@ -81,104 +74,164 @@ def make_entries(train_f: DataFrame, form: Form) -> DataFrame:
     return train_f.groupBy(*BUCKET, *form.entry_cols).agg(*aggs)
 
 
-def candidates(train_f: DataFrame, test_f: DataFrame, k: int, form: Form, strategy: str = "auto",
-               pair_cap: int = PAIR_CAP) -> DataFrame:
-    """Scored candidate rows holding each trip's first k rows (with ties)."""
-    entries = make_entries(train_f, form)
-    test = test_f.select(*TEST_COLS)
-    entry_cols = [*form.entry_cols, *form.carry]
-    if strategy == "pairs":
-        return form.score(test.join(entries, test["out_id2"] == entries["out_id"]))
-    if strategy not in ("auto", "walk"):
-        raise ValueError("strategy must be 'auto', 'pairs' or 'walk'")
-    if strategy == "auto":
-        # the entries feed the size check and the main job: freeze them once
-        # (the test side is a cheap projection of already frozen trips)
-        entries = freeze(entries)
-        n_test = test.groupBy(F.col("out_id2").alias("out_id")).agg(F.count(F.lit(1)).alias("__nt"))
-        n_entries = entries.groupBy("out_id").agg(F.count(F.lit(1)).alias("__ne"))
-        per_person = n_test.join(n_entries, "out_id").select(
-            "out_id", (F.col("__nt") * F.col("__ne")).alias("__pairs"))
-        biggest = per_person.agg(F.max("__pairs")).first()[0] or 0
-        if biggest <= pair_cap:
-            return form.score(test.join(entries, test["out_id2"] == entries["out_id"]))
-        small = per_person.filter(F.col("__pairs") <= pair_cap).select(F.col("out_id").alias("out_id2"))
-        test_small = test.join(small, "out_id2", "left_semi")
-        test = test.join(small, "out_id2", "left_anti")
-        direct = form.score(test_small.join(entries, test_small["out_id2"] == entries["out_id"]))
-    buckets = entries.select(*BUCKET).distinct()
-    probes = test.join(buckets, test["out_id2"] == buckets["out_id"])
-    probe_cols = [*TEST_COLS, *BUCKET]
-    idx_e, idx_p = index_positions(entries, probes.select(*probe_cols), form.entry_cols[0], "start_lon2",
-                                   list(form.ties))
-    walked = walk_candidates(idx_e, idx_p, k, form.score, list(form.order), list(form.monotone),
-                             form.beyond, form.core, form.wrap, probe_cols, entry_cols)
-    cols = [c for c in walked.columns
-            if c not in ("side", "off", "pos", "ins", "n_b", "lo", "hi", "__walk", "__core", "bound")]
-    walked = walked.select(*cols)
-    return walked if strategy == "walk" else direct.select(*cols).unionByName(walked)
-
-
-def _walk_extras(df: DataFrame, core: Column) -> DataFrame:
-    """Walk distance in degrees along the row's side, and the core flag."""
-    if "side" not in df.columns:
-        return df
-    d = F.when(F.col("side") == 1, F.pmod(F.col("start_lon") - F.col("start_lon2"), F.lit(360.0))) \
-        .otherwise(F.pmod(F.col("start_lon2") - F.col("start_lon"), F.lit(360.0)))
-    return df.withColumn("__walk", d).withColumn("__core", core)
+def _cut_off(entries: Column, k: int, ties: Sequence[str]) -> Column:
+    """The sorted entries that hold the first ``k`` rows; with ``ties`` (key
+    fields) also all entries whose key equals the k-th row's."""
+    if not ties:
+        return F.slice(entries, 1, k)  # an entry holds at least one row
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("n"), *[F.lit(INF).alias(t) for t in ties])
+
+    def step(acc: Column, e: Column) -> Column:
+        same = acc["rows"] > 0
+        for t in ties:
+            same = same & (acc[t] == e[t])
+        taken = F.struct((acc["rows"] + e["cnt"]).alias("rows"), (acc["n"] + 1).alias("n"), *[e[t].alias(t) for t in ties])
+        return F.when((acc["rows"] < k) | same, taken).otherwise(acc)
+
+    # a prefix, so only its length is computed
+    return F.slice(entries, 1, F.aggregate(entries, start, step, lambda acc: acc["n"]))
+
+
+def nearest_entries(train_f: DataFrame, test_f: DataFrame, k: int, form: Form, ties: Sequence[str] = ()) -> DataFrame:
+    """``(r_key, found)``: the entries that hold each trip's k nearest rows, in
+    order, as an array of structs: the key fields, then entry columns, ``cnt``
+    and the trip's true end ``end_lat2, end_lon2``. Rows that repeat an
+    ``r_key`` are one trip with the neighbours of all."""
+    entries = form.place(make_entries(train_f, form))
+    index = build_index(entries, "out_id", form.order, form.boxes, "cnt")
+    probes = test_f.select(*TEST_COLS).withColumnRenamed("out_id2", "out_id")
+    met = page_rows(descend(probes, index, form.bounds, k, "r_key"), index)
+    own = [c for c in (*form.entry_cols, *BUCKET[1:], *form.carry)]
+
+    def scored(e: Column) -> Column:
+        keys = form.key(e)
+        return F.struct(*[c.alias(n) for n, c in keys.items()], *[e[c].alias(c) for c in own if c not in keys],
+                        e["cnt"].alias("cnt"), F.col("end_lat2").alias("end_lat2"), F.col("end_lon2").alias("end_lon2"))
+
+    best = met.select("r_key", F.array_sort(F.transform("rows", scored)).alias("found"))
+    best = best.select("r_key", _cut_off(F.col("found"), k, ties).alias("found"))
+    merged = best.groupBy("r_key").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return merged.select("r_key", _cut_off(F.col("found"), k, ties).alias("found"))
 
 
 # --------------------------------------------------------------------------
 # the three forms
 
-def _root_score(clamp: bool):
-    def score(df: DataFrame) -> DataFrame:
-        df = df.withColumn("metric", pair_metric_root("hour", "hour2", "type_of_day", "type_of_day2",
-                                                      "start_lon", "start_lon2", clamp=clamp))
-        return _walk_extras(df, F.isnan("metric"))
-    return score
+def _time_gaps(c: Column) -> dict[str, Column]:
+    """Least and largest hour and day-type distances of a box to the trip."""
+    out = {}
+    for short, name in (("h", "hour"), ("d", "type_of_day")):
+        side = (c[f"{name}_lo"].cast("double"), c[f"{name}_hi"].cast("double"), F.col(f"{name}2").cast("double"))
+        out |= {short: nearest(*side), f"{short}_far": farthest(*side)}
+    return out
 
 
-def root_form(clamp: bool = False) -> Form:
-    """SQL form: root metric, rank with ties, nearest wins (O-21a, O-26)."""
-    return Form(entry_cols=("start_lon", "class"), carry=("lat", "lon"), ties=("class",),
-                score=_root_score(clamp), order=("metric",), monotone=("metric",),
-                beyond=lambda L, T: L("metric") > T("metric"), core=lambda L: L("__core"), wrap=True)
+def _circle_gaps(c: Column) -> dict[str, Column]:
+    near, far = folded_range(c["start_lon_lo"], c["start_lon_hi"], F.col("start_lon2"))
+    return _time_gaps(c) | {"near": near, "far": far}
 
 
-def _log_score(df: DataFrame) -> DataFrame:
-    df = df.withColumn("metric", pair_metric_log("hour2", "hour", "type_of_day2", "type_of_day",
-                                                 "start_lon2", "start_lon"))
-    df = df.withColumn("gap", F.round(meridian_gap_m("start_lon2", "start_lon"), GAP_DIGITS))
-    return _walk_extras(df, F.isnan("metric"))
+def _bound(*values: Column) -> Column:
+    return F.struct(*[v.alias(f"b{i}") for i, v in enumerate(values)])
 
 
-def log_form() -> Form:
-    """Queue form: log metric, then gap, then destination (O-21b, O-27)."""
-    return Form(entry_cols=("start_lon", "end_lat", "end_lon"), carry=(), ties=("end_lat", "end_lon"),
-                score=_log_score, order=("metric", "gap", "end_lat", "end_lon"), monotone=("metric", "gap"),
-                beyond=lambda L, T: (L("metric") > T("metric")) | ((L("metric") == T("metric")) & (L("gap") > T("gap"))),
-                core=lambda L: L("__core"), wrap=True)
+def _core_bounds(c: Column, g: Column, below: Sequence[Column], above: Sequence[Column]) -> tuple[Column, Column]:
+    """The given bounds outside the core; a box at exactly the trip's longitude
+    holds rows that rank last, one that touches the core anything."""
+    clear = g["near"] >= CORE_DEG
+    ruled_out = (c["start_lon_lo"] == c["start_lon_hi"]) & (g["near"] == 0.0)
+    rest = [F.lit(0.0), *below[2:]]
+    low = F.when(clear, _bound(*below)).when(ruled_out, _bound(F.lit(INF), *rest)).otherwise(_bound(F.lit(-INF), *rest))
+    return low, F.when(clear, _bound(*above))
+
 
+def _in_core(value: Column, gap: Column, in_core: Column) -> Column:
+    """``value`` unless the row lies in the core and ``in_core`` is null."""
+    return F.when(gap >= CORE_DEG, value).otherwise(F.coalesce(in_core, F.lit(INF)))
 
-def _l2_score(df: DataFrame) -> DataFrame:
-    df = df.withColumn("metric", pair_metric_l2("start_lat2", "start_lat", "start_lon2", "start_lon",
-                                                "hour2", "hour", "type_of_day2", "type_of_day"))
-    if "side" in df.columns:
-        dlo = F.col("start_lon2") - F.col("start_lon")
-        dh = (F.col("hour2") - F.col("hour")).cast("double")
-        dd = (F.col("type_of_day2") - F.col("type_of_day")).cast("double")
-        df = df.withColumn("bound", F.round(F.sqrt(dlo * dlo + dh * dh + dd * dd), L2_DIGITS))
-        df = df.withColumn("__walk", F.lit(0.0)).withColumn("__core", F.lit(False))
-    return df
+
+def root_form(clamp: bool = False) -> Form:
+    """SQL form: root metric, rank with ties, nearest wins (O-21a, O-26). The
+    key is ``dh^2 + dd^2 + 2 log10(gap in degrees)``, the metric's square but
+    for a constant; NaN rows have the key infinity."""
+    def keys(c: Column, g: Column) -> tuple[Column, Column]:
+        low = g["h"] * g["h"] + g["d"] * g["d"] + F.lit(2.0) * F.log10(g["near"])
+        high = g["h_far"] * g["h_far"] + g["d_far"] * g["d_far"] + F.lit(2.0) * F.log10(g["far"])
+        return _core_bounds(c, g, [low, g["near"]], [high, g["far"]])
+
+    def key(e: Column) -> dict[str, Column]:
+        gap = folded(e["start_lon"], F.col("start_lon2"))
+        dh = (e["hour"] - F.col("hour2")).cast("double")
+        dd = (e["type_of_day"] - F.col("type_of_day2")).cast("double")
+        s = dh * dh + dd * dd + F.lit(2.0) * F.log10(gap)
+        metric = pair_metric_root(e["hour"], F.col("hour2"), e["type_of_day"], F.col("type_of_day2"),
+                                  e["start_lon"], F.col("start_lon2"), clamp=clamp)
+        # in the core: last, or with clamp the least key of all below one metre
+        core = F.when(F.isnan(metric), F.lit(None).cast("double")).when(metric == 0.0, F.lit(-1e6)).otherwise(s)
+        flat = F.isnan(metric) | (metric == 0.0)
+        return {"s": _in_core(s, gap, core),
+                "gap": F.when(gap >= CORE_DEG, gap).otherwise(F.when(flat, F.lit(0.0)).otherwise(gap)), "class": e["class"]}
+
+    return Form(entry_cols=("start_lon", "class"), carry=("lat", "lon"), boxes=("hour", "type_of_day", "start_lon"),
+                place=lambda df: df, order=("hour", "type_of_day", "start_lon", "class"),
+                bounds=Bounds(_circle_gaps, keys), key=key)
+
+
+def log_form() -> Form:
+    """Queue form: log metric, then gap, then destination (O-21b, O-27). The
+    key is ``dh * dd * gap``: 0 where the metric is -Infinity."""
+    def keys(c: Column, g: Column) -> tuple[Column, Column]:
+        return _core_bounds(c, g, [g["h"] * g["d"] * g["near"], g["near"], c["end_lat_lo"]],
+                            [g["h_far"] * g["d_far"] * g["far"], g["far"], c["end_lat_hi"]])
+
+    def key(e: Column) -> dict[str, Column]:
+        gap = folded(e["start_lon"], F.col("start_lon2"))
+        dh = F.abs(F.col("hour2") - e["hour"]).cast("double")
+        dd = F.abs(F.col("type_of_day2") - e["type_of_day"]).cast("double")
+        lost = F.isnan(meridian_gap_m(F.col("start_lon2"), e["start_lon"]))
+        core = F.when(lost, F.lit(None).cast("double")).otherwise(dh * dd * gap)
+        return {"p": _in_core(dh * dd * gap, gap, core),
+                "gap": F.when(gap >= CORE_DEG, gap).otherwise(F.when(lost, F.lit(0.0)).otherwise(gap)),
+                "end_lat": e["end_lat"], "end_lon": e["end_lon"]}
+
+    return Form(entry_cols=("start_lon", "end_lat", "end_lon"), carry=(),
+                boxes=("hour", "type_of_day", "start_lon", "end_lat"), place=lambda df: df,
+                order=("hour", "type_of_day", "start_lon", "end_lat", "end_lon"), bounds=Bounds(_circle_gaps, keys),
+                key=key)
 
 
 def l2_form() -> Form:
-    """Distance-weighted form: plain Euclidean metric (O-21c, O-28); the
-    longitude-and-time part of the distance bounds the walk."""
+    """Distance-weighted form: plain Euclidean metric, then class (O-21c,
+    O-28). Entries lie in the order of their start cells, so that boxes are
+    small in latitude and longitude alike."""
+    parts = (("start_lat", "start_lat2"), ("start_lon", "start_lon2"), ("hour", "hour2"), ("type_of_day", "type_of_day2"))
+
+    def square(gaps: Sequence[Column]) -> Column:
+        out = gaps[0] * gaps[0]
+        for g in gaps[1:]:
+            out = out + g * g
+        return out
+
+    def box_gaps(c: Column) -> dict[str, Column]:
+        out = {}
+        for a, b in parts:
+            side = (c[f"{a}_lo"].cast("double"), c[f"{a}_hi"].cast("double"), F.col(b).cast("double"))
+            out |= {a: nearest(*side), f"{a}_far": farthest(*side)}
+        return out
+
+    def keys(c: Column, g: Column) -> tuple[Column, Column]:
+        return (_bound(square([g[a] for a, _ in parts]), c["class_lo"]),
+                _bound(square([g[f"{a}_far"] for a, _ in parts]), c["class_hi"]))
+
+    def key(e: Column) -> dict[str, Column]:
+        gaps = [(F.col(b) - e[a]).cast("double") for a, b in parts]
+        return {"d2": square(gaps), "class": e["class"]}
+
     return Form(entry_cols=("start_lon", "start_lat", "class"), carry=("end_lat_pre", "end_lon_pre"),
-                ties=("start_lat", "class"), score=_l2_score, order=("metric", "class"), monotone=("bound", "metric"),
-                beyond=lambda L, T: L("bound") > T("metric"), core=None, wrap=False)
+                boxes=("hour", "type_of_day", "start_lat", "start_lon", "class"),
+                place=lambda df: with_geohash(df, "start_lat", "start_lon", "cell"),
+                order=("hour", "type_of_day", "cell", "start_lat", "start_lon", "class"),
+                bounds=Bounds(box_gaps, keys), key=key)
 
 
 # --------------------------------------------------------------------------
@@ -213,53 +266,68 @@ def _results(df: DataFrame, k: int, type_: str | None, distance: str) -> DataFra
 # --------------------------------------------------------------------------
 # SQL form: k nearest with ties, votes, nearest wins (O-26)
 
-def rank_neighbours(cands: DataFrame, metric: str, k: int) -> DataFrame:
-    """Keep rows of rank <= k (ties kept), ``pos`` = rank (O-26a); an entry
-    counts as ``cnt`` equal rows."""
-    by_metric = Window.partitionBy("r_key").orderBy(F.col(metric).asc())
-    # an entry's row rank is at least its entry rank, so this top-k (planned
-    # as a partial + final WindowGroupLimit) keeps every row of rank <= k
-    top = cands.withColumn("__er", F.rank().over(by_metric)).filter(F.col("__er") <= k).drop("__er")
-    upto = by_metric.rangeBetween(Window.unboundedPreceding, 0)
-    peers = Window.partitionBy("r_key", metric)
-    less = F.sum("cnt").over(upto) - F.sum("cnt").over(peers)
-    return top.withColumn("pos", (less + 1).cast("int")).filter(F.col("pos") <= k)
+KEY = ("s", "gap")
+
+
+def _same_key(a: Column, b: Column) -> Column:
+    return (a["s"] == b["s"]) & (a["gap"] == b["gap"])
+
+
+def rank_neighbours(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False, lat_range: int = 90) -> DataFrame:
+    """``(r_key, found)``: entries whose rows have rank <= k under the root
+    metric, ties kept (O-26a), in order."""
+    # Cells are decoded on the past-trip side, before any join: a filter on
+    # the decoded point above would otherwise be pushed down and inline the
+    # whole bit decoding into one expression.
+    decoded = with_geohash_corner(train_f, "class", "lat", "lon", lat_range)
+    return nearest_entries(decoded, test_f, k, root_form(clamp), KEY)
 
 
 def with_votes(ranked: DataFrame) -> DataFrame:
-    """Votes of each class among the kept rows (O-26b)."""
-    return ranked.withColumn("votes", F.sum("cnt").over(Window.partitionBy("r_key", "class")))
+    """Each kept entry as a row, with its rank ``pos`` and the votes of its
+    class among the kept rows (O-26b)."""
+    def counted(e: Column) -> Column:
+        before = F.filter("found", lambda o: F.struct(o["s"].alias("s"), o["gap"].alias("gap"))
+                          < F.struct(e["s"].alias("s"), e["gap"].alias("gap")))
+        alike = F.filter("found", lambda o: o["class"] == e["class"])
+        rows = [F.aggregate(x, F.lit(0).cast("long"), lambda acc, o: acc + o["cnt"]) for x in (before, alike)]
+        return F.struct((rows[0] + 1).cast("int").alias("pos"), rows[1].alias("votes"), e.alias("e"))
+
+    return ranked.select("r_key", F.explode(F.transform("found", counted)).alias("x")).select(
+        "r_key", "x.pos", "x.votes", "x.e.*")
 
 
-def nearest_winner(voted: DataFrame, metric: str) -> DataFrame:
+def nearest_winner(ranked: DataFrame) -> DataFrame:
     """Class of the nearest row; votes, then class, break ties (O-26c)."""
-    w = Window.partitionBy("r_key").orderBy(F.col(metric).asc(), F.col("votes").desc(), F.col("class").asc())
-    return voted.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+    first = F.filter("found", lambda e: _same_key(e, F.col("found")[0]))
 
+    def standing(e: Column) -> Column:
+        votes = F.aggregate(F.filter("found", lambda o: o["class"] == e["class"]), F.lit(0).cast("long"),
+                            lambda acc, o: acc + o["cnt"])
+        return F.struct((-votes).alias("less"), e["class"].alias("class"), e["lat"].alias("lat"), e["lon"].alias("lon"),
+                        e["end_lat2"].alias("end_lat2"), e["end_lon2"].alias("end_lon2"))
 
-def _decoded(train_f: DataFrame, lat_range: int) -> DataFrame:
-    # Cells are decoded on the past-trip side, before any join: a filter on
-    # the decoded point above the windows would otherwise be pushed down and
-    # inline the whole bit decoding into one expression.
-    return with_geohash_corner(train_f, "class", "lat", "lon", lat_range)
+    return ranked.select("r_key", F.array_min(F.transform(first, standing)).alias("w")).select(
+        "r_key", "w.class", (-F.col("w.less")).alias("votes"), "w.lat", "w.lon", "w.end_lat2", "w.end_lon2")
 
 
-def kept_neighbours(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False, lat_range: int = 90,
-                    strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
-    """Entry rows of rank <= k under the root metric, with ``votes``."""
-    c = candidates(_decoded(train_f, lat_range), test_f, k, root_form(clamp), strategy, pair_cap)
-    return with_votes(rank_neighbours(c, "metric", k))
+def kept_neighbours(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False, lat_range: int = 90) -> DataFrame:
+    """Entry rows of rank <= k under the root metric, with ``pos``, ``votes``
+    and the unrounded ``metric``."""
+    kept = with_votes(rank_neighbours(train_f, test_f, k, clamp, lat_range))
+    trip = test_f.groupBy("r_key").agg(*[F.first(c).alias(c) for c in ("out_id2", "hour2", "type_of_day2", "start_lon2")])
+    return kept.join(trip, "r_key").withColumnRenamed("out_id2", "out_id").withColumn("metric", pair_metric_root(
+        "hour", "hour2", "type_of_day", "type_of_day2", "start_lon", "start_lon2", clamp=clamp))
 
 
-def nearest_vote_winners(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False, lat_range: int = 90,
-                         strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
+def nearest_vote_winners(train_f: DataFrame, test_f: DataFrame, k: int, clamp: bool = False,
+                         lat_range: int = 90) -> DataFrame:
     """One row per trip: the winning class, its decoded cell and the truth."""
-    return nearest_winner(kept_neighbours(train_f, test_f, k, clamp, lat_range, strategy, pair_cap), "metric")
+    return nearest_winner(rank_neighbours(train_f, test_f, k, clamp, lat_range))
 
 
 def knn_nearest_vote(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
-                     clamp: bool = False, lat_range: int = 90, strategy: str = "auto",
-                     pair_cap: int = PAIR_CAP) -> DataFrame:
+                     clamp: bool = False, lat_range: int = 90) -> DataFrame:
     """The SQL-form predictor, scan to result rows (O-26).
 
     ``train_f`` / ``test_f`` come from ``train_features`` (12-character
@@ -267,67 +335,59 @@ def knn_nearest_vote(train_f: DataFrame, test_f: DataFrame, k: int, distance: st
     (null), k``; a NaN distance (exact longitude hit) is dropped as in the
     reference.
     """
-    win = nearest_vote_winners(train_f, test_f, k, clamp, lat_range, strategy, pair_cap)
-    return _results(win.select("r_key", "lat", "lon", "end_lat2", "end_lon2"), k, None, distance)
+    return _results(nearest_vote_winners(train_f, test_f, k, clamp, lat_range), k, None, distance)
 
 
 # --------------------------------------------------------------------------
 # queue form: k-th nearest (O-27) and voted destinations (O-27b)
 
-def _row_spans(cands: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """Entries holding the first k rows in ``order``, with ``prev`` (rows
-    before the entry) and ``total`` (rows of the first k entries)."""
-    by_order = Window.partitionBy("r_key").orderBy(*order)
-    # every entry holds at least one row: the first k rows lie in the first
-    # k entries (a partial + final WindowGroupLimit)
-    top = cands.withColumn("__en", F.row_number().over(by_order)).filter(F.col("__en") <= k).drop("__en")
-    w = by_order.rowsBetween(Window.unboundedPreceding, 0)
-    return (top.withColumn("prev", F.sum("cnt").over(w) - F.col("cnt"))
-            .withColumn("total", F.sum("cnt").over(Window.partitionBy("r_key"))))
+def _queue_entries(train_f: DataFrame, test_f: DataFrame, k: int) -> DataFrame:
+    return nearest_entries(train_f, test_f, k, log_form())
+
 
+def _with_spans(found: str, k: int) -> Column:
+    """The entries that hold the first ``k`` rows, each with the number of rows
+    ``prev`` before it."""
+    def prev(i: Column) -> Column:
+        return F.aggregate(F.slice(found, 1, i), F.lit(0).cast("long"), lambda acc, o: acc + o["cnt"])
 
-def _queue_rows(train_f, test_f, k, strategy, pair_cap):
-    f = log_form()
-    c = candidates(train_f, test_f, k, f, strategy, pair_cap)
-    return _row_spans(c, [*f.order, "start_lon", *BUCKET], k).filter(F.col("prev") < k)
+    spans = F.transform(found, lambda e, i: F.struct(prev(i).alias("prev"), e.alias("e")))
+    return F.filter(spans, lambda x: x["prev"] < k)
 
 
-def knn_kth(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
-            strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
+def knn_kth(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian") -> DataFrame:
     """Destination of the k-th nearest past trip, or of the farthest when a
     person has fewer than k (O-27): what the reference's bounded queue
     returns. Order: log metric, then meridian gap, then destination."""
-    rows = _queue_rows(train_f, test_f, k, strategy, pair_cap)
-    target = F.least(F.lit(k), F.col("total"))
-    win = rows.filter((F.col("prev") < target) & (F.col("prev") + F.col("cnt") >= target)).select(
-        "r_key", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"), "end_lat2", "end_lon2")
+    last = _queue_entries(train_f, test_f, k).select("r_key", F.element_at(_with_spans("found", k), -1)["e"].alias("e"))
+    win = last.select("r_key", F.col("e.end_lat").alias("lat"), F.col("e.end_lon").alias("lon"), "e.end_lat2", "e.end_lon2")
     return _results(win, k, "queue", distance)
 
 
-def knn_voted(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian",
-              strategy: str = "auto", pair_cap: int = PAIR_CAP) -> DataFrame:
+def knn_voted(train_f: DataFrame, test_f: DataFrame, k: int, distance: str = "meridian") -> DataFrame:
     """Most frequent destination among the k nearest past trips; the one
     reached first in nearest order wins a tie (O-27b: the queue's intent)."""
-    rows = _queue_rows(train_f, test_f, k, strategy, pair_cap)
-    rows = rows.withColumn("inc", F.least(F.col("cnt"), F.lit(k) - F.col("prev")))
-    per_dest = rows.groupBy("r_key", "end_lat", "end_lon").agg(
-        F.sum("inc").alias("votes"), F.min(F.col("prev") + 1).alias("first_rn"),
-        F.first("end_lat2").alias("end_lat2"), F.first("end_lon2").alias("end_lon2"))
-    w = Window.partitionBy("r_key").orderBy(F.col("votes").desc(), F.col("first_rn").asc())
-    win = per_dest.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).select(
-        "r_key", F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"), "end_lat2", "end_lon2")
+    spans = _queue_entries(train_f, test_f, k).select("r_key", _with_spans("found", k).alias("spans"))
+
+    def standing(x: Column) -> Column:
+        alike = F.filter("spans", lambda o: (o["e"]["end_lat"] == x["e"]["end_lat"]) & (o["e"]["end_lon"] == x["e"]["end_lon"]))
+        votes = F.aggregate(alike, F.lit(0).cast("long"), lambda acc, o: acc + F.least(o["e"]["cnt"], F.lit(k) - o["prev"]))
+        return F.struct((-votes).alias("less"), x["prev"].alias("prev"), x["e"].alias("e"))
+
+    best = spans.select("r_key", F.array_min(F.transform("spans", standing))["e"].alias("e"))
+    win = best.select("r_key", F.col("e.end_lat").alias("lat"), F.col("e.end_lon").alias("lon"), "e.end_lat2", "e.end_lon2")
     return _results(win, k, "queue_voted", distance)
 
 
 # --------------------------------------------------------------------------
 # distance-weighted vote (O-28) and k sweep (O-28b)
 
-def _weighted(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int], strategy: str, pair_cap: int) -> DataFrame:
+def _weighted(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int]) -> DataFrame:
     ks = sorted(set(int(x) for x in ks))
-    f = l2_form()
     train_d = with_geohash_center(train_f, "class", "end_lat_pre", "end_lon_pre")
-    c = candidates(train_d, test_f, max(ks), f, strategy, pair_cap)
-    rows = _row_spans(c, [*f.order, "start_lon", "start_lat", *BUCKET], max(ks)).filter(F.col("prev") < max(ks))
+    rows = nearest_entries(train_d, test_f, max(ks), l2_form()).select(
+        "r_key", F.explode(_with_spans("found", max(ks))).alias("x")).select("r_key", "x.prev", "x.e.*")
+    rows = rows.withColumn("metric", F.sqrt("d2"))
     rows = rows.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks])))
     rows = rows.withColumn("inc", F.least(F.col("cnt"), F.col("k") - F.col("prev"))).filter(F.col("inc") > 0)
     has_zero = F.max((F.col("metric") == 0).cast("int")).over(Window.partitionBy("r_key", "k"))
@@ -339,25 +399,30 @@ def _weighted(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int], strategy
         F.first("end_lat_pre").alias("end_lat_pre"), F.first("end_lon_pre").alias("end_lon_pre"))
     w = Window.partitionBy("r_key", "k").orderBy(F.col("wsum").desc(), F.col("class").asc())
     win = sums.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1)
-    return win.select("r_key", "end_lat", "end_lon", "end_lat_pre", "end_lon_pre", F.col("k").cast("int").alias("k"))
+    return win.select("r_key", "end_lat", "end_lon", "end_lat_pre", "end_lon_pre", F.col("k").cast("int").alias("k"),
+                      F.col("class").alias("predict"))
+
+
+PREDICTION = ("r_key", "end_lat", "end_lon", "end_lat_pre", "end_lon_pre", "k")
 
 
-def knn_weighted(train_f: DataFrame, test_f: DataFrame, k: int = 10, strategy: str = "auto",
-                 pair_cap: int = PAIR_CAP) -> DataFrame:
+def knn_weighted(train_f: DataFrame, test_f: DataFrame, k: int = 10) -> DataFrame:
     """Distance-weighted vote of the k nearest past trips by plain Euclidean
     distance (O-28): weight 1/d, or only the d = 0 neighbours when any; the
     largest weight sum wins, the smallest class on a tie. ``train_f``
     carries 8-character classes, ``test_f`` raw starts; fewer than k past
     trips use all of them. Output: ``r_key, end_lat, end_lon, end_lat_pre,
     end_lon_pre, k`` with the cell centre as the predicted point."""
-    return _weighted(train_f, test_f, [k], strategy, pair_cap)
+    return _weighted(train_f, test_f, [k]).select(*PREDICTION)
 
 
-def knn_sweep(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int] = (5, 10, 20, 30), strategy: str = "auto",
-              pair_cap: int = PAIR_CAP) -> DataFrame:
+def knn_sweep(train_f: DataFrame, test_f: DataFrame, ks: Sequence[int] = (5, 10, 20, 30),
+              with_class: bool = False) -> DataFrame:
     """``knn_weighted`` for several k in one job (O-28b): candidates are
-    found once for max(k), then each k keeps its prefix."""
-    return _weighted(train_f, test_f, ks, strategy, pair_cap)
+    found once for max(k), then each k keeps its prefix. ``with_class`` adds
+    the predicted class as ``predict``."""
+    out = _weighted(train_f, test_f, ks)
+    return out if with_class else out.select(*PREDICTION)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key: str = "r_key") -> DataFrame:

@@ -27,14 +27,20 @@ def _q(*ctes: str, body: str) -> str:
 
 ROOT_PAIRS = f"""root_pairs AS (
   SELECT a.r_key, b.class, b.nb_key, a.end_lat2, a.end_lon2,
-         {S.metric_root('b.hour', 'a.hour2', 'b.type_of_day', 'a.type_of_day2', 'b.start_lon', 'a.start_lon2')} AS metric
-  FROM tef_r a JOIN trf12 b ON a.out_id2 = b.out_id)"""
+         {S.metric_root('b.hour', 'a.hour2', 'b.type_of_day', 'a.type_of_day2', 'b.start_lon', 'a.start_lon2')} AS metric,
+         {S.folded('b.start_lon', 'a.start_lon2')} AS gap_deg,
+         ((b.hour - a.hour2)::DOUBLE * (b.hour - a.hour2)::DOUBLE
+          + (b.type_of_day - a.type_of_day2)::DOUBLE * (b.type_of_day - a.type_of_day2)::DOUBLE) AS dt2
+  FROM tef_r a JOIN trf12 b ON a.out_id2 = b.out_id),
+root_keys AS (
+  SELECT * EXCLUDE (gap_deg), CASE WHEN isnan(metric) THEN 'Infinity'::DOUBLE ELSE dt2 + 2.0::DOUBLE * log10(gap_deg) END AS s,
+         CASE WHEN isnan(metric) THEN 0.0::DOUBLE ELSE gap_deg END AS gap_deg FROM root_pairs)"""
 ROOT_KEPT = f"""root_kept AS (
-  SELECT *, (rank() OVER (PARTITION BY r_key ORDER BY metric))::INTEGER AS pos FROM root_pairs
+  SELECT *, (rank() OVER (PARTITION BY r_key ORDER BY s, gap_deg))::INTEGER AS pos FROM root_keys
   QUALIFY pos <= {K})"""
 ROOT_WIN = """root_win AS (
   SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY r_key, class) AS votes FROM root_kept)
-  QUALIFY row_number() OVER (PARTITION BY r_key ORDER BY metric, votes DESC, class) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY r_key ORDER BY s, gap_deg, votes DESC, class) = 1)"""
 NEAREST_CTES = (TRF12, TEF_R, ROOT_PAIRS, ROOT_KEPT, ROOT_WIN)
 
 
@@ -54,11 +60,14 @@ NEAREST_RESULTS = "nearest_results AS (" + _results(
 
 QUEUE_PAIRS = f"""queue_pairs AS (
   SELECT a.r_key, a.end_lat2, a.end_lon2, b.end_lat AS dest_lat, b.end_lon AS dest_lon,
-         {S.metric_log('a.hour2', 'b.hour', 'a.type_of_day2', 'b.type_of_day', 'a.start_lon2', 'b.start_lon')} AS metric,
-         round({S.meridian('a.start_lon2', 'b.start_lon')}, 3) AS gap
+         isnan({S.meridian('a.start_lon2', 'b.start_lon')}) AS lost,
+         {S.folded('b.start_lon', 'a.start_lon2')} AS gap_deg,
+         abs(a.hour2 - b.hour)::DOUBLE * abs(a.type_of_day2 - b.type_of_day)::DOUBLE AS dt
   FROM tef_raw a JOIN trf12q b ON a.out_id2 = b.out_id)"""
 QUEUE_KEPT = f"""queue_kept AS (
-  SELECT *, row_number() OVER (PARTITION BY r_key ORDER BY metric, gap, dest_lat, dest_lon) AS rn FROM queue_pairs
+  SELECT *, row_number() OVER (PARTITION BY r_key ORDER BY lost,
+           CASE WHEN lost THEN 0 ELSE dt * gap_deg END, CASE WHEN lost THEN 0 ELSE gap_deg END, dest_lat, dest_lon) AS rn
+  FROM queue_pairs
   QUALIFY rn <= {K})"""
 KTH_RESULTS = "kth_results AS (" + _results(
     "SELECT r_key, dest_lat AS lat, dest_lon AS lon, end_lat2, end_lon2 FROM queue_kept "
@@ -78,7 +87,7 @@ def _weighted_ctes(ks) -> tuple[str, ...]:
     pairs = f"""w_pairs AS (
   SELECT a.r_key, b.class, b.nb_key, a.end_lat2, a.end_lon2,
          {S.metric_l2('a.start_lat2', 'b.start_lat', 'a.start_lon2', 'b.start_lon', 'a.hour2', 'b.hour',
-                      'a.type_of_day2', 'b.type_of_day')} AS metric
+                      'a.type_of_day2', 'b.type_of_day', digits=None)} AS metric
   FROM tef_raw a JOIN trf8 b ON a.out_id2 = b.out_id)"""
     ranked = f"""w_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY r_key ORDER BY metric, class, nb_key) AS rn FROM w_pairs
@@ -152,21 +161,25 @@ ELL_TRIPS = S.ellipsoid("start_lat", "start_lon", "end_lat", "end_lon")
 
 
 def _fn_sql() -> str:
-    gh = S.geohash("SELECT r_key, start_time, start_lat, start_lon, round(end_lat, 5) AS end_lat, "
-                   "round(end_lon, 5) AS end_lon FROM train", "end_lat", "end_lon", "class", 12)
-    dec = S.geohash_corner(gh, "class", "lat", "lon", 90)
+    both = ("SELECT r_key, start_time, start_lat, start_lon, round(end_lat, 5) AS end_lat, round(end_lon, 5) AS end_lon, "
+            "lead(start_time) OVER w AS next_start_time, lead(start_lon) OVER w AS next_start_lon FROM trips "
+            "WINDOW w AS (PARTITION BY out_id ORDER BY start_time, r_key)")
+    dec = S.geohash_corner(S.geohash(both, "end_lat", "end_lon", "class", 12), "class", "lat", "lon", 90)
     gap = S.meridian("start_lon", "end_lon", "start_lat", "end_lat")
-    g2 = S.meridian("start_lon", "end_lon")
-    hh = S.hour_of("start_time")
-    dt = S.day_type("start_time")
-    s = f"(((({hh}) - 12) * (({hh}) - 12) + (({dt}) - 0) * (({dt}) - 0))::DOUBLE + log10({g2} * {g2}))"
-    calc = f"(CASE WHEN isnan({g2}) THEN {S.NAN} WHEN {s} < 0 THEN {S.NAN} ELSE sqrt({s}) END)"
+    hh, dt = S.hour_of("start_time"), S.day_type("start_time")
+    calc = S.metric_root(hh, S.hour_of("next_start_time"), dt, S.day_type("next_start_time"), "start_lon", "next_start_lon")
     return (f"SELECT r_key, {hh} AS hour, {dt} AS type_of_day, "
             f"CASE WHEN isnan({gap}) THEN NULL ELSE round({gap}, 1) END AS gap, "
-            f"CASE WHEN isnan({calc}) THEN NULL ELSE round({calc}, 6) END AS metric, lat, lon FROM ({dec})")
+            f"CASE WHEN next_start_lon IS NULL OR isnan({calc}) THEN NULL ELSE {calc} END AS metric, lat, lon FROM ({dec})")
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    # the same results from another layout
+    return found | {f"{name}_stored": found[name] for name in ("candidate_pairs", "nb_model")}
+
+
+def _oracle_sql() -> dict[str, str]:
     w_all = _weighted_ctes(SWEEP)
     w_10 = _weighted_ctes((K,))
     busiest = "(SELECT out_id FROM trips GROUP BY out_id ORDER BY count(*) DESC, out_id LIMIT 1)"
@@ -262,6 +275,14 @@ def oracle_sql() -> dict[str, str]:
         "prediction_file_roundtrip": _q(*w_all, body="SELECT * FROM w_pred"),
         "results_roundtrip": _q(*ALL_RESULTS_CTES, body=(
             "SELECT r_key, lat, lon, round(dis, 1) AS dis, type, k FROM all_results")),
+        "prediction_table_roundtrip": _q(*w_all, body=(
+            "SELECT t.*, w.class AS predict, w.k::INTEGER AS k FROM ("
+            + S.geohash(f"SELECT *, {S.hour_of('start_time')} AS period, {S.day_type('start_time')} AS week_code FROM test",
+                        "start_lat", "start_lon", "start_code", 8) + ") t JOIN w_win w ON t.r_key = w.r_key")),
+        "csv_quarantine": _q(body="SELECT r_key, r_key % 50 = 0 AS set_aside FROM trips"),
+        "results_rerun": _q(TEF_R, *QUEUE_CTES, KTH_RESULTS, NB_MODEL, NB_RESULTS, body=(
+            "SELECT r_key, lat, lon, round(dis, 1) AS dis, type, k FROM "
+            "(SELECT * FROM nb_results UNION ALL SELECT * FROM kth_results)")),
         "results_for_run": _q(*ALL_RESULTS_CTES, body=(
             f"SELECT r_key, lat, lon, round(dis, 1) AS dis, type, k FROM all_results WHERE k = {K} AND type IS NULL")),
     }

@@ -7,6 +7,7 @@ rounded here (not inside the operators) so results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,15 @@ from pyspark.sql import types as T
 
 from tripcast.functions.geo import (ellipsoid_m, meridian_gap_m, pack_location, round5, unpack_lat, unpack_lon,
                                     with_geohash, with_geohash_center, with_geohash_corner)
-from tripcast.functions.metrics import pair_metric_l2, pair_metric_log, pair_metric_root, trip_score
+from tripcast.functions.metrics import (L2_DIGITS, METRIC_DIGITS, pair_metric_l2, pair_metric_log, pair_metric_root,
+                                        trip_score)
 from tripcast.functions.sql import register_sql_functions
 from tripcast.functions.time import day_type, hour_of
 from tripcast.operators import bayes, evaluate, features, neighbours
 from tripcast.plans import inputs
-from tripcast.session import scratch_path
+from tripcast.session import freeze, scratch_path
 from tripcast.sources import results as results_io
+from tripcast.sources import stored
 from tripcast.sources import trips as trips_io
 
 K = 10
@@ -68,11 +71,13 @@ def q_valid_results(spark, sf):
 
 
 def q_sql_view_counts(spark, sf):
-    tr, te = inputs.sql_form_features(spark, sf)
-    features.register_views(spark, tr, te)
-    return spark.sql(
-        "SELECT 'trip_record' AS view_name, count(*) AS n FROM trip_record "
-        "UNION ALL SELECT 'test_record' AS view_name, count(*) AS n FROM test_record")
+    """Both views read one derivation of the trips, kept while they are counted."""
+    with features.cached(inputs.trips(spark, sf)) as trips:
+        tr, te = features.split_by_time(trips)
+        features.register_views(spark, features.train_features(tr), features.test_features(te))
+        return freeze(spark.sql(
+            "SELECT 'trip_record' AS view_name, count(*) AS n FROM trip_record "
+            "UNION ALL SELECT 'test_record' AS view_name, count(*) AS n FROM test_record"))
 
 
 # ---------------------------------------------------------------- expressions
@@ -107,20 +112,22 @@ def q_distance_meridian_gap(spark, sf):
 def q_pair_metric_root(spark, sf):
     p = inputs.consecutive_trip_pairs(spark, sf)
     return p.select("r_key", "next_r_key", pair_metric_root(
-        "next_hour", "hour", "next_type_of_day", "type_of_day", "next_start_lon", "start_lon").alias("metric"))
+        "next_hour", "hour", "next_type_of_day", "type_of_day", "next_start_lon", "start_lon",
+        digits=METRIC_DIGITS).alias("metric"))
 
 
 def q_pair_metric_log(spark, sf):
     p = inputs.consecutive_trip_pairs(spark, sf)
     return p.select("r_key", "next_r_key", pair_metric_log(
-        "hour", "next_hour", "type_of_day", "next_type_of_day", "start_lon", "next_start_lon").alias("metric"))
+        "hour", "next_hour", "type_of_day", "next_type_of_day", "start_lon", "next_start_lon",
+        digits=METRIC_DIGITS).alias("metric"))
 
 
 def q_pair_metric_l2(spark, sf):
     p = inputs.consecutive_trip_pairs(spark, sf)
     return p.select("r_key", "next_r_key", pair_metric_l2(
         "start_lat", "next_start_lat", "start_lon", "next_start_lon",
-        "hour", "next_hour", "type_of_day", "next_type_of_day").alias("metric"))
+        "hour", "next_hour", "type_of_day", "next_type_of_day", digits=L2_DIGITS).alias("metric"))
 
 
 def q_pack_unpack_location(spark, sf):
@@ -181,6 +188,30 @@ def q_candidate_pairs_broadcast(spark, sf):
     return neighbours.candidate_counts(te, tr, broadcast="auto")
 
 
+def _stored_by_person(spark, sf):
+    """Past and test features of the SQL form, stored in one layout."""
+    tr, te = inputs.sql_form_features(spark, sf)
+    suffix = uuid.uuid4().hex[:8]
+    return (stored.store_by_person(tr, f"tripcast_past_{suffix}", scratch_path(spark, "past-by-person")),
+            stored.store_by_person(te.withColumnRenamed("out_id2", "out_id"), f"tripcast_test_{suffix}",
+                                   scratch_path(spark, "test-by-person")))
+
+
+def q_candidate_pairs_stored(spark, sf):
+    """The candidate join from tables that lie by person: no exchange."""
+    tr, te = _stored_by_person(spark, sf)
+    return neighbours.candidate_counts(te.withColumnRenamed("out_id", "out_id2"), tr)
+
+
+def q_nb_model_stored(spark, sf):
+    """The model of every person from the same layout."""
+    tr = inputs.split(spark, sf)[0]
+    rows = stored.store_by_person(bayes.nb_train_rows(tr), f"tripcast_nb_{uuid.uuid4().hex[:8]}",
+                                  scratch_path(spark, "nb-by-person"))
+    m = bayes.nb_fit(rows, 1.0).drop("n_classes")
+    return _r(m, {c: 9 for c in m.columns if c == "pi" or c.startswith("theta_")})
+
+
 def q_attach_truth(spark, sf):
     parts = inputs.split(spark, sf)
     tr, te = inputs.sql_form_features(spark, sf, parts)
@@ -194,13 +225,14 @@ def q_neighbours_ranked(spark, sf):
     tr, te = inputs.sql_form_features(spark, sf)
     kept = neighbours.kept_neighbours(tr, te, K)
     rows = tr.select("nb_key", "out_id", "hour", "type_of_day", "start_lon", "class")
-    return kept.join(rows, ["out_id", "hour", "type_of_day", "start_lon", "class"]).select(
+    out = kept.join(rows, ["out_id", "hour", "type_of_day", "start_lon", "class"]).select(
         "r_key", "nb_key", "class", "metric", "pos")
+    return _r(out, {"metric": METRIC_DIGITS})
 
 
 def q_neighbour_votes(spark, sf):
     tr, te = inputs.sql_form_features(spark, sf)
-    return neighbours.kept_neighbours(tr, te, K).select("r_key", "class", "votes").distinct()
+    return neighbours.with_votes(neighbours.rank_neighbours(tr, te, K)).select("r_key", "class", "votes").distinct()
 
 
 def q_knn_nearest_vote(spark, sf):
@@ -281,19 +313,22 @@ def q_trips_per_person(spark, sf):
 
 
 def q_sql_function_names(spark, sf):
+    """Every trip by the six SQL functions; the pair metric is to the person's
+    next trip (null for the last one)."""
     register_sql_functions(spark)
-    tr = inputs.split(spark, sf)[0]
+    tr = inputs.with_next_trip(inputs.trips(spark, sf))
     tr = with_geohash(tr.withColumn("end_lat", round5("end_lat")).withColumn("end_lon", round5("end_lon")),
                       "end_lat", "end_lon", "class", 12)
+    for side in ("", "next_"):
+        tr = tr.withColumn(f"{side}text", F.col(f"{side}start_time").cast("string"))
     tr.createOrReplaceTempView("tripcast_sqlfn_trips")
     return spark.sql("""
-        SELECT r_key,
-               datetime_to_period(CAST(start_time AS STRING)) AS hour,
-               date_to_period(CAST(start_time AS STRING)) AS type_of_day,
+        SELECT r_key, datetime_to_period(text) AS hour, date_to_period(text) AS type_of_day,
                nanvl(round(getDistance(start_lat, start_lon, end_lat, end_lon), 1), CAST(NULL AS DOUBLE)) AS gap,
-               nanvl(round(calc_distance(datetime_to_period(CAST(start_time AS STRING)), 12,
-                                         date_to_period(CAST(start_time AS STRING)), 0,
-                                         start_lat, start_lon, end_lat, end_lon), 6), CAST(NULL AS DOUBLE)) AS metric,
+               nanvl(round(calc_distance(datetime_to_period(text), datetime_to_period(next_text),
+                                         date_to_period(text), date_to_period(next_text),
+                                         start_lat, start_lon, next_start_lat, next_start_lon), 6),
+                     CAST(NULL AS DOUBLE)) AS metric,
                decodeLat(class) AS lat, decodeLon(class) AS lon
         FROM tripcast_sqlfn_trips""")
 
@@ -323,6 +358,34 @@ def q_prediction_file_roundtrip(spark, sf):
     return trips_io.read_predictions(spark, path, id_type=T.LongType())
 
 
+def q_prediction_table_roundtrip(spark, sf):
+    """The file with the columns of the trips to predict; the folder of one k is
+    written twice and holds its rows once."""
+    tr, te = inputs.split(spark, sf)
+    trf, tef = inputs.weighted_features(spark, sf, (tr, te))
+    rows = trips_io.prediction_file_rows(te, neighbours.knn_sweep(trf, tef, SWEEP, with_class=True))
+    path = scratch_path(spark, "prediction-file")
+    trips_io.write_prediction_file(rows, path)
+    trips_io.write_prediction_file(trips_io.prediction_file_rows(
+        te, neighbours.knn_sweep(trf, tef, (SWEEP[0],), with_class=True)), path)
+    return trips_io.read_prediction_file(spark, path, id_type=T.LongType())
+
+
+def q_csv_quarantine(spark, sf):
+    """Trips of which every fiftieth is spoiled in its file, read back: which
+    rows passed and which were set aside."""
+    t = inputs.trips(spark, sf)
+    path = scratch_path(spark, "trips-spoiled")
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start_time", "end_time")}
+    rows = t.select(*[times.get(c, F.col(c).cast("string")).alias(c) for c in t.columns])
+    spoiled = F.col("r_key").cast("long") % 50 == 0
+    rows.withColumn("start_lat", F.when(spoiled, F.concat("start_lat", F.lit("north"))).otherwise(F.col("start_lat"))) \
+        .write.option("header", True).csv(path)
+    good, bad = trips_io.read_trips_quarantined(spark, path, "train", T.LongType())
+    return good.select("r_key", F.lit(False).alias("set_aside")).unionByName(
+        bad.select(F.split("record", ",")[0].cast("long").alias("r_key"), F.lit(True).alias("set_aside")))
+
+
 def _stored_results(spark, sf):
     path = scratch_path(spark, "results")
     results_io.write_results(_all_results(spark, sf), path)
@@ -334,6 +397,19 @@ def q_results_roundtrip(spark, sf):
     return _r(results_io.read_results(spark, path, any_type=True, id_type=T.LongType()), {"dis": 1})
 
 
+def q_results_rerun(spark, sf):
+    """Two runs, one of them stored twice: its rows are there once, the other
+    run is untouched."""
+    parts = inputs.split(spark, sf)
+    tr, te = inputs.sql_form_features(spark, sf, parts)
+    qtr, qte = inputs.queue_form_features(spark, sf, parts)
+    kth = neighbours.knn_kth(qtr, qte, K)
+    path = scratch_path(spark, "results")
+    results_io.write_results(bayes.nb_predict(_nb_model(spark, sf, parts), te, K).unionByName(kth), path)
+    results_io.write_results(kth, path)
+    return _r(results_io.read_results(spark, path, any_type=True, id_type=T.LongType()), {"dis": 1})
+
+
 def q_results_for_run(spark, sf):
     path = _stored_results(spark, sf)
     return _r(results_io.read_results(spark, path, k=K, type_=None, id_type=T.LongType()), {"dis": 1})

@@ -203,9 +203,16 @@ def metric_log(h: str, h2: str, dd: str, dd2: str, lon: str, lon2: str, digits:
     return rnd(m, digits)
 
 
-def metric_l2(lat: str, lat2: str, lon: str, lon2: str, h: str, h2: str, dd: str, dd2: str, digits: int = 9) -> str:
-    return rnd(f"sqrt(({lat} - {lat2}) * ({lat} - {lat2}) + ({lon} - {lon2}) * ({lon} - {lon2})"
-               f" + ({h} - {h2})::DOUBLE * ({h} - {h2})::DOUBLE + ({dd} - {dd2})::DOUBLE * ({dd} - {dd2})::DOUBLE)", digits)
+def metric_l2(lat: str, lat2: str, lon: str, lon2: str, h: str, h2: str, dd: str, dd2: str, digits: int | None = 9) -> str:
+    m = (f"sqrt(({lat} - {lat2}) * ({lat} - {lat2}) + ({lon} - {lon2}) * ({lon} - {lon2})"
+               f" + ({h} - {h2})::DOUBLE * ({h} - {h2})::DOUBLE + ({dd} - {dd2})::DOUBLE * ({dd} - {dd2})::DOUBLE)")
+    return m if digits is None else rnd(m, digits)
+
+
+def folded(a: str, x: str) -> str:
+    """Degrees between two longitudes on the circle."""
+    gap = f"(abs({a} - {x}) % {d(360.0)})"
+    return f"least({gap}, {d(360.0)} - {gap})"
 
 
 def score(dist: str) -> str:

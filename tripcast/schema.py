@@ -74,3 +74,12 @@ def result_schema(id_type: T.DataType = T.StringType()) -> T.StructType:
         T.StructField("type", T.StringType(), True),
         T.StructField("k", T.IntegerType(), True),
     ])
+
+
+def prediction_file_schema(id_type: T.DataType = T.StringType()) -> T.StructType:
+    """Trips to predict with what the weighted predictor made of them."""
+    return T.StructType([
+        *test_schema(id_type).fields,
+        T.StructField("period", T.IntegerType()), T.StructField("week_code", T.IntegerType()),
+        T.StructField("start_code", T.StringType()), T.StructField("predict", T.StringType()),
+        T.StructField("k", T.IntegerType())])

@@ -4,6 +4,7 @@ scratch folder taken from ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,8 +22,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small tables with much work a row still use all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # no Python stack is recorded for every column expression that is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TRIPCAST_DRIVER_MEMORY", "8g"))
@@ -50,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc._jsc.sc().getCheckpointDir().get()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):  # local-cluster[...] has executors of its own
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder for this cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tripcast-ckpt-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get()

@@ -10,6 +10,8 @@ The "next event" is found without putting a whole person into one task
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,27 @@ def trips_from_events(events: DataFrame) -> DataFrame:
 
 def fixture_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips_from_events(read_events(spark, sf_dir))
+
+
+def event_cutoff(cutoff: str) -> str:
+    """The event time that becomes the trip time ``cutoff``."""
+    return (datetime.fromisoformat(cutoff) + timedelta(days=SHIFT_DAYS)).isoformat(sep=" ")
+
+
+def trips_before(events: DataFrame, cutoff: str) -> DataFrame:
+    """The trips that start before ``cutoff``, from the events before it and a
+    bounded look-ahead: each person's first event from the cutoff on, found by
+    a combined minimum, ends the last of those trips. The cutoff reaches both
+    scans."""
+    at = F.lit(event_cutoff(cutoff)).cast(events.schema["ts"].dataType)
+    used = events.select("event_id", "user_id", "ts", "event_type", "value")
+    later = used.filter(F.col("ts") >= at).groupBy("user_id").agg(
+        F.min_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id")).alias("e"))
+    early = used.filter(F.col("ts") < at)
+    seen = early.unionByName(later.select("user_id", "e.*"))
+    return trips_from_events(seen).filter(F.col("start_time") < F.lit(cutoff).cast("timestamp_ntz"))
+
+
+def trips_since(events: DataFrame, cutoff: str) -> DataFrame:
+    """The trips that start at ``cutoff`` or later: they need no earlier event."""
+    return trips_from_events(events.filter(F.col("ts") >= F.lit(event_cutoff(cutoff)).cast(events.schema["ts"].dataType)))

@@ -14,14 +14,24 @@ from pyspark.sql import types as T
 from tripcast.schema import result_schema
 
 
-def write_results(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "append",
+def write_results(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "run",
                   jdbc_options: dict | None = None) -> None:
-    """Append result rows ``(r_key, lat, lon, dis, type, k)``."""
+    """Store result rows ``(r_key, lat, lon, dis, type, k)``.
+
+    ``mode='run'`` commits whole runs: the folders of the ``(type, k)`` runs
+    that occur in ``df`` are replaced when the job succeeds, all others stay,
+    so a repeated or retried run leaves its rows once. A run without any row
+    replaces nothing. ``'append'`` adds rows as the reference does; JDBC knows
+    only that."""
     cols = ["r_key", "lat", "lon", "dis", "type", "k"]
     out = df.select(*cols)
     if fmt == "jdbc":
         opts = {"dbtable": target, "batchsize": "10000", **(jdbc_options or {})}
-        out.write.format("jdbc").options(**opts).mode(mode).save()
+        out.write.format("jdbc").options(**opts).mode("append" if mode == "run" else mode).save()
+        return
+    if mode == "run":
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "k")
+         .parquet(target))
         return
     out.write.mode(mode).partitionBy("type", "k").parquet(target)
 
