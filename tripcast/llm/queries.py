@@ -45,9 +45,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: ``source/hundreds/id``."""
     docs = documents(spark, sf_dir)
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100), F.col("doc_id"))
-    return licences.scan(docs.select(path.alias("path"), "text")).withColumn(
-        "doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    none = F.lit("none")
+    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), none),
+                       F.coalesce(F.col("doc_id").cast("string"), none))
+    return licences.scan(docs.select("doc_id", path.alias("path"), "text"), ("doc_id",))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
