@@ -195,6 +195,30 @@ def test_shards_read_back_in_order(llm, odd_documents, no_documents):
     assert materialise.materialise(no_documents)[1].count() == 0
 
 
+def test_slots_and_records_equal_an_own_tokenisation_however_the_input_is_split(llm, odd_documents):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = []
+    for r in odd_documents.collect():
+        ids = np.array([*full.encode(r.text or "", add_special_tokens=False).ids, 2], "<u2")
+        digest = hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
+        rows.append((r.doc_id is not None, r.doc_id or 0, digest, ids))
+    rows.sort(key=lambda x: x[:3])
+    want = [(d if known else None, p, ids[at:at + 16]) for known, d, _, ids in rows for p, at in enumerate(range(0, len(ids), 16))]
+    slots = materialise.permute(np.arange(len(want)), len(want))
+    for split in (1, 5):
+        path, index = materialise.materialise(odd_documents.repartition(split, "score", F.rand(split)), seq_len=16, shard_records=50)
+        found = {r.slot: r for r in index.collect()}
+        stored = {r.slot: r.ids for r in materialise.read_slots(llm, path, 0, len(want), 16, 50).collect()}
+        assert len(found) == len(stored) == len(want)
+        for slot, (doc, piece, ids) in zip(slots.tolist(), want):
+            assert (found[slot].doc_id, found[slot].piece, found[slot].length) == (doc, piece, len(ids))
+            assert stored[slot] == [*ids.tolist(), *[materialise.PAD_ID] * (16 - len(ids))]
+
+
 def test_fingerprints_and_search(docs, texts):
     found = common.written(fingerprints.fingerprints(docs), "test-fp")
     rows = {r.doc_id: r for r in fingerprints.search(found).collect()}
@@ -261,6 +285,19 @@ def test_language_held_out(llm, odd_documents, no_documents):
     assert language.identify_documents(no_documents).count() == 0
 
 
+def test_language_letters_and_stray_values(llm):
+    signs = ["² ½ ①", "123 _ -", "ª", "x²", "你"]
+    rows = [(100 + i, t, "en") for i, t in enumerate(signs)]
+    rows += [(i, "the cat sat on the mat and looked at the dog", "en") for i in range(12)]
+    rows += [(20 + i, "el gato mira al perro en la casa de la abuela", "es") for i in range(12)]
+    rows += [(40 + i, "the cat", f"stray{i}") for i in range(12)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["row"].doc_id: r.lang_pred for r in language.identify_documents(df).collect()}
+    assert [got[100 + i] == "und" for i in range(5)] == [not any(c.isalpha() for c in t) for t in signs]
+    assert got[0] == "en" and got[20] == "es" and not {v for v in got.values() if v.startswith("stray")}
+    assert language.learn(df, languages=1)[0] == ["en"]
+
+
 def test_forward_sums_all_segmentations():
     lat = language.lattice(language.VOCABULARY)
     prob = np.random.default_rng(1).random(len(lat.pieces) + 1) / 1000

@@ -36,8 +36,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``(doc_id long, text string)`` with null texts as empty texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # A column that is long already keeps its name without an alias, so that
+    # plans that read the table twice can share one exchange.
+    doc_id = F.col("doc_id")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        doc_id = doc_id.cast("long").alias("doc_id")
+    return docs.select(doc_id, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,20 +8,19 @@ names its language. Piece probabilities come from expectation maximisation
 (forward-backward counts) over the words of a bounded sample of documents.
 
 Bounds, all parameters: ``SAMPLE`` documents a language for the fit (picked by
-a hash of the id). Scoring reads whole texts. A word is one lattice, however
+a hash of the id), ``LANGUAGES`` languages of ``LEAST`` documents or more. Scoring reads whole texts. A word is one lattice, however
 long: as long as no product of its characters' smallest probabilities can leave
 the range of a double, plain products are summed, and beyond that logarithms; a
 word of more than ``BROAD`` characters goes by itself, block by block.
 
 Defined cases: ``und`` with score 0 for a null or empty text and for one with
-no letter; equal scores go to the first language by name; documents with a
+no letter (number signs like a superscript two are none); equal scores go to the first language by name; documents with a
 null id or a null language teach nothing; with nothing to learn from, every
 document is ``und``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +46,8 @@ LONG_BLOCK = 160  # of words for which logarithms are summed
 STRETCH = 2_048  # characters of one very long word at hand at once
 PART = 100_000  # words of texts at hand at once, and those of one more text
 MARK = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+LANGUAGES = 200  # learned at most: those with the most documents
+LEAST = 2  # learnable documents of a language that is learned
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,6 +256,11 @@ def lattice(model_file: str) -> Lattice:
     return Lattice(model_file)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category occurs."""
+    return any(map(str.isalpha, text))
+
+
 def words_of(text: str) -> list[str]:
     """Marked lower-case words."""
     return [MARK + w for w in text.lower().split()]
@@ -272,18 +277,22 @@ def learn_pieces(words: list[str], counts: np.ndarray, model_file: str = VOCABUL
     return prob
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, model_file: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, sample: int = SAMPLE, model_file: str = VOCABULARY, languages: int = LANGUAGES,
+          least: int = LEAST) -> tuple[list[str], np.ndarray]:
     """Languages, by name, and their piece probabilities (one column each),
-    from the learnable documents; the model has one number a piece and
-    language, whatever the input."""
+    from the learnable documents: the ``languages`` values with the most
+    documents (the first by name of equal ones) that have ``least`` or more, so
+    that stray values neither grow the model nor draw texts. One number a piece
+    and language, whatever the input."""
     known = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select(
         "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = known.groupBy("lang").count().collect()  # a row for each language
+    sizes = known.groupBy("lang").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(
+        languages).collect()
     if not sizes:
         return [], np.zeros((1, 0))
     size = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in r]), F.col("lang"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    picked = known.filter(share * size < F.lit(1_000_000 * sample))
+    picked = known.filter(F.col("lang").isin([r[0] for r in sizes])).filter(share * size < F.lit(1_000_000 * sample))
     words = picked.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
@@ -312,7 +321,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], model_file: s
 
     def score(texts: list[str]) -> dict[str, pa.Array]:
         preds, scores, fits = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-        known = [k for k, t in enumerate(texts) if LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if has_letter(t)]
         if not names:
             for k in known:
                 fits[k] = 0.0

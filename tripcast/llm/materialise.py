@@ -2,6 +2,11 @@
 global slot by a keyed permutation, and the slots are written as fixed-stride
 binary shards.
 
+Sequences are numbered in the order of (doc_id, piece), so that the same key
+gives the same training order however the input is split. Texts are tokenised
+once, into a stored table of unpadded sequences; only the documents' ids, digests
+and counts are put in order, and a document's first number joins its sequences.
+
 The permutation is a balanced Feistel network over the smallest even number
 of bits that holds ``n`` values; a value outside ``0 .. n-1`` is permuted
 again until it falls inside (cycle walking), so the slots are exactly
@@ -14,7 +19,9 @@ reader can start or resume at any slot. Spark's own writer commits the
 shards, so a lost executor leaves no half shard.
 
 Defined cases: a null text is empty (one sequence with the end id); repeated
-rows each get a slot; an empty table writes nothing and gives no rows.
+rows each get a slot, rows of one id in the order of their ids' digests; null
+ids come first; extra columns are ignored; an empty table writes nothing and
+gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripcast.llm import tokens
-from tripcast.llm.common import id_and_text, partitions, written
+from tripcast.llm.common import PLACE_BITS, drop_written, id_and_text, laid_out, partitions, written
 from tripcast.session import scratch_path
 
 SEQ_LEN = 256
@@ -39,7 +46,7 @@ KEY = 20240607
 ROUNDS = 6
 SHARD_RECORDS = 1 << 15
 
-ROWS = "doc_id long, piece int, length int, ids_crc32 long, part int, nth long, record binary"
+ROWS = "row long, doc_id long, pieces int, digest binary, piece int, length int, ids_crc32 long, record binary"
 
 
 def stride(seq_len: int = SEQ_LEN) -> int:
@@ -79,31 +86,31 @@ def permute(values: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -
 
 
 def sequences(docs: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Fixed-length records ``(doc_id, piece, length, ids_crc32, part, nth,
-    record)``; ``nth`` counts the records of one task, so once the table is
-    stored ``(part, nth)`` numbers its rows without a shuffle."""
+    """Sequences ``(row, doc_id, pieces, digest, piece, length, ids_crc32,
+    record)``: ``row`` is a number of the input row (stable once stored),
+    ``pieces`` and ``digest`` are its document's, set in its first sequence,
+    ``record`` holds the ids without padding."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
-        cols: list[list] = [[], [], [], [], []]
+        row = TaskContext.get().partitionId() << PLACE_BITS
+        cols: list[list] = [[] for _ in names]
 
         def flush() -> pa.RecordBatch:
-            nonlocal nth, cols
-            n = len(cols[0])
-            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
-            arrays[4:4] = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(nth, nth + n))]
-            nth, cols = nth + n, [[], [], [], [], []]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "length", "ids_crc32", "part", "nth", "record"])
+            nonlocal cols
+            arrays, cols = [pa.array(c, k) for c, k in zip(cols, kinds)], [[] for _ in names]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens.encode(text or "").astype("<u2")
-                for piece, at in enumerate(range(0, len(ids), seq_len)):
-                    part_ids = ids[at:at + seq_len]
-                    raw = part_ids.tobytes()
-                    full = raw + PAD_ID.to_bytes(2, "little") * (seq_len - len(part_ids))
-                    for c, v in zip(cols, (doc_id, piece, len(part_ids), zlib.crc32(raw), full)):
+                raw = tokens.encode(text or "").astype("<u2").tobytes()
+                parts = [raw[at:at + 2 * seq_len] for at in range(0, len(raw), 2 * seq_len)]
+                for piece, part in enumerate(parts):
+                    first = (len(parts), hashlib.blake2b(raw, digest_size=16).digest()) if piece == 0 else (None, None)
+                    for c, v in zip(cols, (row, doc_id, *first, piece, len(part) // 2, zlib.crc32(part), part)):
                         c.append(v)
+                row += 1
                 if len(cols[0]) * 2 * seq_len > 1 << 23:
                     yield flush()
         yield flush()
@@ -111,26 +118,35 @@ def sequences(docs: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     return id_and_text(docs).mapInArrow(cut, ROWS)
 
 
-def assign_slots(rows: DataFrame, key: int = KEY) -> DataFrame:
-    """Add ``slot`` to a stored table of sequences, without a shuffle: tasks'
-    record counts (one number a task) give a dense number, the permutation
-    the slot."""
-    counts = dict(rows.groupBy("part").agg(F.max("nth") + 1).collect())  # a row for each task that wrote
-    firsts = np.zeros(max(counts, default=0) + 1, dtype=np.int64)
-    n = 0
-    for part in sorted(counts):
-        firsts[part], n = n, n + counts[part]
-    table = rows.sparkSession.sparkContext.broadcast(firsts)
-    names = rows.columns
-    part_at, nth_at = names.index("part"), names.index("nth")
+def first_numbers(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``(row, start)``: how many sequences come before a document's in the
+    order of (doc_id, digest), and how many there are in all. Documents are
+    range-partitioned; the pieces meet in a table with one row a piece."""
+    docs = rows.filter("piece = 0").select("row", "doc_id", "digest", "pieces")
+    laid = laid_out(docs, [F.col("doc_id").asc_nulls_first(), "digest", "row"], "order")
+    laid = laid.withColumn("range", F.shiftright("place", PLACE_BITS))
+    sizes = laid.groupBy("range").agg(F.sum("pieces").alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+    inside = F.sum("pieces").over(Window.partitionBy("range").orderBy("place")) - F.col("pieces")
+    return laid.withColumn("inside", inside).join(before, "range").select(
+        "row", (F.col("before") + F.col("inside")).alias("start")), total
+
+
+def assign_slots(rows: DataFrame, starts: DataFrame, total: int, key: int = KEY) -> DataFrame:
+    """Add ``slot`` to sequences with ``row`` and ``piece``."""
+    numbered = rows.join(starts, "row").withColumn("start", F.col("start") + F.col("piece"))
+    names = numbered.columns
+    at = names.index("start")
+    others = [c for c in names if c != "start"]
 
     def move(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = table.value[batch.column(part_at).to_numpy()] + batch.column(nth_at).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permute(at, n, key))], [*names, "slot"])
+            slots = permute(batch.column(at).to_numpy(), total, key)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(slots)], [*others, "slot"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(move, kinds + ", slot long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name != "start")
+    return numbered.mapInArrow(move, kinds + ", slot long")
 
 
 def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, key: int = KEY,
@@ -141,13 +157,20 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
     rows = written(sequences(docs, seq_len), "sequences")
+    starts, total = first_numbers(rows)
+    starts = written(starts, "starts")
     shard = F.floor(F.col("slot") / shard_records)
-    (assign_slots(rows.select("part", "nth", "record"), key)
-     .select(shard.alias("shard"), "slot", F.col("record").cast("string").alias("value"))
+    filler = F.lit(PAD_ID.to_bytes(2, "little"))
+    (assign_slots(rows.select("row", "piece", "record"), starts, total, key)
+     .select(shard.alias("shard"), "slot", "record")
      .repartitionByRange(partitions(spark), "shard").sortWithinPartitions("shard", "slot")
-     .drop("slot").write.partitionBy("shard").text(path))
-    index = assign_slots(rows.drop("record"), key).drop("part", "nth").withColumns({
-        "shard": shard, "byte_offset": F.pmod("slot", F.lit(shard_records)) * stride(seq_len)})
+     .select("shard", F.rpad("record", F.lit(2 * seq_len), filler).cast("string").alias("value"))
+     .write.partitionBy("shard").text(path))
+    index = assign_slots(rows.select("row", "doc_id", "piece", "length", "ids_crc32"), starts, total, key)
+    index = written(index.select("doc_id", "piece", "length", "ids_crc32", "slot", shard.alias("shard"),
+                                 (F.pmod("slot", F.lit(shard_records)) * stride(seq_len)).alias("byte_offset")), "index")
+    drop_written(rows)
+    drop_written(starts)
     return path, index
 
 

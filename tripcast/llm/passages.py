@@ -12,7 +12,7 @@ for every ten to twenty bytes, route the comparison:
    each and sorted, to ranges of the hash space; a range says by one bit per
    anchor whether another document has it. Chunks get their bits back.
 2. Each occurrence of a shared anchor gives a snippet, the bytes of its
-   windows. Snippets meet by anchor; the distinct ones of an anchor form one
+   windows; a chunk sends equal ones once, with their places. Snippets meet by anchor; the distinct ones of an anchor form one
    text, whose suffix array (see ``suffixes``) lays equal windows side by
    side. A window is removed where its class has a smaller document.
 3. An anchor of more than ``FREQUENT`` occurrences, however few documents have
@@ -146,6 +146,16 @@ def _own_anchors(row: dict) -> tuple[np.ndarray, ...]:
 def shared_anchors(chunks: DataFrame) -> DataFrame:
     """``(chunk, marks)``: for each distinct anchor hash of a chunk, ascending,
     0 (its alone), 1 (shared) or 2 (frequent), by hash ranges."""
+    return _by_chunk(_marks(chunks))
+
+
+def _by_chunk(marks: DataFrame) -> DataFrame:
+    # A chunk has at most a row for each of its anchors.
+    return marks.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "marks"))).alias("marks"))
+
+
+def _marks(chunks: DataFrame) -> DataFrame:
+    """The marks of each chunk and hash range, stored."""
     size = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(4, int(size / 15 / RANGE_ROWS).bit_length() + 1)
 
@@ -155,14 +165,13 @@ def shared_anchors(chunks: DataFrame) -> DataFrame:
                 h, doc, _, _, _, ids = _own_anchors(row)
                 h, n, often = _distinct(h, ids[doc] if len(doc) else doc)
                 part = (h >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+                cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))  # of the ranges it has
                 short = ((h << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
                 out: list[list] = [[], [], [], [], [], []]
-                for r in range(1 << bits):
-                    lo, hi = cuts[r], cuts[r + 1]
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if hi > lo:
                         several = np.flatnonzero(often[lo:hi] > 1)
-                        for c, v in zip(out, (r, row["chunk"], short[lo:hi].tobytes(), several.astype("<u4").tobytes(),
+                        for c, v in zip(out, (int(part[lo]), row["chunk"], short[lo:hi].tobytes(), several.astype("<u4").tobytes(),
                                               n[lo:hi][several].astype("<u4").tobytes(), often[lo:hi][several].astype("<u4").tobytes())):
                             c.append(v)
                 kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -188,20 +197,40 @@ def shared_anchors(chunks: DataFrame) -> DataFrame:
 
     sent = chunks.mapInArrow(send, "part int, chunk long, h binary, at binary, n binary, often binary")
     met = sent.groupBy("part").applyInPandas(meet, "part int, chunk long, marks binary")
-    # A chunk has at most 2 ** bits rows, one a range.
-    return written(met, "marks").groupBy("chunk").agg(
-        F.array_sort(F.collect_list(F.struct("part", "marks"))).alias("marks"))
-
-
-SNIPPETS = "kind int, h long, snippet binary, chunk long, doc int, id long, first int, last int, d1 long, d2 long"
-
-
-def _rows(kind: int, h, snippet, chunk: int, doc, ids, first, last, d1, d2) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, kind, np.int32)), pa.array(h, pa.int64()), pa.array(snippet, pa.binary()),
-        pa.array(np.full(n, chunk)), pa.array(doc.astype(np.int32)), pa.array(ids), pa.array(first.astype(np.int32)),
-        pa.array(last, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], [c.split()[0] for c in SNIPPETS.split(", ")])
+    return written(met, "marks")
+
+
+SNIPPETS = ("kind int, h long, snippet binary, places binary, chunk long, doc int, id long, first int, last int, "
+            "d1 long, d2 long")
+# Where a snippet occurs in a chunk: document's number and id, first start.
+PLACE = np.dtype([("doc", "<i4"), ("id", "<i8"), ("first", "<i4")])
+
+
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    fields = [c.split() for c in SNIPPETS.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind])
+                                       for name, kind in fields], [name for name, _ in fields])
+
+
+def _places(row, text: bytes, k: np.ndarray, h, doc, ids, first, last, begin) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct snippet of a chunk's anchors ``k``, with all
+    of its places: a passage that many documents share goes once a chunk."""
+    k = k[np.argsort(h[k], kind="stable")]
+    for at in range(0, len(k), 20_000):
+        part = k[at:at + 20_000]
+        number: dict[tuple[int, bytes], int] = {}
+        of = np.fromiter((number.setdefault((x, text[a:b]), len(number)) for x, a, b in zip(
+            h[part].tolist(), first[part].tolist(), (last[part] + WIDTH).tolist())), np.int64, len(part))
+        order = np.argsort(of, kind="stable")
+        part, of = part[order], of[order]
+        packed = np.empty(len(part), PLACE)
+        packed["doc"], packed["id"], packed["first"] = doc[part], ids[doc[part]], first[part] - begin[doc[part]]
+        raw, edges = packed.tobytes(), np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)) * PLACE.itemsize
+        n = len(number)
+        yield _batch(n, kind=np.full(n, 1, np.int32), h=np.array([x for x, _ in number], np.uint64).astype(np.int64),
+                     snippet=[x for _, x in number], places=[raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())],
+                     chunk=np.full(n, row["chunk"]))
 
 
 def _steps(n: np.ndarray) -> np.ndarray:
@@ -245,14 +274,7 @@ def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFram
                 mark = mark[back]
                 mark[np.isin(doc, np.array(row["copies"] or [], np.int64))] = 0
                 text, begin = row["text"], np.concatenate(([0], np.cumsum(np.frombuffer(row["lens"], np.int64))))
-                hot = np.flatnonzero(mark == 1)
-                for part in range(0, len(hot), 20_000):
-                    k = hot[part:part + 20_000]
-                    none = [None] * len(k)
-                    # The offset of the anchor in the snippet goes into the key:
-                    # equal windows lie alike around their anchor.
-                    yield _rows(1, h[k].astype(np.int64), [text[a:b] for a, b in zip(first[k].tolist(), (last[k] + WIDTH).tolist())],
-                                row["chunk"], doc[k], ids[doc[k]], first[k] - begin[doc[k]], none, none, none)
+                yield from _places(row, text, np.flatnonzero(mark == 1), h, doc, ids, first, last, begin)
                 often = np.flatnonzero(mark == 2)
                 often = often[np.argsort(h[often], kind="stable")]
                 cuts = np.flatnonzero(np.concatenate(([True], h[often][1:] != h[often][:-1], [True]))) if len(often) else [0]
@@ -286,8 +308,9 @@ def _frequent(row, text, k, doc, ids, first, last, begin) -> Iterator[pa.RecordB
         who, cls, lo = who[order], cls[order], lo[order]
         new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (cls[1:] != cls[:-1]) | (lo[1:] > lo[:-1] + WIDTH))))
         who, cls, hi = who[new], cls[new], lo[np.append(new[1:], len(lo)) - 1] + WIDTH
-        none = [None] * len(who)
-        yield _rows(2, none, none, row["chunk"], who, ids[who], lo[new], hi, digests[cls, 0], digests[cls, 1])
+        yield _batch(len(who), kind=np.full(len(who), 2, np.int32), chunk=np.full(len(who), row["chunk"]),
+                     doc=who.astype(np.int32), id=ids[who], first=lo[new].astype(np.int32), last=hi.astype(np.int32),
+                     d1=digests[cls, 0], d2=digests[cls, 1])
 
 
 RUNS = "chunk long, doc int, lo int, hi int"
@@ -340,7 +363,14 @@ def _match(found: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the rows of the last anchor, which may go on
         for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_pylist(), *(batch.column(c).to_numpy() for c in range(2, 6))]
+            if not batch.num_rows:
+                continue
+            packed = batch.column(3).to_pylist()
+            n = np.fromiter(map(len, packed), np.int64, len(packed)) // PLACE.itemsize
+            at = np.frombuffer(b"".join(packed), PLACE)
+            own = [x for x, c in zip(batch.column(1).to_pylist(), n.tolist()) for _ in range(c)]
+            cols = [np.repeat(batch.column(0).to_numpy(), n), own, np.repeat(batch.column(2).to_numpy(), n),
+                    *(np.ascontiguousarray(at[c]) for c in ("doc", "id", "first"))]
             if rest is not None:
                 cols = [x + y if isinstance(y, list) else np.concatenate((x, y)) for x, y in zip(rest, cols)]
             cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1  # beginnings of anchors
@@ -353,7 +383,7 @@ def _match(found: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield from flush(*rest)
 
-    rows = found.filter("kind = 1").select("h", "snippet", "chunk", "doc", "id", "first")
+    rows = found.filter("kind = 1").select("h", "snippet", "chunk", "places")
     # An anchor here has at most FREQUENT occurrences; the order keeps it together.
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, RUNS)
 
@@ -367,7 +397,8 @@ def _match_frequent(found: DataFrame) -> DataFrame:
 
 
 def copied(chunks: DataFrame) -> DataFrame:
-    """``(chunk, doc, lo, hi)`` of whole copies of a smaller document's text."""
+    """``(chunk, doc, lo, hi)`` of whole copies of a smaller document's text,
+    stored."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,16 +415,21 @@ def copied(chunks: DataFrame) -> DataFrame:
     rows = written(chunks.mapInArrow(run, "chunk long, doc int, id long, hi int, digest binary"), "digests")
     low = rows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     low = written(low.select("digest", "low"), "copied")
-    return rows.join(low.hint("shuffle_merge"), "digest").filter("low < id").select(
-        "chunk", "doc", F.lit(0).alias("lo"), "hi")
+    out = written(rows.join(low.hint("shuffle_merge"), "digest").filter("low < id").select(
+        "chunk", "doc", F.lit(0).alias("lo"), "hi"), "copies")
+    for used in (rows, low):
+        drop_written(used)
+    return out
 
 
 def removed_runs(chunks: DataFrame) -> DataFrame:
     """``(chunk, doc, lo, hi)``: removed byte runs (they may overlap) of the
     chunk's documents, by number."""
-    whole = written(copied(chunks), "copies")
+    whole = copied(chunks)
     copies = whole.groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
-    found = written(snippets(chunks, shared_anchors(chunks), copies), "snippets")
+    marks = _marks(chunks)
+    found = written(snippets(chunks, _by_chunk(marks), copies), "snippets")
+    drop_written(marks)
     runs = written(_match(found).unionByName(_match_frequent(found)).unionByName(whole), "runs")
     for used in (found, whole):
         drop_written(used)
@@ -415,7 +451,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     ``with_text``, the kept bytes, the removed spans and the kept bytes' whole
     characters as text."""
     chunks = store_chunks(docs)
-    runs = removed_runs(chunks)
+    return _results(chunks, removed_runs(chunks), with_text)
+
+
+def _results(chunks: DataFrame, runs: DataFrame, with_text: bool) -> DataFrame:
     # A chunk's runs: at most one for each anchor of its bytes, and the merged
     # runs of its frequent anchors' classes.
     by_chunk = runs.groupBy("chunk").agg(F.collect_list(F.struct("doc", "lo", "hi")).alias("runs"))
@@ -460,7 +499,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     two goes whole) and ``n_chars``, where there is one, counted anew. Only
     documents that lose bytes are rewritten; one that loses all of its text is
     dropped."""
-    found = written(remove_repeats(docs).filter("n_removed > 0").select("doc_id", "n_bytes", "kept_text"), "cut")
+    chunks = store_chunks(docs)
+    runs = removed_runs(chunks)
+    found = written(_results(chunks, runs, True).filter("n_removed > 0").select("doc_id", "n_bytes", "kept_text"), "cut")
+    for used in (chunks, runs):
+        drop_written(used)
     # Rows that repeat an id are told apart by their text's length; rows equal
     # in both are one and the same case, so any of the results holds.
     found = found.select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept_text").alias("__kept")

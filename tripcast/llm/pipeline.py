@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripcast.llm import language, near_dedup, packing, passages, toxicity
-from tripcast.llm.common import documents, package_on_workers, read_table, written
+from tripcast.llm.common import documents, drop_written, package_on_workers, read_table, written
 
 FLOOR = -8.0  # of the log probability of a character in the language stage
 ALIKE = 80  # percent; of the stage on word shingles
@@ -82,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage reads."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
+            drop_written(before)  # a table of the stage before; inputs stay
     return docs
