@@ -460,7 +460,7 @@ def brute_language(rows, names, probs):
 
     for i, t in rows.items():
         ws = ["▁" + w for w in t.lower().split()]
-        if re.search(r"[^\W\d_]", t):
+        if any(map(str.isalpha, t)):
             out[i] = max(sum(seen.setdefault(w, word(w)) if w not in seen else seen[w] for w in ws)) / sum(map(len, ws))
     return out
 
