@@ -114,6 +114,20 @@ def following(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("__next", "__after", "__least").alias("next_id"), "half")
 
 
+def _voted(rows: DataFrame) -> DataFrame:
+    """Fingerprints of the texts (kind 0) and edited texts (kind 1) of rows
+    with ``__row, doc_id, next_id, text, head``."""
+    edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"),
+                      F.coalesce(F.expr("left(head, cast(length(text) div 2 as int))"), F.lit("")))
+    d = rows.select("__row", "doc_id", "next_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    kinds = F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit("").alias("sha")),
+        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))))
+    d = d.select("__row", "doc_id", "next_id", "n_chars", kinds.alias("k")).select(
+        "__row", "doc_id", "next_id", "n_chars", "k.kind", "k.sha", "k.text")
+    return vote(d, ["__row", "doc_id", "next_id", "n_chars", "kind", "sha"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (see the module
     text for ``next``), and their likeness."""
@@ -122,26 +136,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     row = order.agg(F.min("doc_id"), F.count("*")).first()
     least = row[0]
     n_rows = d.filter("doc_id is not null").count()
+    # Both joins read the same exchange of the texts; only the given halves
+    # are exchanged once more.
+    known = d.filter("doc_id is not null")
     # What each document gives to the one before it.
-    given = d.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.col("half").alias("most"))
-                   .hint("shuffle_merge"), "doc_id").select("to", F.expr("left(text, most)").alias("head"))
+    given = known.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.col("half").alias("most"))
+                       .hint("shuffle_merge"), "doc_id").select("to", F.expr("left(text, most)").alias("head"))
     if n_rows != row[1]:  # some id is repeated
         given = given.groupBy("to").agg(F.min("head").alias("head"))
-    own = d.join(order.hint("shuffle_merge"), "doc_id", "left")
-    own = own.withColumn("next_id", F.coalesce("next_id", F.lit(least)))
-    both = own.join(given.hint("shuffle_merge"), own["doc_id"] == given["to"], "left")
-    n = F.length("text")
-    both = both.select(
-        F.monotonically_increasing_id().alias("__row"), "doc_id", "next_id", "text", n.cast("long").alias("n_chars"),
-        F.concat(F.expr("left(text, length(text) - length(text) div 2)"),
-                 F.coalesce(F.expr("left(head, cast(length(text) div 2 as int))"), F.lit(""))).alias("edited"))
-    kinds = F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit("").alias("sha")),
-        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))))
-    keys = ["__row", "doc_id", "next_id", "n_chars", "kind", "sha"]
-    voted = both.select("__row", "doc_id", "next_id", "n_chars", kinds.alias("k")).select(
-        "__row", "doc_id", "next_id", "n_chars", "k.kind", "k.sha", "k.text")
-    voted = written(vote(voted, keys), "votes")
+    own = known.join(order.select("doc_id", "next_id").hint("shuffle_merge"), "doc_id")
+    both = own.join(given.hint("shuffle_merge"), own["doc_id"] == given["to"], "left").select(
+        F.monotonically_increasing_id().alias("__row"), "doc_id", "next_id", "text", "head")
+    alone = d.filter("doc_id is null").select(
+        (-1 - F.monotonically_increasing_id()).alias("__row"), "doc_id", F.lit(least).cast("long").alias("next_id"), "text",
+        F.lit(None).cast("string").alias("head"))
+    # voted apart: the first keeps its exchange by id, which a union would lose
+    voted = written(_voted(both).unionByName(_voted(alone)), "votes")
     a = voted.filter("kind = 0").select("__row", "doc_id", "next_id", "n_chars", F.col("fp"))
     b = voted.filter("kind = 1").select("__row", F.col("sha").alias("edited_sha256"), F.col("fp").alias("edited"))
     by_id = a.filter("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
