@@ -45,6 +45,9 @@ PAD_ID = 50256
 KEY = 20240607
 ROUNDS = 6
 SHARD_RECORDS = 1 << 15
+# Documents of which the first numbers (16 bytes each) go to every task; with
+# more of them the ids are shuffled once more, to meet their numbers.
+SENT = 1 << 22
 
 ROWS = "row long, doc_id long, pieces int, digest binary, piece int, length int, ids_crc32 long, record binary"
 
@@ -159,6 +162,8 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
     rows = written(sequences(docs, seq_len), "sequences")
     starts, total = first_numbers(rows)
     starts = written(starts, "starts")
+    if starts.count() <= SENT:
+        starts = F.broadcast(starts)
     shard = F.floor(F.col("slot") / shard_records)
     filler = F.lit(PAD_ID.to_bytes(2, "little"))
     (assign_slots(rows.select("row", "piece", "record"), starts, total, key)
