@@ -287,3 +287,51 @@ def test_folded_range_bounds_every_point(spark):
         assert r.near <= min(inside) + 1e-12 and r.far >= max(inside) - 1e-12
         if r.hi <= 360 and r.hi - r.lo < 3:
             assert r.near >= min(inside) - 0.02 and r.far <= max(inside) + 0.02
+
+
+def test_small_blocks_equal_brute_force(spark, monkeypatch):
+    """Persons on both sides of a small block, and pages of two rows."""
+    for name, value in (("BLOCK", 32), ("BLOCK_PROBES", 12), ("PAGE_BITS", 1), ("FAN_BITS", 2)):
+        monkeypatch.setattr(boxes, name, value)
+    check(spark, adversarial_trips(seed=5, n=120) + shaped_trips(), 5)
+
+
+def test_sides_part_persons_by_rows_and_probes(spark, monkeypatch):
+    monkeypatch.setattr(boxes, "BLOCK", 3)
+    monkeypatch.setattr(boxes, "BLOCK_PROBES", 2)
+    rows = spark.createDataFrame([(p,) for p, n in ((1, 3), (2, 4), (3, 1), (None, 2)) for _ in range(n)], "p int")
+    probes = spark.createDataFrame([(p,) for p, n in ((1, 2), (2, 1), (3, 3), (None, 9)) for _ in range(n)], "p int")
+    few, many = boxes.sides(rows, probes, "p")
+    got = [sorted(r.p for r in df.collect()) for df in (few.rows, few.probes, many.rows, many.probes)]
+    assert got == [[1] * 3, [1] * 2, [2] * 4 + [3], [2] + [3] * 3]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_repeated_trip_has_the_neighbours_of_all_its_persons(spark, monkeypatch, block):
+    """One ``r_key`` for trips of a person with one past trip and one with three."""
+    monkeypatch.setattr(boxes, "BLOCK", block)
+    rows = [(0, 1, "2018-06-05 08:00:00", None, 30.0, 110.3, 35.0, 105.0),
+            *[(i, 2, "2018-06-05 08:00:00", None, 30.0, 110.0 + i / 10, 36.0 + i, 106.0) for i in (1, 2, 5)],
+            *[(9, p, "2018-06-26 08:00:00", None, 30.0, 110.0, 30.5, 110.5) for p in (1, 2)],
+            (8, 1, "2018-06-26 08:00:00", None, 30.0, 110.0, 30.5, 110.5)]
+    tr, te = split_by_time(trips_frame(spark, rows))
+    found = N.rank_neighbours(train_features(tr), make_test_features(te), 3).collect()
+    assert {r.r_key: [round(e.start_lon, 1) for e in r.found] for r in found} == {8: [110.3], 9: [110.1, 110.2, 110.3]}
+    assert len(found) == 2
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trips_of_few_are_found_in_one_join(spark):
+    """A person's array meets its trips once: no list of neighbours is shuffled,
+    and no winner is computed for each column of its row."""
+    past, trips = hot_frames(spark, 20)
+    past = past.withColumn("class", F.concat("class", F.lit("0000")))
+    few = N.rank_neighbours(past, trips, 10)
+    plan = _optimized(few)
+    first = plan[plan.index("Union"):].split("Aggregate [r_key")[0]
+    assert "Join Inner" in first and "flatten" not in first
+    assert _optimized(N.knn_voted(past, trips, 10)).count("array_min(transform(spans") == 1
+    assert _optimized(N.knn_nearest_vote(past, trips, 10)).count("array_min(transform(filter(found") == 1
