@@ -328,6 +328,7 @@ def test_trips_of_few_are_found_in_one_join(spark):
     """A person's array meets its trips once: no list of neighbours is shuffled,
     and no winner is computed for each column of its row."""
     past, trips = hot_frames(spark, 20)
+    assert "Window" not in _optimized(N.knn_sweep(past, trips, (5, 10)))
     past = past.withColumn("class", F.concat("class", F.lit("0000")))
     few = N.rank_neighbours(past, trips, 10)
     plan = _optimized(few)
