@@ -10,8 +10,9 @@ from tripcast.operators import boxes
 from tripcast.operators import neighbours as N
 from tripcast.operators.features import split_by_time, train_features
 from tripcast.operators.features import test_features as make_test_features
+from tripcast.plans import queries as Q
 
-from trip_helpers import trips_frame
+from trip_helpers import SF_SMALL, trips_frame
 
 DESTS = [(30.1, 110.2), (30.3, 110.9), (31.0, 111.5), (29.5, 109.9), (-33.9, 179.9)]
 
@@ -336,3 +337,18 @@ def test_trips_of_few_are_found_in_one_join(spark):
     assert "Join Inner" in first and "flatten" not in first
     assert _optimized(N.knn_voted(past, trips, 10)).count("array_min(transform(spans") == 1
     assert _optimized(N.knn_nearest_vote(past, trips, 10)).count("array_min(transform(filter(found") == 1
+
+
+@pytest.mark.parametrize("query", ["results_roundtrip", "results_for_run", "evaluate_buckets"])
+def test_both_queue_forms_read_one_search(spark, monkeypatch, query):
+    forms, search = [], N.nearest_entries
+    monkeypatch.setattr(N, "nearest_entries", lambda *a, **kw: forms.append(a[3].order) or search(*a, **kw))
+    assert Q.QUERIES[query](spark, SF_SMALL).count() > 0
+    assert forms.count(N.log_form().order) == 1 and len(forms) == 2
+
+
+def test_rerun_reads_one_search(spark, monkeypatch):
+    forms, search = [], N.nearest_entries
+    monkeypatch.setattr(N, "nearest_entries", lambda *a, **kw: forms.append(a[3].order) or search(*a, **kw))
+    Q.QUERIES["results_rerun"](spark, SF_SMALL)
+    assert forms == [N.log_form().order]
