@@ -85,6 +85,16 @@ def test_nb_hot_person_with_few_classes_scores_no_pairs(spark):
     assert len({r.score for r in got}) == 1
 
 
+def test_nb_chooses_no_class_beside_one_without_a_score(spark, monkeypatch):
+    """Person 2 has a class whose starts are all null; in one array as in pages."""
+    rows = [(i, 1 + i % 2, "2018-06-01 08:00:00", None, None if i == 1 else 30.0, 110.0, 30.5 + i, 110.5) for i in range(6)]
+    test = [(100 + p, p, "2018-06-24 08:00:00", None, 30.0, 110.0, 30.5, 110.5) for p in (1, 2)]
+    model = bayes.nb_fit(bayes.nb_train_rows(trips_frame(spark, rows)))
+    for block in (256, 1):
+        monkeypatch.setattr(boxes, "BLOCK", block)
+        assert [r.r_key for r in bayes.nb_best(model, make_test_features(trips_frame(spark, test))).collect()] == [101]
+
+
 def test_nb_rejects_negative_features(spark):
     t = trips_frame(spark, [(1, 1, "2018-06-01 08:00:00", None, 30.0, -110.0, 30.5, 110.5)])
     with pytest.raises(Exception, match="non-negative"):
