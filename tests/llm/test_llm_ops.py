@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -219,6 +220,41 @@ def test_slots_and_records_equal_an_own_tokenisation_however_the_input_is_split(
             assert stored[slot] == [*ids.tolist(), *[materialise.PAD_ID] * (16 - len(ids))]
 
 
+def test_records_go_to_their_shards_packed(llm, docs):
+    rows = common.written(materialise.sequences(docs, 16), "test-sequences")
+    starts, total = materialise.first_numbers(rows)
+    packed = common.written(materialise.packed_records(rows, starts, total, 1, 100, 7), "test-packed")
+    size = packed.agg(F.sum(F.length("batch"))).first()[0]
+    assert size < 0.85 * rows.agg(F.sum(F.length("record") + 8)).first()[0]  # rows of records take more than that
+    got = materialise.unpacked_records(packed.filter("part >= 2"), 2, 5).withColumn("p", F.spark_partition_id()).collect()
+    shards = {(r.slot // 100, r.p) for r in got}
+    n = -(-total // 100)
+    assert sorted(s for s, _ in shards) == [s for s in range(n) if s * 7 // n >= 2]  # a shard in one partition
+    assert all(s * 7 // n == p + 2 for s, p in shards)
+    got += materialise.unpacked_records(packed.filter("part < 2"), 0, 2).collect()
+    want = materialise.assign_slots(rows.select("row", "piece", "record"), starts, total, 1).collect()
+    assert sorted((r[0], r[1]) for r in got) == sorted((r.slot, r.record) for r in want)
+
+
+def test_sequences_are_dropped_before_the_shards_are_written(llm, docs, monkeypatch):
+    left = []
+    unpacked = materialise.unpacked_records
+    tables = []
+    monkeypatch.setattr(materialise, "written", lambda df, name: tables.append(common.written(df, name)) or tables[-1])
+
+    def watched(packed, low, parts):
+        folders = {f.rsplit("/", 1)[0].removeprefix("file://") for t in tables for f in t.inputFiles()}
+        left.append((parts, sorted(os.path.basename(f).rsplit("-", 1)[0] for f in folders if os.path.isdir(f))))
+        return unpacked(packed, low, parts)
+
+    monkeypatch.setattr(materialise, "unpacked_records", watched)
+    path, index = materialise.materialise(docs, seq_len=16, shard_records=100)
+    assert len(left) == materialise.STEPS
+    assert all(names == ["index"] for _, names in left)
+    n = index.count()
+    assert materialise.read_slots(llm, path, 0, n, 16, 100).count() == n
+
+
 def test_fingerprints_and_search(docs, texts):
     found = common.written(fingerprints.fingerprints(docs), "test-fp")
     rows = {r.doc_id: r for r in fingerprints.search(found).collect()}

@@ -12,6 +12,13 @@ of bits that holds ``n`` values; a value outside ``0 .. n-1`` is permuted
 again until it falls inside (cycle walking), so the slots are exactly
 ``0 .. n-1`` and any slot can be inverted without a table.
 
+Records go to their shards as compressed batches: a task collects the records of
+a run of shards into one row, which takes less disk than rows of single records,
+whose neighbours in a shuffle have nothing in common. The batches are stored by
+steps of shards, and the sequences dropped. Step by step the batches are shuffled,
+written as shards and dropped, so that no record lies in more than two forms at once
+but those of one step.
+
 A record is ``2 * seq_len`` bytes of little-endian unsigned 16-bit ids (a
 short sequence is filled up with ``PAD_ID``) and one newline byte; ``stride``
 bytes in all, so record ``k`` of a shard starts at ``k * stride`` and a
@@ -48,6 +55,10 @@ SHARD_RECORDS = 1 << 15
 # Documents of which the first numbers (16 bytes each) go to every task; with
 # more of them the ids are shuffled once more, to meet their numbers.
 SENT = 1 << 22
+# Bytes of records that a task collects before it packs them.
+HELD = 1 << 26
+# Steps in which the shards are written, if each of them has this many shards.
+STEPS, STEP_SHARDS = 8, 4
 
 ROWS = "row long, doc_id long, pieces int, digest binary, piece int, length int, ids_crc32 long, record binary"
 
@@ -138,6 +149,14 @@ def first_numbers(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def assign_slots(rows: DataFrame, starts: DataFrame, total: int, key: int = KEY) -> DataFrame:
     """Add ``slot`` to sequences with ``row`` and ``piece``."""
+    numbered, others, move = _slots(rows, starts, total, key)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name in others)
+    return numbered.mapInArrow(move, kinds + ", slot long")
+
+
+def _slots(rows: DataFrame, starts: DataFrame, total: int, key: int):
+    """Sequences with their numbers in ``start``, the other columns' names, and
+    what puts the slot in the number's place."""
     numbered = rows.join(starts, "row").withColumn("start", F.col("start") + F.col("piece"))
     names = numbered.columns
     at = names.index("start")
@@ -148,8 +167,61 @@ def assign_slots(rows: DataFrame, starts: DataFrame, total: int, key: int = KEY)
             slots = permute(batch.column(at).to_numpy(), total, key)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(slots)], [*others, "slot"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name != "start")
-    return numbered.mapInArrow(move, kinds + ", slot long")
+    return numbered, others, move
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def packed_records(rows: DataFrame, starts: DataFrame, total: int, key: int, shard_records: int, parts: int) -> DataFrame:
+    """``(part, batch)``: the slots and records of a task's sequences, one
+    compressed batch for each of ``parts`` runs of shards."""
+    shards = max(1, -(-total // shard_records))
+    numbered, _, move = _slots(rows.select("row", "piece", "record"), starts, total, key)
+
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            part = table["slot"].to_numpy() // shard_records * parts // shards
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part[order[lo]]], pa.int32()), pa.array([_packed(table.take(pa.array(order[lo:hi])))])],
+                    ["part", "batch"])
+
+        for batch in move(batches):
+            held.append(batch.select(["slot", "record"]))
+            size += held[-1].nbytes
+            if size > HELD:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
+
+    return numbered.mapInArrow(pack, "part int, batch binary")
+
+
+def unpacked_records(packed: DataFrame, low: int, parts: int) -> DataFrame:
+    """``(slot, record)`` of the batches of ``parts`` runs of shards from
+    ``low`` on, each run in a partition."""
+
+    def unpack(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column(1):
+                yield from pa.ipc.open_stream(one.as_buffer())
+
+    return packed.select("part", "batch").repartitionById(parts, (F.col("part") - low).cast("int")).mapInArrow(
+        unpack, "slot long, record binary")
 
 
 def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, key: int = KEY,
@@ -166,16 +238,28 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
         starts = F.broadcast(starts)
     shard = F.floor(F.col("slot") / shard_records)
     filler = F.lit(PAD_ID.to_bytes(2, "little"))
-    (assign_slots(rows.select("row", "piece", "record"), starts, total, key)
-     .select(shard.alias("shard"), "slot", "record")
-     .repartitionByRange(partitions(spark), "shard").sortWithinPartitions("shard", "slot")
-     .select("shard", F.rpad("record", F.lit(2 * seq_len), filler).cast("string").alias("value"))
-     .write.partitionBy("shard").text(path))
+    shards = -(-total // shard_records)
+    steps = max(1, min(STEPS, shards // STEP_SHARDS))
+    parts = min(shards, steps * partitions(spark))
+    packed = scratch_path(spark, "packed")
+    (packed_records(rows, starts, total, key, shard_records, parts)
+     .withColumn("step", F.expr(f"part * {steps} div {max(1, parts)}"))
+     .write.partitionBy("step").option("compression", "none").parquet(packed))
     index = assign_slots(rows.select("row", "doc_id", "piece", "length", "ids_crc32"), starts, total, key)
     index = written(index.select("doc_id", "piece", "length", "ids_crc32", "slot", shard.alias("shard"),
                                  (F.pmod("slot", F.lit(shard_records)) * stride(seq_len)).alias("byte_offset")), "index")
     drop_written(rows)
     drop_written(starts)
+    edges = [-(-parts * k // steps) for k in range(steps + 1)]
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        if low == high:  # an empty table
+            continue
+        batches = spark.read.schema("part int, batch binary").parquet(f"{packed}/step={k}")
+        (unpacked_records(batches, low, high - low)
+         .withColumn("shard", shard).sortWithinPartitions("shard", "slot")
+         .select("shard", F.rpad("record", F.lit(2 * seq_len), filler).cast("string").alias("value"))
+         .write.mode("append").partitionBy("shard").text(path))
+        drop_written(batches)
     return path, index
 
 
