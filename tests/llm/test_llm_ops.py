@@ -220,6 +220,35 @@ def test_slots_and_records_equal_an_own_tokenisation_however_the_input_is_split(
             assert stored[slot] == [*ids.tolist(), *[materialise.PAD_ID] * (16 - len(ids))]
 
 
+def test_small_batches_of_snippets_are_matched_together(monkeypatch):
+    import pyarrow as pa
+
+    class Frame:  # gives back what a task would run
+        filter = select = repartition = sortWithinPartitions = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    h, own, places, want = [], [], [], set()
+    for k in range(300):
+        shared = hashlib.sha256(str(k).encode()).hexdigest()[:55].encode()
+        for doc, tail in ((0, b"first"), (1, b"other")):
+            h.append(k)
+            own.append(shared + tail)
+            places.append(np.array([(doc, 10 + doc, 100 * k)], passages.PLACE).tobytes())
+        want.add((7, 1, 100 * k, 100 * k + 55))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(h, pa.int64()), pa.array(own, pa.binary()), pa.array([7] * len(h), pa.int64()), pa.array(places, pa.binary())],
+        ["h", "snippet", "chunk", "places"])
+    calls = []
+    monkeypatch.setattr(passages, "equal_windows", lambda *a: calls.append(1) or suffixes.equal_windows(*a))
+    run = passages._match(Frame())
+    for limit, most in ((1 << 20, 1), (100, 7)):
+        calls.clear()
+        monkeypatch.setattr(passages, "GATHERED", limit)
+        got = [tuple(r.values()) for b in run(batch.slice(at, 25) for at in range(0, 600, 25)) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+        assert len(calls) <= most
+
+
 def test_records_go_to_their_shards_packed(llm, docs):
     rows = common.written(materialise.sequences(docs, 16), "test-sequences")
     starts, total = materialise.first_numbers(rows)

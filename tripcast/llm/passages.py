@@ -52,6 +52,7 @@ RANGE_ROWS = 1 << 21  # anchors that one range holds, about
 FREQUENT = 1 << 15  # occurrences of one anchor that a task gathers, some 2 MB
 OFTEN = 200_000  # occurrences of a frequent anchor that a chunk expands at once
 TOGETHER = 12  # distinct snippets in one text of the suffix array
+GATHERED = 24_000  # occurrences, in whole anchors, that one call of the suffix array treats, about
 NO_ID = np.iinfo(np.int64).min  # stands for a null id
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -375,8 +376,8 @@ def _match(found: DataFrame) -> DataFrame:
                 cols = [x + y if isinstance(y, list) else np.concatenate((x, y)) for x, y in zip(rest, cols)]
             cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1  # beginnings of anchors
             done = 0
-            while len(cuts) and done < cuts[-1]:
-                upto = cuts[min(np.searchsorted(cuts, done + 8000), len(cuts) - 1)]
+            while len(cuts) and cuts[-1] - done >= GATHERED:
+                upto = cuts[min(np.searchsorted(cuts, done + GATHERED), len(cuts) - 1)]
                 yield from flush(*(c[done:upto] for c in cols))
                 done = upto
             rest = [c[done:] for c in cols]

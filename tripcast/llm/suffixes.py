@@ -45,15 +45,17 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         count = end[active] - first
         at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         members, own = order[at], np.repeat(first, count)
-        while True:
-            to = before[members]
-            higher = np.flatnonzero((to >= 0) & (group[to] >= own))
-            if not len(higher):
-                break
-            before[members[higher]] = before[to[higher]]
+        high, low = members, own  # those whose pointers still go to no smaller group
+        while len(high):
+            to = before[high]
+            higher = np.flatnonzero((to >= 0) & (group[to] >= low))
+            high, low = high[higher], low[higher]
+            before[high] = before[to[higher]]
         to = before[members]
-        places, times = np.unique(to[to >= 0], return_counts=True)
-        if len(places):
+        to = np.sort(to[to >= 0])
+        if len(to):
+            at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            places, times = to[at], np.diff(np.append(at, len(to)))
             old = group[places]
             sort = np.lexsort((times, old))
             places, times, old = places[sort], times[sort], old[sort]
@@ -87,11 +89,14 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     placed = np.zeros(n, bool)
     last = base + lengths - 1
     out[base], placed[last] = last, True
+    begins = np.sort(lengths)[::-1]  # texts by length, the longest first
+    heads = base[np.argsort(-lengths, kind="stable")]
+    many = len(lengths)
     for k in range(int(lengths.max(initial=0))):
-        some = np.flatnonzero(lengths > k)
-        at = out[base[some] + k]
-        at = np.where(at > base[some], at - 1, -1)
-        at = at[at >= 0]
+        while begins[many - 1] <= k:
+            many -= 1
+        at = out[heads[:many] + k]
+        at = at[at > heads[:many]] - 1
         while len(at):
             at = at[~placed[at]]
             g = group[at]
