@@ -249,6 +249,40 @@ def test_small_batches_of_snippets_are_matched_together(monkeypatch):
         assert len(calls) <= most
 
 
+def test_frequent_anchors_of_a_chunk_are_classed_together(monkeypatch):
+    import pyarrow as pa
+
+    class Frame:  # gives back what a task would run
+        join = hint = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    texts = [b"".join(hashlib.sha256(str(k).encode()).hexdigest().encode() + b"%d" % (doc % 3) for k in range(30)) for doc in range(5)]
+    texts.append(b"-" * 90 + texts[0][700:900])
+    lens, text = np.array([len(t) for t in texts], np.int64), b"".join(texts)
+    distinct = len(np.unique(passages.anchors(text, lens)[0]))
+    row = {"chunk": 7, "ids": np.arange(10, 16).tobytes(), "lens": lens.tobytes(), "text": text,
+           "marks": [{"part": 0, "marks": b"\2" * distinct}], "copies": None}
+    want = set()
+    for doc, t in enumerate(texts):
+        at = collections.defaultdict(list)
+        for lo in range(len(t) - 49):
+            runs = at[np.frombuffer(hashlib.blake2b(t[lo:lo + 50], digest_size=16).digest(), np.int64).tobytes()]
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = lo + 50
+            else:
+                runs.append([lo, lo + 50])
+        want |= {(7, doc, 10 + doc, lo, hi, d) for d, runs in at.items() for lo, hi in runs}
+    calls = []
+    monkeypatch.setattr(passages, "equal_windows", lambda *a: calls.append(1) or suffixes.equal_windows(*a))
+    for limit in (passages.GATHERED, 100):
+        calls.clear()
+        monkeypatch.setattr(passages, "GATHERED", limit)
+        rows = [r for b in passages.snippets(Frame(), Frame(), Frame())([pa.RecordBatch.from_pylist([row])]) for r in b.to_pylist()]
+        got = [(r["chunk"], r["doc"], r["id"], r["first"], r["last"], np.array([r["d1"], r["d2"]], np.int64).tobytes()) for r in rows]
+        assert len(got) == len(want) and set(got) == want and {r["kind"] for r in rows} == {2}
+        assert len(calls) <= max(1, distinct // 10)
+
+
 def test_records_go_to_their_shards_packed(llm, docs):
     rows = common.written(materialise.sequences(docs, 16), "test-sequences")
     starts, total = materialise.first_numbers(rows)

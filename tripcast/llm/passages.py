@@ -17,7 +17,7 @@ for every ten to twenty bytes, route the comparison:
    side. A window is removed where its class has a smaller document.
 3. An anchor of more than ``FREQUENT`` occurrences, however few documents have
    them, is not gathered: its windows are classed within each chunk the same
-   way, a document's windows of one class go as merged runs of bytes (a long
+   way, all such anchors of a chunk together, a document's windows of one class go as merged runs of bytes (a long
    run of one character is one), and the chunks' classes meet by a 128-bit
    digest of their bytes in a grouped minimum and a join.
 4. Chunks get their documents' removed runs and write the results.
@@ -252,12 +252,35 @@ def _merge(classes: np.ndarray, strings: list[bytes], windows: np.ndarray, some:
     return to[classes]
 
 
-def _class_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all windows of one anchor's distinct snippets, and how many
-    windows each of them has."""
-    windows = np.array([len(s) - WIDTH + 1 for s in strings], np.int64)
-    classes = equal_windows(strings, np.arange(len(strings)) // TOGETHER, windows, WIDTH)
-    return (_merge(classes, strings, windows, np.arange(len(strings))) if len(strings) > TOGETHER else classes), windows
+def _whole_anchors(h: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts occurrences that lie by anchor into whole anchors, about
+    ``GATHERED`` occurrences at a time."""
+    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    done = 0
+    while done < len(h):
+        upto = int(ends[min(np.searchsorted(ends, done + GATHERED), len(ends) - 1)])
+        yield done, upto
+        done = upto
+
+
+def _class_windows(strings: list[bytes], anchor: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct snippets that lie by their ``anchor`` (numbers): the windows,
+    numbered through all snippets, of anchors with several of them, and their
+    classes. Windows of one snippet differ, and so do windows of two anchors."""
+    offsets = np.cumsum(windows) - windows
+    several = np.bincount(anchor)[anchor]
+    multi = np.flatnonzero(several > 1)
+    where = np.repeat(offsets[multi], windows[multi]) + _steps(windows[multi])
+    if not len(multi):
+        return where, where
+    # Texts of a few snippets each; classes of two texts of one anchor are
+    # merged by their bytes.
+    rank = np.arange(len(anchor)) - np.searchsorted(anchor, anchor)
+    owner = np.unique(anchor[multi] * (len(anchor) + 1) + rank[multi] // TOGETHER, return_inverse=True)[1]
+    some = [strings[k] for k in multi]
+    classes = equal_windows(some, owner, windows[multi], WIDTH)
+    large = np.flatnonzero(several[multi] > TOGETHER)
+    return where, _merge(classes, some, windows[multi], large) if len(large) else classes
 
 
 def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFrame:
@@ -278,27 +301,32 @@ def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFram
                 yield from _places(row, text, np.flatnonzero(mark == 1), h, doc, ids, first, last, begin)
                 often = np.flatnonzero(mark == 2)
                 often = often[np.argsort(h[often], kind="stable")]
-                cuts = np.flatnonzero(np.concatenate(([True], h[often][1:] != h[often][:-1], [True]))) if len(often) else [0]
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    yield from _frequent(row, text, often[lo:hi], doc, ids, first, last, begin)
+                for lo, hi in _whole_anchors(h[often]):
+                    yield from _frequent(row, text, often[lo:hi], h, doc, ids, first, last, begin)
 
     joined = chunks.join(marks.join(copies.hint("shuffle_merge"), "chunk", "left").hint("shuffle_merge"), "chunk")
     return joined.mapInArrow(run, SNIPPETS)
 
 
-def _frequent(row, text, k, doc, ids, first, last, begin) -> Iterator[pa.RecordBatch]:
+def _frequent(row, text, k, h, doc, ids, first, last, begin) -> Iterator[pa.RecordBatch]:
+    """Rows of whole anchors' occurrences ``k``, which lie by anchor."""
     number: dict[bytes, int] = {}
     of = np.empty(len(k), np.int64)
     for at in range(0, len(k), OFTEN):
         part = k[at:at + OFTEN]
         of[at:at + OFTEN] = [number.setdefault(text[a:b + WIDTH], len(number)) for a, b in zip(first[part].tolist(), last[part].tolist())]
     distinct = list(number)
-    classes, windows = _class_windows(distinct)
+    windows = np.fromiter(map(len, distinct), np.int64, len(distinct)) - WIDTH + 1
     offsets = np.concatenate(([0], np.cumsum(windows)))
-    _, at, index = np.unique(classes, return_index=True, return_inverse=True)
+    anchor = np.concatenate(([0], np.cumsum(h[k][1:] != h[k][:-1])))[np.unique(of, return_index=True)[1]]
+    index = np.arange(offsets[-1])  # of a window: the first one of its class, then its class
+    where, classes = _class_windows(distinct, anchor, windows)
+    _, once, back = np.unique(classes, return_index=True, return_inverse=True)
+    index[where] = where[once][back]
+    at, index = np.unique(index, return_inverse=True)
     which = np.searchsorted(offsets, at, side="right") - 1
-    digests = np.array([np.frombuffer(hashlib.blake2b(distinct[s][a - offsets[s]:a - offsets[s] + WIDTH], digest_size=16).digest(), np.int64)
-                        for s, a in zip(which, at)])
+    digests = np.frombuffer(b"".join([hashlib.blake2b(distinct[s][a:a + WIDTH], digest_size=16).digest()
+                                      for s, a in zip(which.tolist(), (at - offsets[which]).tolist())]), np.int64).reshape(-1, 2)
     for at in range(0, len(k), OFTEN):  # occurrences lie in the order of their places
         part, these = k[at:at + OFTEN], of[at:at + OFTEN]
         n = windows[these]
@@ -332,20 +360,8 @@ def _match(found: DataFrame) -> DataFrame:
         n = np.fromiter(map(len, distinct), np.int64, len(distinct)) - WIDTH + 1
         offsets = np.concatenate(([0], np.cumsum(n)))
         least = np.repeat(low, n)  # of each window: the smallest document of its class
-        group = anchor[np.unique(of, return_index=True)[1]]  # ascending
-        several = np.bincount(group)
-        # Texts of a few snippets each, for anchors with several; classes of
-        # two texts of one anchor are merged by their bytes.
-        rank = np.arange(len(group)) - np.searchsorted(group, group)
-        multi = np.flatnonzero(several[group] > 1)
-        if len(multi):
-            owner = np.unique(group[multi] * (len(own) + 1) + rank[multi] // TOGETHER, return_inverse=True)[1]
-            strings = [distinct[k] for k in multi]
-            classes = equal_windows(strings, owner, n[multi], WIDTH)
-            where = np.repeat(offsets[multi], n[multi]) + _steps(n[multi])
-            large = several[group[multi]] > TOGETHER
-            if large.any():
-                classes = _merge(classes, strings, n[multi], np.flatnonzero(large))
+        where, classes = _class_windows(distinct, anchor[np.unique(of, return_index=True)[1]], n)
+        if len(where):
             best = np.full(classes.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(best, classes, least[where])
             least[where] = best[classes]
