@@ -253,7 +253,7 @@ def test_frequent_anchors_of_a_chunk_are_classed_together(monkeypatch):
     import pyarrow as pa
 
     class Frame:  # gives back what a task would run
-        join = hint = lambda self, *names: self
+        select = join = hint = lambda self, *names: self
         mapInArrow = lambda self, run, schema: run
 
     texts = [b"".join(hashlib.sha256(str(k).encode()).hexdigest().encode() + b"%d" % (doc % 3) for k in range(30)) for doc in range(5)]
@@ -283,6 +283,34 @@ def test_frequent_anchors_of_a_chunk_are_classed_together(monkeypatch):
         assert len(calls) <= max(1, distinct // 10)
 
 
+def test_copies_send_no_snippets_and_texts_are_not_moved(llm, monkeypatch):
+    base = " ".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(40))
+    rows = {k: base for k in range(3, 8)}
+    rows |= {9: "of its own " + base[100:300] + " only", 10: base[100:300], 11: " ".join(reversed(base.split()[:9])), 12: ""}
+    docs = llm.createDataFrame([*rows.items(), (None, base), (None, None)], "doc_id long, text string").repartition(3)
+    sent, snippets = [], passages.snippets
+
+    def seen(*tables):
+        found = snippets(*tables)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        sent.append((found.count(), plan.count("Exchange hashpartitioning(chunk")))
+        return found
+
+    monkeypatch.setattr(passages, "snippets", seen)
+
+    def check(some):
+        got = passages.remove_repeats(docs.filter(F.col("doc_id").isNull() | F.col("doc_id").isin(some)), with_text=False).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is not None} == brute_repeats(
+            {i: rows[i] for i in some})
+        assert [r.n_removed for r in got if r.doc_id is None] == [0, 0]
+
+    check([3, 4, 5, 6, 7, 12])
+    assert sent[-1][0] == 0  # nothing is shared but by whole copies
+    check(list(rows))
+    n, exchanges = sent[-1]
+    assert 0 < n < 200 and exchanges == 2  # of the marks and of the copies
+
+
 def test_records_go_to_their_shards_packed(llm, docs):
     rows = common.written(materialise.sequences(docs, 16), "test-sequences")
     starts, total = materialise.first_numbers(rows)

@@ -62,6 +62,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
+    """As :func:`written`, in as many buckets of ``key`` as a shuffle has
+    partitions: a join by the key with any table moves that table only. The
+    catalogue has the table until the frame that reads it is made."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    (df.write.format("parquet").option("compression", codec).option("path", path)
+     .bucketBy(partitions(spark), key).saveAsTable(table))
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE `{table}`")  # the files stay, the path being given
+    return found
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     spark = df.sparkSession

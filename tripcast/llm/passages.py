@@ -7,8 +7,10 @@ places, and neighbouring windows mostly share theirs. So anchors, about one
 for every ten to twenty bytes, route the comparison:
 
 0. A document whose whole text a smaller document has is a copy, found by its
-   digest: it goes whole, and its anchors need no comparison.
-1. Texts are stored in chunks. Each chunk's distinct anchor hashes go, 32 bits
+   digest: it goes whole, and its anchors need no comparison, nor do they
+   count beside those of the smaller document.
+1. Texts are stored in chunks, bucketed by chunk, so that no step moves them
+   again. Each chunk's distinct anchor hashes go, 32 bits
    each and sorted, to ranges of the hash space; a range says by one bit per
    anchor whether another document has it. Chunks get their bits back.
 2. Each occurrence of a shared anchor gives a snippet, the bytes of its
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.llm.common import drop_written, id_and_text, text_slices, written
+from tripcast.llm.common import drop_written, id_and_text, text_slices, written, written_by
 from tripcast.llm.suffixes import equal_windows
 
 WIDTH, GRAM = 50, 24
@@ -60,7 +62,7 @@ _UNBASE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _BYTES = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, 256, np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-CHUNKS = "chunk long, ids binary, lens binary, text binary"
+CHUNKS = "chunk long, bytes long, ids binary, lens binary, digests binary, text binary"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +116,14 @@ def store_chunks(docs: DataFrame) -> DataFrame:
         for ids, texts in text_slices(batches, CHUNK):
             known = np.array([NO_ID if i is None else i for i in ids], np.int64)
             lens = np.array([len(t) for t in texts], np.int64)
+            digests = b"".join([hashlib.blake2b(t, digest_size=16).digest() for t in texts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nth], pa.int64()), *(pa.array([x], pa.binary())
-                                                for x in (known.tobytes(), lens.tobytes(), b"".join(texts)))],
-                ["chunk", "ids", "lens", "text"])
+                [pa.array([nth], pa.int64()), pa.array([lens.sum()], pa.int64()),
+                 *(pa.array([x], pa.binary()) for x in (known.tobytes(), lens.tobytes(), digests, b"".join(texts)))],
+                ["chunk", "bytes", "ids", "lens", "digests", "text"])
             nth += 1
 
-    return written(id_and_text(docs).mapInArrow(run, CHUNKS), "chunks")
+    return written_by(id_and_text(docs).mapInArrow(run, CHUNKS), "chunks", "chunk")
 
 
 def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,17 +140,24 @@ def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _own_anchors(row: dict) -> tuple[np.ndarray, ...]:
-    """Anchors of a stored chunk with document ids; null ids take no part."""
+    """Anchors of a stored chunk with document ids; null ids and the chunk's
+    ``copies`` take no part."""
     ids, lens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64)
-    h, doc, place, first, last = anchors(row["text"], lens)
-    keep = ids[doc] != NO_ID if len(doc) else np.zeros(0, bool)
-    return (*(x[keep] for x in (h, doc, place, first, last)), ids)
+    own = ids != NO_ID
+    own[np.array(row["copies"] or [], np.int64)] = False
+    docs, ends, text = np.flatnonzero(own), np.cumsum(lens), row["text"]
+    if len(docs) < len(ids):
+        text = b"".join([text[b - n:b] for b, n in zip(ends[docs].tolist(), lens[docs].tolist())])
+    h, doc, place, first, last = anchors(text, lens[docs])
+    left_out = (ends[docs] - np.cumsum(lens[docs]))[doc]  # bytes before the document
+    return h, docs[doc], place + left_out, first + left_out, last + left_out, ids
 
 
-def shared_anchors(chunks: DataFrame) -> DataFrame:
-    """``(chunk, marks)``: for each distinct anchor hash of a chunk, ascending,
-    0 (its alone), 1 (shared) or 2 (frequent), by hash ranges."""
-    return _by_chunk(_marks(chunks))
+def shared_anchors(chunks: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """``(chunk, marks)``: for each distinct anchor hash of a chunk outside its
+    copies, ascending, 0 (its alone), 1 (shared) or 2 (frequent), by hash
+    ranges."""
+    return _by_chunk(_marks(chunks, copies))
 
 
 def _by_chunk(marks: DataFrame) -> DataFrame:
@@ -155,9 +165,9 @@ def _by_chunk(marks: DataFrame) -> DataFrame:
     return marks.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "marks"))).alias("marks"))
 
 
-def _marks(chunks: DataFrame) -> DataFrame:
+def _marks(chunks: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """The marks of each chunk and hash range, stored."""
-    size = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = chunks.agg(F.sum("bytes")).first()[0] or 0
     bits = max(4, int(size / 15 / RANGE_ROWS).bit_length() + 1)
 
     def send(batches) -> Iterator[pa.RecordBatch]:
@@ -196,7 +206,10 @@ def _marks(chunks: DataFrame) -> DataFrame:
         return pd.DataFrame({"part": group["part"], "chunk": group["chunk"],
                              "marks": [m.tobytes() for m in np.split(marks, cuts)]})
 
-    sent = chunks.mapInArrow(send, "part int, chunk long, h binary, at binary, n binary, often binary")
+    sides = chunks.select("chunk", "ids", "lens", "text")
+    joined = (sides.withColumn("copies", F.lit(None).cast("array<int>")) if copies is None else
+              sides.join(copies.hint("shuffle_merge"), "chunk", "left"))
+    sent = joined.mapInArrow(send, "part int, chunk long, h binary, at binary, n binary, often binary")
     met = sent.groupBy("part").applyInPandas(meet, "part int, chunk long, marks binary")
     return written(met, "marks")
 
@@ -296,7 +309,6 @@ def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFram
                 mark = np.concatenate([np.frombuffer(m["marks"], np.uint8) for m in row["marks"]])
                 _, back = np.unique(h, return_inverse=True)
                 mark = mark[back]
-                mark[np.isin(doc, np.array(row["copies"] or [], np.int64))] = 0
                 text, begin = row["text"], np.concatenate(([0], np.cumsum(np.frombuffer(row["lens"], np.int64))))
                 yield from _places(row, text, np.flatnonzero(mark == 1), h, doc, ids, first, last, begin)
                 often = np.flatnonzero(mark == 2)
@@ -304,7 +316,8 @@ def snippets(chunks: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFram
                 for lo, hi in _whole_anchors(h[often]):
                     yield from _frequent(row, text, often[lo:hi], h, doc, ids, first, last, begin)
 
-    joined = chunks.join(marks.join(copies.hint("shuffle_merge"), "chunk", "left").hint("shuffle_merge"), "chunk")
+    joined = chunks.select("chunk", "ids", "lens", "text").join(
+        marks.join(copies.hint("shuffle_merge"), "chunk", "left").hint("shuffle_merge"), "chunk")
     return joined.mapInArrow(run, SNIPPETS)
 
 
@@ -421,15 +434,14 @@ def copied(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, lens = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lens"], np.int64)
-                ends = np.cumsum(lens)
                 k = np.flatnonzero((lens >= WIDTH) & (ids != NO_ID))
-                digests = [hashlib.blake2b(row["text"][b - n:b], digest_size=16).digest()
-                           for b, n in zip(ends[k].tolist(), lens[k].tolist())]
+                digests = [row["digests"][16 * i:16 * i + 16] for i in k.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(k), row["chunk"])), pa.array(k.astype(np.int32)), pa.array(ids[k]),
                      pa.array(lens[k].astype(np.int32)), pa.array(digests, pa.binary())], ["chunk", "doc", "id", "hi", "digest"])
 
-    rows = written(chunks.mapInArrow(run, "chunk long, doc int, id long, hi int, digest binary"), "digests")
+    sides = chunks.select("chunk", "ids", "lens", "digests")
+    rows = written(sides.mapInArrow(run, "chunk long, doc int, id long, hi int, digest binary"), "digests")
     low = rows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     low = written(low.select("digest", "low"), "copied")
     out = written(rows.join(low.hint("shuffle_merge"), "digest").filter("low < id").select(
@@ -444,7 +456,7 @@ def removed_runs(chunks: DataFrame) -> DataFrame:
     chunk's documents, by number."""
     whole = copied(chunks)
     copies = whole.groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
-    marks = _marks(chunks)
+    marks = _marks(chunks, copies)
     found = written(snippets(chunks, _by_chunk(marks), copies), "snippets")
     drop_written(marks)
     runs = written(_match(found).unionByName(_match_frequent(found)).unionByName(whole), "runs")
@@ -507,7 +519,7 @@ def _results(chunks: DataFrame, runs: DataFrame, with_text: bool) -> DataFrame:
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    joined = chunks.join(by_chunk.hint("shuffle_merge"), "chunk", "left")
+    joined = chunks.select("chunk", "ids", "lens", "text").join(by_chunk.hint("shuffle_merge"), "chunk", "left")
     return joined.select("chunk", "ids", "lens", "text", "runs").mapInArrow(run, RESULT)
 
 
