@@ -311,6 +311,34 @@ def test_copies_send_no_snippets_and_texts_are_not_moved(llm, monkeypatch):
     assert 0 < n < 200 and exchanges == 2  # of the marks and of the copies
 
 
+def test_a_full_range_of_anchors_meets_in_slices():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    known = np.sort(rng.integers(0, 1 << 32, 40_000).astype("<u4"))
+    rows, often, within = [], collections.Counter(), collections.Counter()
+    for chunk in range(60):
+        h = np.unique(rng.choice(known, 20_000))
+        at = np.flatnonzero(rng.random(len(h)) < 0.1)
+        n, times = np.ones(len(h), "<u4"), np.ones(len(h), "<u4")
+        n[at], times[at] = rng.integers(1, 4, len(at)), rng.integers(2, 9, len(at))
+        often.update(dict(zip(h.tolist(), times.tolist())))
+        within.update(dict(zip(h.tolist(), n.tolist())))
+        rows.append((0, chunk, h.tobytes(), at.astype("<u4").tobytes(), n[at].tobytes(), times[at].tobytes()))
+    import pandas as pd
+
+    group = pd.DataFrame(rows, columns=["part", "chunk", "h", "at", "n", "often"])
+    peaks = []
+    for size in (1 << 30, 50_000):
+        tracemalloc.start()
+        marks = passages._meet(group, 40, size)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        for row, mark in zip(rows, marks):
+            assert list(mark) == [0 if within[h] < 2 else 2 if often[h] > 40 else 1 for h in np.frombuffer(row[2], "<u4").tolist()]
+    assert peaks[1] < peaks[0] / 3
+
+
 def test_records_go_to_their_shards_packed(llm, docs):
     rows = common.written(materialise.sequences(docs, 16), "test-sequences")
     starts, total = materialise.first_numbers(rows)

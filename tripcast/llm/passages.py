@@ -165,6 +165,35 @@ def _by_chunk(marks: DataFrame) -> DataFrame:
     return marks.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "marks"))).alias("marks"))
 
 
+def _meet(group: pd.DataFrame, frequent: int, rows: int) -> list[bytes]:
+    """Marks of one range's anchors, which ascend in each row; anchors being
+    smallest hashes, low ranges hold many, so slices of their values meet one
+    after another, of about ``rows`` anchors each."""
+    hs = [np.frombuffer(x, "<u4") for x in group["h"]]
+    slices = sum(map(len, hs)) // rows + 1
+    edges = (np.arange(1, slices, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(slices)).astype("<u4")
+    cuts = [np.concatenate(([0], np.searchsorted(h, edges), [len(h)])) for h in hs]
+    ats = [np.frombuffer(x, "<u4") for x in group["at"]]
+    at_cuts = [np.searchsorted(at, cut) for at, cut in zip(ats, cuts)]
+    counts = [[np.frombuffer(x, "<u4") for x in group[c]] for c in ("n", "often")]
+    marks = [np.zeros(len(h), np.uint8) for h in hs]
+    for k in range(slices):
+        _, back = np.unique(np.concatenate([h[cut[k]:cut[k + 1]] for h, cut in zip(hs, cuts)]), return_inverse=True)
+        begin = np.concatenate(([0], np.cumsum([cut[k + 1] - cut[k] for cut in cuts])))
+
+        def total(ns: list[np.ndarray]) -> np.ndarray:
+            m = np.ones(len(back), np.int64)
+            for b, cut, at, at_cut, n in zip(begin.tolist(), cuts, ats, at_cuts, ns):
+                if at_cut[k + 1] > at_cut[k]:
+                    m[b - cut[k] + at[at_cut[k]:at_cut[k + 1]]] = n[at_cut[k]:at_cut[k + 1]]
+            return np.bincount(back, m)[back]
+
+        found = np.where(total(counts[0]) > 1, np.where(total(counts[1]) > frequent, 2, 1), 0).astype(np.uint8)
+        for mark, cut, b in zip(marks, cuts, begin.tolist()):
+            mark[cut[k]:cut[k + 1]] = found[b:b + cut[k + 1] - cut[k]]
+    return [m.tobytes() for m in marks]
+
+
 def _marks(chunks: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """The marks of each chunk and hash range, stored."""
     size = chunks.agg(F.sum("bytes")).first()[0] or 0
@@ -190,21 +219,7 @@ def _marks(chunks: DataFrame, copies: DataFrame | None = None) -> DataFrame:
                                                  ["part", "chunk", "h", "at", "n", "often"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        hs = [np.frombuffer(x, "<u4") for x in group["h"]]
-        _, back = np.unique(np.concatenate(hs), return_inverse=True)
-
-        def total(column: str) -> np.ndarray:
-            ns = []
-            for h, at, n in zip(hs, group["at"], group[column]):
-                m = np.ones(len(h), np.int64)
-                m[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
-                ns.append(m)
-            return np.bincount(back, np.concatenate(ns))[back]
-
-        marks = np.where(total("n") > 1, np.where(total("often") > FREQUENT, 2, 1), 0).astype(np.uint8)
-        cuts = np.cumsum([len(h) for h in hs])[:-1]
-        return pd.DataFrame({"part": group["part"], "chunk": group["chunk"],
-                             "marks": [m.tobytes() for m in np.split(marks, cuts)]})
+        return pd.DataFrame({"part": group["part"], "chunk": group["chunk"], "marks": _meet(group, FREQUENT, RANGE_ROWS)})
 
     sides = chunks.select("chunk", "ids", "lens", "text")
     joined = (sides.withColumn("copies", F.lit(None).cast("array<int>")) if copies is None else
