@@ -78,10 +78,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _grams(a: np.ndarray) -> np.ndarray:
     n = len(a) - GRAM + 1
     up, down = _powers(len(a))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[a] * up, dtype=np.uint64)))
-    h = (sums[GRAM:] - sums[:-GRAM]) * down[:n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.multiply(_BYTES[a], up, out=sums[1:])
+    np.cumsum(sums, out=sums)
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= down[:n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def anchors(text: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -96,18 +101,25 @@ def anchors(text: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
     # The high bits of a hash with its place below them: the smallest of a
     # window's grams, the leftmost of equal ones, and its place in one number.
     bits = np.uint64(max(1, len(h).bit_length()))
-    low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
+    low = h >> bits
+    low <<= bits
+    low |= np.arange(len(h), dtype=np.uint64)
     width = 1  # smallest of ever wider windows
     while 2 * width <= SPAN:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < SPAN:
         low = np.minimum(low[:-(SPAN - width)], low[SPAN - width:])
-    doc = np.repeat(np.arange(len(lens)), lens)[:len(low)]
-    keep = np.flatnonzero(np.arange(WIDTH, WIDTH + len(low)) <= ends[doc])
-    place, doc = (low[keep] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), doc[keep]
+    n = np.maximum(lens - WIDTH + 1, 0)  # windows of the documents; none goes over a document's end
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), n)
+    start = np.arange(n.sum(), dtype=np.int32)
+    start += np.repeat((ends - lens - np.cumsum(n) + n).astype(np.int32), n)
+    place = low[start]
+    place &= (np.uint64(1) << bits) - np.uint64(1)
     cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
-    return h[place[cut]], doc[cut], place[cut], keep[cut], keep[np.append(cut[1:], len(keep)) - 1]
+    end = np.append(cut[1:], len(start)) - 1
+    place = place[cut].astype(np.int64)
+    return h[place], doc[cut].astype(np.int64), place, start[cut].astype(np.int64), start[end].astype(np.int64)
 
 
 def store_chunks(docs: DataFrame) -> DataFrame:
